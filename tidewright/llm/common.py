@@ -50,3 +50,36 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def partitions_for(df: DataFrame, at_least: int = 1) -> int:
     """How many shuffle partitions the session is set to; callers deal Python work out by it."""
     return max(at_least, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def byte_column(column):  # noqa: ANN001, ANN201
+    """The bytes of an Arrow binary column without nulls, and where its rows start and end in them."""
+    import numpy as np
+    import pyarrow as pa
+
+    wide = column.cast(pa.large_binary())
+    _, offsets, data = wide.buffers()
+    ends = np.frombuffer(offsets, np.int64)[wide.offset : wide.offset + len(wide) + 1] if len(wide) else np.zeros(1, np.int64)
+    flat = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]] if data is not None and ends[-1] > ends[0] else np.zeros(0, np.uint8)
+    return flat, ends - ends[0]
+
+
+def portions(ends, most: int):  # noqa: ANN001, ANN201
+    """Runs [i, j) of rows of at most so many bytes together, or of one row."""
+    i, n = 0, len(ends) - 1
+    while i < n:
+        j = i + 1
+        while j < n and ends[j + 1] - ends[i] <= most:
+            j += 1
+        yield i, j
+        i = j
+
+
+def mixed(x, salt: int = 0):  # noqa: ANN001, ANN201
+    """The finaliser of splitmix64 on an array of uint64."""
+    import numpy as np
+
+    x = x + np.uint64((0x9E3779B97F4A7C15 * (salt + 1)) & (2**64 - 1))
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
