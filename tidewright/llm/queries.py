@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewright.llm import exact_dedup, language_id, mixing, sentencepiece_codec, warc
+from tidewright.llm import crf_quality, exact_dedup, jaccard_join, language_id, lm_scoring, mixing, sentencepiece_codec, suffix_dedup, topk_search, warc
 from tidewright.llm.common import documents, shared_folder, write_table
 
 #: Where the public vocabulary files are; a parameter of the operators.
@@ -20,6 +20,11 @@ def piece_model() -> str:
     return f"{TOKENIZERS}/piece_bpe_32k.model"
 
 
+def op1_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return crf_quality.score_quality(docs, crf_quality.fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.encode(documents(spark, sf_dir).select("doc_id", "text"), piece_model()).drop("text")
 
@@ -44,6 +49,14 @@ FROM t
 """
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.suffix_dedup(documents(spark, sf_dir))
+
+
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_join(documents(spark, sf_dir)).drop("node")
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
     warc.write_warc(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
@@ -61,11 +74,34 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d AS payload_digest,
 FROM f
 """
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score_documents(documents(spark, sf_dir))
+
+
+def op10_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return topk_search.search(vectors, vectors.where("vec_id % 50 = 0"))
+
+
+OP10_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])) AS BIGINT) AS score
+      FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_crf_quality": op1_crf_quality,
     "op2_sentencepiece": op2_sentencepiece,
     "op3_language_id": op3_language_id,
     "op4_mixing": op4_mixing,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_suffix_dedup": op6_suffix_dedup,
+    "op7_jaccard_join": op7_jaccard_join,
     "op8_warc": op8_warc,
+    "op9_lm_scoring": op9_lm_scoring,
+    "op10_topk_search": op10_topk_search,
 }
-ORACLE_SQL = {"op5_exact_dedup": OP5_SQL, "op8_warc": OP8_SQL}
+ORACLE_SQL = {"op5_exact_dedup": OP5_SQL, "op8_warc": OP8_SQL, "op10_topk_search": OP10_SQL}
