@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -38,6 +39,13 @@ def remove_table(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let the executors' disks go of shuffle files that no plan refers to any more. Spark deletes them
+    when the driver collects its garbage, which a driver with little to do does rarely."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def split_of(id_col: str, folds: int) -> Column:
     """crc32 of the id as text, modulo folds: the split between training and held-out rows."""
     return F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(folds))

@@ -1,12 +1,12 @@
 """Operator 7, the exact n-gram Jaccard join with set-relation skipping (Wang et al. 2017).
 
 A document's set holds the hashes of its word shingles. Documents of equal sets are one node.
-Nodes that link share one of the first shingles of both, in an order that puts frequent shingles
-last (prefix filtering), so that lists of an inverted index over these find all links. Relations
-between sets save most comparisons:
+Nodes that link share some of the first shingles of both, in an order that puts frequent shingles
+last (prefix filtering, with prefixes that have to share several for larger sets), so that lists of
+an inverted index over these find all links. Relations between sets save most comparisons:
 
-* Each list has a leader, and its members are first compared with that alone. Links so found give
-  components; a list whose members are all in one component needs no more work.
+* Each list has a leader, and a node is first compared only with the leader of most of its lists. Links
+  so found give components; a list whose members are all in one component needs no more work.
 * In the lists that remain, blocks of members are skipped whole by size and position, where even
   the best member of the block cannot reach the overlap asked for, or is in the same component.
 * A pair of sets that were both compared with the same leader gets its answer from theirs: overlaps
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import byte_column, mixed, partitions_for, portions, write_table
+from tidewright.llm.common import byte_column, mixed, partitions_for, portions, release, remove_table, write_table
 from tidewright.llm.components import components
 
 WORDS, PERCENT = 5, 75
@@ -36,6 +36,12 @@ LIST_ROWS = 4096
 #: Members of a list that are skipped or looked at together.
 BLOCK = 64
 PORTION = 3_000_000
+#: A node is compared with a leader first if they share this part of its prefix; any choice gives whole results.
+FEW = 8
+#: Prefixes are longer by up to MORE than one common shingle asks for: 1 for every PER shingles of the set.
+PER, MORE = 40, 7
+#: One place of a shingle in the index.
+ENTRY = [("key", "<i8"), ("node", "<i8"), ("n", "<i4"), ("pos", "<i4"), ("salt", "<i4")]
 
 
 def shingle_sets(data, ends, words: int = WORDS, seed: int = 0):  # noqa: ANN001, ANN201
@@ -105,7 +111,26 @@ def set_nodes(hashes, counts):  # noqa: ANN001, ANN201
 
 
 def _texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("data"))
+    return df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("data"), F.xxhash64(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).alias("text_hash"))
+
+
+def packed(entries) -> bytes:  # noqa: ANN001
+    """Entries column by column, compressed: sizes, places and salts shrink to little."""
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(entries[name].tobytes() for name, _ in ENTRY))
+
+
+def unpacked(blob: bytes):  # noqa: ANN201
+    import numpy as np
+    import zstandard
+
+    data = zstandard.ZstdDecompressor().decompress(blob)
+    out, at = np.empty(len(data) // np.dtype(ENTRY).itemsize, ENTRY), 0
+    for name, kind in ENTRY:
+        own = np.frombuffer(data, kind, len(out), at)
+        out[name], at = own, at + own.nbytes
+    return out
 
 
 def _pairs_of(rows, need: int, total: int):  # noqa: ANN001, ANN201
@@ -114,7 +139,7 @@ def _pairs_of(rows, need: int, total: int):  # noqa: ANN001, ANN201
     import numpy as np
 
     n, pos, comp = rows
-    rest = n - pos
+    rest = n - pos + MORE  # may be the last of so many more that both have to share
     cuts = np.arange(0, len(n), BLOCK)
     most_n, most_rest = np.maximum.reduceat(n, cuts), np.maximum.reduceat(rest, cuts)
     low, high = np.minimum.reduceat(comp, cuts), np.maximum.reduceat(comp, cuts)
@@ -161,14 +186,14 @@ def jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     often = times >= RECURS
                     none = [[]] * (j - i - 1)
                     yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).slice(i, j - i), pa.array(counts), pa.array(node), pa.array(more), pa.array([ordered[edge[often]].view(np.int64), *none], pa.list_(pa.int64())), pa.array([times[often], *none], pa.list_(pa.int64()))],
-                        names=["id", "n", "node", "more", "often", "times"],
+                        [batch.column(2).slice(i, j - i), batch.column(0).slice(i, j - i), pa.array(counts), pa.array(node), pa.array(more), pa.array([ordered[edge[often]].view(np.int64), *none], pa.list_(pa.int64())), pa.array([times[often], *none], pa.list_(pa.int64()))],
+                        names=["text_hash", "id", "n", "node", "more", "often", "times"],
                     )
 
         return run
 
     for seed in range(64):
-        nodes = write_table(docs.mapInArrow(survey(seed), f"id {kind}, n long, node long, more long, often array<long>, times array<long>"), "nodes")
+        nodes = write_table(docs.mapInArrow(survey(seed), f"text_hash long, id {kind}, n long, node long, more long, often array<long>, times array<long>"), "nodes")
         if not nodes.where("n > 0").groupBy("node").agg(F.min(F.struct("more", "n")).alias("x"), F.max(F.struct("more", "n")).alias("y")).where("x <> y").take(1):
             break
     often = nodes.where(F.size("often") > 0).select(F.explode(F.arrays_zip("often", "times")).alias("x")).groupBy(F.col("x.often").alias("hash")).agg(F.sum("x.times").alias("times"))
@@ -207,7 +232,7 @@ def jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 key, owner, size, pos, salt = [], [], [], [], []
                 for d in keep:
                     n, s = counts[d], start[d]
-                    p = n - -(-percent * n // 100) + 1
+                    p = min(n, n - -(-percent * n // 100) + 1 + min(n // PER, MORE))
                     cold = np.flatnonzero(~is_hot[s : s + n])[:p]
                     if len(cold) < p:
                         warm = np.flatnonzero(is_hot[s : s + n])
@@ -221,24 +246,23 @@ def jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     pos.append(np.arange(len(pick)))
                     salt.append(np.where(is_hot[pick], node[d].view(np.uint64) % np.maximum(1, hot_salts[found[pick]] if len(hot_hash) else 1).astype(np.uint64), 0))
                 key, owner, size, pos, salt = (np.concatenate(x) for x in (key, owner, size, pos, salt))
-                entry = np.empty(len(key), [("key", "<i8"), ("node", "<i8"), ("n", "<i4"), ("pos", "<i4"), ("salt", "<i4")])
+                entry = np.empty(len(key), ENTRY)
                 for name, x in (("key", key.view(np.int64)), ("node", owner), ("n", size), ("pos", pos), ("salt", salt)):
                     entry[name] = x
                 bucket = (mixed(key + salt.astype(np.uint64)) % np.uint64(buckets)).astype(np.int32)
                 order = np.argsort(bucket, kind="stable")
                 bucket, entry = bucket[order], entry[order]
                 cut = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
-                blobs = [entry[a:b].tobytes() for a, b in zip(cut, np.append(cut[1:], len(entry)), strict=True)]
+                blobs = [packed(entry[a:b]) for a, b in zip(cut, np.append(cut[1:], len(entry)), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(bucket[cut]), pa.array(blobs, pa.binary())], names=["bucket", "entries"])
 
     def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        kind_of = np.dtype([("key", "<i8"), ("node", "<i8"), ("n", "<i4"), ("pos", "<i4"), ("salt", "<i4")])
         hot = np.sort(np.array(frequent.value[0], np.int64)[np.array(frequent.value[1], np.int64) > LIST_ROWS])
 
         def out(blobs: list[bytes]) -> pa.RecordBatch:
-            e = np.frombuffer(b"".join(blobs), kind_of)
+            e = np.concatenate([unpacked(x) for x in blobs])
             e = e[np.lexsort((e["node"], e["salt"], e["key"]))]
             new = np.append(True, (e["key"][1:] != e["key"][:-1]) | (e["salt"][1:] != e["salt"][:-1]))
             again = ~new & np.append(False, e["node"][1:] == e["node"][:-1])
@@ -263,20 +287,35 @@ def jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     posted = docs.mapInArrow(index, "bucket int, entries binary").repartition(parts, "bucket").sortWithinPartitions("bucket")
     members = write_table(posted.mapInArrow(lists, "key long, node long, n int, pos int, lead long, lead_n int"), "members")
+    del posted
+    release(spark)
 
     near = lambda a, b: (F.least(a, b) * 100 >= F.greatest(a, b) * percent)
-    stars = members.where("node <> lead").where(near(F.col("n"), F.col("lead_n"))).select(F.col("lead").alias("a"), F.col("node").alias("b"))
+    # A node is first compared with one leader at most, that of most of its lists. What else may link is left
+    # to the lists that are then still of several components.
+    shared = members.where("node <> lead").where(near(F.col("n"), F.col("lead_n"))).groupBy("node", "lead").agg(F.count(F.lit(1)).alias("lists"), F.first("n").alias("n"))
+    stars = shared.groupBy("node").agg(F.max_by("lead", F.struct("lists", "lead")).alias("lead"), F.max("lists").alias("lists"), F.first("n").alias("n"))
+    stars = stars.where(F.col("lists") * FEW >= F.col("n") * (100 - percent) / 100).select(F.col("lead").alias("a"), F.col("node").alias("b"))
     leads = members.select("key", "lead", "lead_n").distinct()
     chief = leads.groupBy("key").agg(F.min(F.struct("lead", "lead_n")).alias("top"), F.count(F.lit(1)).alias("salts")).where("salts > 1")
     bridges = leads.join(chief, "key").where(near(F.col("lead_n"), F.col("top.lead_n"))).select(F.col("top.lead").alias("a"), F.col("lead").alias("b")).where("a <> b")
     first = write_table(stars.unionByName(bridges).distinct(), "stars")
 
-    wanted = members.select("node").distinct()
-    owner = nodes.where("n > 0").groupBy("node").agg(F.min("id").alias("id")).join(wanted, "node")
-    sets = write_table(_sets(docs.join(owner.select("id").distinct(), "id"), words, seed).join(wanted, "node", "left_semi").dropDuplicates(["node"]), "sets")
+    def sets_of(pairs: DataFrame) -> DataFrame:
+        """node and hashes of the nodes of pairs, each from the first of its documents."""
+        wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+        owner = nodes.where("n > 0").groupBy("node").agg(F.min(F.struct("text_hash", "id")).alias("of")).join(wanted, "node").select(F.col("of.text_hash").alias("h"), F.col("of.id").alias("of"))
+        own = docs.join(owner, (docs["text_hash"] == F.col("h")) & docs["id"].eqNullSafe(F.col("of")), "left_semi")
+        sets = write_table(_sets(own, words, seed).dropDuplicates(["node"]), "sets")  # rows may repeat
+        release(spark)
+        return sets
+
+    sets = sets_of(first)
     answers = write_table(_overlaps(first, sets), "answers")
     enough = (F.col("both") * 100 >= percent * (F.col("na") + F.col("nb") - F.col("both")))
     linked = components(answers.where(enough))
+    remove_table(sets)
+    release(spark)
 
     placed = members.join(linked, "node", "left").select("key", "node", "n", "pos", F.coalesce("comp", "node").alias("comp"))
     mixed_lists = placed.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key")
@@ -292,10 +331,11 @@ def jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             for a, b in zip(cut, np.append(cut[1:], len(key)), strict=True):
                 x, y = _pairs_of((n[a:b], pos[a:b], comp[a:b]), percent, 100)
                 if len(x):
-                    u, v = node[a:b][x], node[a:b][y]
-                    found.append(np.stack([np.minimum(u, v), np.maximum(u, v)], 1))
-            pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["a", "b"])
+                    u, v, nu, nv = node[a:b][x], node[a:b][y], n[a:b][x], n[a:b][y]
+                    swap = u > v
+                    found.append(np.stack([np.where(swap, v, u), np.where(swap, u, v), np.where(swap, nv, nu), np.where(swap, nu, nv)], 1))
+            pairs, times = np.unique(np.concatenate(found), axis=0, return_counts=True) if found else (np.zeros((0, 4), np.int64), np.zeros(0, np.int64))
+            return pa.RecordBatch.from_arrays([*(pa.array(pairs[:, k].copy()) for k in range(4)), pa.array(times)], names=["a", "b", "na", "nb", "shared"])
 
         held = [np.zeros(0, np.int64)] * 5
         for batch in batches:
@@ -305,7 +345,9 @@ def jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             held = [x[last:] for x in rows]
         yield out(held)
 
-    pairs = write_table(open_lists.mapInArrow(open_pairs, "a long, b long").distinct(), "pairs")
+    needed = F.least(F.floor(F.least("na", "nb") / PER), F.lit(MORE)) + 1
+    pairs = open_lists.mapInArrow(open_pairs, "a long, b long, na long, nb long, shared long").groupBy("a", "b", "na", "nb").agg(F.sum("shared").alias("shared"))
+    pairs = write_table(pairs.where(F.col("shared") >= needed).select("a", "b"), "pairs")
     # Answers of both with a common leader bound theirs.
     seen = answers.select(F.col("a").alias("lead"), F.col("b").alias("node"), "both", F.col("na").alias("nl"), F.col("nb").alias("n"))
     seen = seen.unionByName(answers.select(F.col("a").alias("lead"), F.col("a").alias("node"), F.col("na").alias("both"), F.col("na").alias("nl"), F.col("na").alias("n")).distinct())
@@ -317,7 +359,11 @@ def jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     asked = percent * (F.col("na") + F.col("nb"))
     derived = bounded.where(F.col("least") * (100 + percent) >= asked).select("a", "b")
     undecided = bounded.where(F.col("most").isNull() | ((F.col("most") * (100 + percent) >= asked) & (F.col("least") * (100 + percent) < asked))).select("a", "b")
-    late = write_table(_overlaps(undecided, sets).where(enough).select("a", "b").unionByName(derived), "late")
+    undecided = write_table(undecided, "undecided")
+    late = derived
+    if undecided.take(1):
+        late = _overlaps(undecided, sets_of(undecided)).where(enough).select("a", "b").unionByName(derived)
+    late = write_table(late, "late")
 
     comp = linked
     if late.take(1):
@@ -343,10 +389,12 @@ def _sets(docs: DataFrame, words: int, seed: int) -> DataFrame:
             data, ends = byte_column(batch.column(0))
             for i, j in portions(ends, PORTION):
                 hashes, counts = shingle_sets(data[ends[i] : ends[j]], ends[i : j + 1] - ends[i], words, seed)
-                stop = np.cumsum(counts)
-                yield pa.RecordBatch.from_arrays([pa.array(set_nodes(hashes, counts)[0]), pa.array([hashes[b - n : b].tobytes() for b, n in zip(stop, counts, strict=True)], pa.binary())], names=["node", "hashes"])
+                node, stop = set_nodes(hashes, counts)[0], np.cumsum(counts)
+                keep = np.unique(node, return_index=True)[1]
+                keep = keep[counts[keep] > 0]
+                yield pa.RecordBatch.from_arrays([pa.array(node[keep]), pa.array([hashes[b - n : b].tobytes() for b, n in zip(stop[keep], counts[keep], strict=True)], pa.binary())], names=["node", "hashes"])
 
-    return docs.select("data").mapInArrow(run, "node long, hashes binary").where(F.length("hashes") > 0)
+    return docs.select("data").mapInArrow(run, "node long, hashes binary")
 
 
 def _overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
