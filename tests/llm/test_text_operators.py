@@ -178,6 +178,45 @@ def test_sentencepiece_round_trip(spark, odd, none, docs):
     assert sentencepiece_codec.encode(none, piece_model()).count() == 0
 
 
+def test_dropout_skips_each_candidate_of_each_segment_by_itself():
+    with open(piece_model(), "rb") as f:
+        model = f.read()
+    codec, fresh, rng, n, places = sentencepiece_codec.Codec(model), sentencepiece_codec.Codec(model), random.Random(1), 4000, 3
+
+    def tossed(word):
+        """Candidate by candidate, a coin each."""
+        marks = list(word.replace(" ", sentencepiece_codec.SPACE))
+        gone = set()
+        while True:
+            open_ = [(codec.order[a + b], i) for i, (a, b) in enumerate(zip(marks, marks[1:])) if a + b in codec.order and i not in gone]  # noqa: B905
+            if not open_:
+                return tuple(codec.piece[x] for x in marks)
+            i = min(open_)[1]
+            if rng.random() < 0.1:
+                gone.add(i)
+                continue
+            marks[i : i + 2] = [marks[i] + marks[i + 1]]
+            gone = {g - (g > i) for g in gone if g not in (i - 1, i + 1)}
+
+    for word in (" at", " something", " responsibility"):
+        want, got, alike = Counter(tossed(word) for _ in range(n)), [Counter() for _ in range(places)], 0
+        for key in range(n):
+            key = (key * 0x9E3779B97F4A7C15 + 12345) & sentencepiece_codec.MASK
+            ids = codec.encode((word * places)[1:], key, 0.1)
+            starts = [i for i, x in enumerate(ids) if codec.bytes[x][:1] == b" "]
+            own = [tuple(ids[a:b]) for a, b in zip(starts, [*starts[1:], len(ids)], strict=True)]
+            for seen, x in zip(got, own, strict=True):
+                seen[x] += 1
+            alike += own[0] == own[1]
+            if key % 40 == 0:
+                assert fresh.encode((word * places)[1:], key, 0.1) == ids
+        for seen in got:
+            assert all(abs(seen[x] - c) / n < 0.04 for x, c in want.items())
+            assert abs(len(seen) - len(want)) <= 0.4 * len(want)
+        assert abs(alike / n - sum((c / n) ** 2 for c in want.values())) < 0.04
+    assert len(want) > 8
+
+
 def test_language_id_on_held_out_rows(odd, none, docs):
     got = language_id.identify_language(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out and lang is not null and lang_pred <> 'und'").collect()
     assert sum(r.lang == r.lang_pred for r in got) >= 0.9 * len(got)

@@ -1,29 +1,35 @@
 """Operator 2, SentencePiece encoding with seeded merge-dropout, and decoding.
 
 BPE merges are taken from an agenda in order of score, as the public library does it. With
-dropout, a candidate merge that comes up is skipped when a keyed hash of seed, segment, place and
-piece says so; the candidate is gone until a neighbouring merge offers it again. Every document and
-place draws one of VARIANTS keys for its segment, so that equal words are split in varied ways,
-while the result depends on nothing but seed, id and text. Decoding gives back every text exactly.
+dropout, each candidate merge that comes up is skipped with that chance, and is then gone until a
+neighbouring merge offers it again. Every segment of every document draws for itself: hashes keyed
+by seed, document and the segment's place say how many candidates come up before each one that is
+skipped. The result depends on nothing but seed, id and text. Decoding gives back every text exactly.
 
 Texts are cut into segments where no piece of the vocabulary can reach across, so that segments
-can be encoded apart and remembered.
+can be encoded apart. What is remembered of a segment is, after each series of skips met so far, how
+many more candidates come up if no other is skipped, and the pieces then: as any draw can be looked
+up in that, remembering spares work and changes no result.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 import re
 import zlib
 from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-DROPOUT, VARIANTS = 0.1, 4
-#: Segments that a worker remembers lately, and as many older ones; longer ones than SHORT characters are not remembered.
+from tidewright.llm.common import mixed
+
+DROPOUT = 0.1
+#: Segments, each with a series of skips, that a worker remembers lately, and as many older ones; longer ones than SHORT characters are not remembered.
 REMEMBERED, SHORT = 400_000, 24
 SPACE = "▁"
 #: A lone surrogate, which no text has: marks a U+2581 of the text itself.
@@ -37,6 +43,31 @@ SEGMENT = re.compile(r"\n| *(?:[^\w\n ]|[\d_])*[^\W\d_]+| *(?:[^\w\n ]|[\d_])+|
 COARSE = re.compile(r" *[^ ]+| +")
 
 
+def first_gaps(key: int, n: int, dropout: float) -> tuple[list[int], list[int]]:
+    """For each of a document's n segments its own 64 bits, and how many candidates come up before the
+    first that is skipped: geometric, as if each were drawn by itself."""
+    import numpy as np
+
+    if dropout <= 0:
+        return [0] * n, [NEVER] * n
+    draws = mixed(np.uint64(key) + np.arange(n, dtype=np.uint64) * np.uint64(GOLDEN))
+    if dropout >= 1:
+        return draws.tolist(), [0] * n
+    gaps = np.log(((draws >> np.uint64(12)).astype(float) + 0.5) / (1 << 52)) / math.log1p(-dropout)
+    return draws.tolist(), np.minimum(gaps, NEVER).astype(np.int64).tolist()
+
+
+def gaps_from(draw: int, gap: int, dropout: float) -> Iterator[int]:
+    """The first gap of a segment and all that follow from its 64 bits."""
+    scale = 1 / math.log1p(-dropout) if 0 < dropout < 1 else 0.0
+    while True:
+        yield gap
+        draw = (draw + GOLDEN) & MASK
+        x = ((draw ^ draw >> 30) * 0xBF58476D1CE4E5B9) & MASK
+        x = ((x ^ x >> 27) * 0x94D049BB133111EB) & MASK
+        gap = int(min(math.log((((x ^ x >> 31) >> 12) + 0.5) / (1 << 52)) * scale, NEVER)) if scale else gap
+
+
 class Codec:
     """The pieces of a SentencePiece BPE model with byte fallback and a dummy space before the text."""
 
@@ -57,30 +88,35 @@ class Codec:
         if any(b == SPACE and a != SPACE for p in self.piece for a, b in zip(p, p[1:])):  # noqa: B905
             raise ValueError("the model has pieces that reach across words")
         self.cut = COARSE if any(a.isalpha() and not b.isalpha() for p in self.piece for a, b in zip(p, p[1:])) else SEGMENT  # noqa: B905
-        #: For each variant the segments met lately, and those met before them: frequent ones move on.
-        self.known: list[dict[str, array]] = [{} for _ in range(VARIANTS)]
-        self.before: list[dict[str, array]] = [{} for _ in range(VARIANTS)]
+        #: Segments met lately, and those met before them: frequent ones move on. A key is a segment, or a
+        #: key and how many candidates came up since its last skip before the next.
+        self.known: dict[str | tuple, tuple[int, array]] = {}
+        self.before: dict[str | tuple, tuple[int, array]] = {}
 
-    def merge_few(self, marks: list[str], base: int, limit: int) -> list[str]:
-        """The agenda of a short segment: the order of each adjacent pair, searched for the least."""
-        order = self.order.get
+    def merge_few(self, marks: list[str], gaps: Iterator[int]) -> int:
+        """The agenda of a short segment: the order of each adjacent pair, searched for the least. gaps
+        are the numbers of candidates before each that is skipped. Returns how many came up after the
+        last skip."""
+        order, gap, since = self.order.get, next(gaps), 0
         agenda = [order(a + b, NEVER) for a, b in zip(marks, marks[1:])]  # noqa: B905
         while agenda and (first := min(agenda)) < NEVER:
             i = agenda.index(first)
-            if limit and ((base ^ first * 0x85EBCA6B ^ i * 0xC2B2AE35) * GOLDEN >> 40) & 0xFFFF < limit:
+            if since == gap:
                 agenda[i] = NEVER
+                gap, since = next(gaps), 0
                 continue
+            since += 1
             marks[i] += marks.pop(i + 1)
             del agenda[i]
             if i:
                 agenda[i - 1] = order(marks[i - 1] + marks[i], NEVER)
             if i < len(agenda):
                 agenda[i] = order(marks[i] + marks[i + 1], NEVER)
-        return marks
+        return since
 
-    def merge_many(self, marks: list[str], base: int, limit: int) -> list[str]:
+    def merge_many(self, marks: list[str], gaps: Iterator[int]) -> int:
         """The same with a heap and linked marks, for segments of any length."""
-        n, order = len(marks), self.order.get
+        n, order, gap, since = len(marks), self.order.get, next(gaps), 0
         after, before = [*range(1, n), -1], [*range(-1, n - 1)]
         agenda = [(found, i, marks[i], marks[i + 1]) for i in range(n - 1) if (found := order(marks[i] + marks[i + 1], NEVER)) < NEVER]
         heapq.heapify(agenda)
@@ -88,22 +124,25 @@ class Codec:
             first, i, left, right = heapq.heappop(agenda)
             if marks[i] != left or (j := after[i]) < 0 or marks[j] != right:
                 continue
-            if limit and ((base ^ first * 0x85EBCA6B ^ i * 0xC2B2AE35) * GOLDEN >> 40) & 0xFFFF < limit:
+            if since == gap:
+                gap, since = next(gaps), 0
                 continue
+            since += 1
             marks[i], marks[j], after[i] = left + right, "", after[j]
             if after[i] >= 0:
                 before[after[i]] = i
             for a, b in ((before[i], i), (i, after[i])):
                 if a >= 0 and b >= 0 and (found := order(marks[a] + marks[b], NEVER)) < NEVER:
                     heapq.heappush(agenda, (found, a, marks[a], marks[b]))
-        return marks
+        return since
 
-    def segment(self, text: str, key: int, dropout: float) -> array:
-        """Piece numbers of one segment. A literal U+2581 goes by bytes, as its piece means a space."""
+    def segment(self, text: str, gaps: Iterator[int]) -> tuple[int, array]:
+        """How many candidates came up after the last skip, and the piece numbers of one segment. A
+        literal U+2581 goes by bytes, as its piece means a space."""
         marks = [SPACE if c == " " else LITERAL + c if c == SPACE else c for c in text] if SPACE in text else list(text.replace(" ", SPACE))
+        since = 0
         if len(marks) > 1:
-            base, limit = zlib.crc32(text.encode(), key & 0xFFFFFFFF) ^ key, int(dropout * 65536)
-            marks = self.merge_few(marks, base, limit) if len(marks) <= SHORT else self.merge_many(marks, base, limit)
+            since = self.merge_few(marks, gaps) if len(marks) <= SHORT else self.merge_many(marks, gaps)
         out = array("i")
         for mark in marks:
             if mark:
@@ -112,31 +151,47 @@ class Codec:
                     out.extend(self.byte[x] for x in mark.removeprefix(LITERAL).encode())
                 else:
                     out.append(i)
-        return out
+        return since, out
 
     def encode(self, text: str, key: int = 0, dropout: float = 0.0) -> array:
-        out, known, draw, varied = array("i"), self.known, (key * GOLDEN + 1) & MASK, dropout > 0
-        for part in self.cut.findall(" " + text) if text else ():
-            variant = 0
-            if varied:
-                draw = (draw * 6364136223846793005 + 1442695040888963407) & MASK
-                variant = draw >> 32 if len(part) > SHORT else (draw >> 60) % VARIANTS
-            if len(part) > SHORT:
-                ids = self.segment(part, variant * GOLDEN & MASK if varied else 0, dropout)
-            elif (ids := known[variant].get(part)) is None:
-                ids = self.remember(part, variant, dropout)
-            out.extend(ids)
+        out = array("i")
+        parts = self.cut.findall(" " + text) if text else []
+        draws, firsts = first_gaps(key, len(parts), dropout)
+        for part, draw, gap in zip(parts, draws, firsts, strict=True):
+            found = self.known.get(part)
+            if found is not None and gap >= found[0]:
+                out.extend(found[1])
+            else:
+                out.extend(self.varied(part, gaps_from(draw, gap, dropout)))
         return out
 
-    def remember(self, part: str, variant: int, dropout: float) -> array:
-        """The pieces of a short segment that was not met lately."""
-        ids = self.before[variant].get(part)
-        if ids is None:
-            ids = self.segment(part, variant * GOLDEN & MASK if dropout > 0 else 0, dropout)
-        if len(self.known[variant]) >= REMEMBERED // VARIANTS:
-            self.before[variant], self.known[variant] = self.known[variant], {}
-        self.known[variant][part] = ids
-        return ids
+    def varied(self, part: str, gaps: Iterator[int]) -> array:
+        """The pieces of a segment, by way of what is remembered as far as that goes."""
+        if len(part) > SHORT:
+            return self.segment(part, gaps)[1]
+        at, skips, gap = part, [], next(gaps)
+        while (found := self.known.get(at) or self.recall(at)) is not None:
+            if gap >= found[0]:
+                return found[1]
+            at = (at, gap)
+            skips.append(gap)
+            gap = next(gaps)
+        used: list[int] = []
+        found = self.segment(part, (used.append(g) or g for g in chain(skips, (gap,), gaps)))
+        if len(used) == len(skips) + 1:  # no skip came after those of the key
+            self.remember(at, found)
+        return found[1]
+
+    def recall(self, at: str | tuple) -> tuple[int, array] | None:
+        """What was met before lately moves on."""
+        if (found := self.before.get(at)) is not None:
+            self.remember(at, found)
+        return found
+
+    def remember(self, at: str | tuple, found: tuple[int, array]) -> None:
+        if len(self.known) >= REMEMBERED:
+            self.before, self.known = self.known, {}
+        self.known[at] = found
 
     def decode(self, ids: array) -> bytes:
         return b"".join(map(self.bytes.__getitem__, ids))[1:]
