@@ -251,6 +251,32 @@ def test_mixing_keeps_every_source_within_one_block(spark, odd, none):
     assert order.columns == odd.columns and order.count() >= len({r[0] for r in odd_rows()})
 
 
+def test_mixing_keeps_exact_weights_for_ever(spark):
+    rng = random.Random(2)
+    for n, most in ((2, 10), (7, 10), (40, 10), (40, 10**6), (300, 10**6)):
+        shares = list(mixing.exact_shares({i: rng.choice([1, 3, rng.randrange(1, most) ** 0.5]) for i in range(n)}).values())
+        assert most > 10 or mixing.lead(shares) < 300
+        whole = list(mixing.pfair_slots(shares, 0, 6000))
+        assert all(j * sum(shares) // shares[i] <= slot < -(-(j + 1) * sum(shares) // shares[i]) for slot, i, j in whole)
+        for start in (1, 77, 1500, 4999):
+            assert list(mixing.pfair_slots(shares, start, start + 900)) == whole[start : start + 900]
+    # 20 sources, one with a third of the rows: over 1.5 periods of 1000 slots, against the target weights.
+    counts = {"big": 950, **{f"s{i:02}": 100 for i in range(19)}}
+    # 1100 sources of unlike sizes
+    many = {f"m{i:04}": 1 + 8 * (i % 2) for i in range(1100)}
+    for sizes, how in ((counts, {"block_docs": 1}), (many, {"block_docs": 1, "temperature": 1.0}), ({"a": 1500, "b": 900, None: 3}, {"block_docs": 1, "weights": {"a": 5, "b": 3.3}})):
+        rows = spark.createDataFrame([(i, s) for i, s in enumerate(s for s, n in sizes.items() for _ in range(n))], "doc_id long, source string")
+        got = mixing.mix(rows, **how).collect()
+        assert len(got) == len({r.slot for r in got}) == sum(sizes.values())
+        weights = {s: how["weights"].get(s, 3.3) if "weights" in how else n ** how.get("temperature", 0.5) for s, n in sizes.items()}
+        for s, w in weights.items():
+            w /= sum(weights.values())
+            slots = sorted(r.slot for r in got if r.source == s)
+            # Just before and just after its block j a source has had j and j + 1.
+            assert all(abs(j - w * t) < 1 and abs(j + 1 - w * (t + 1)) < 1 for j, t in enumerate(slots))
+    assert max(r.slot for r in mixing.mix(spark.createDataFrame([(i, s) for i, s in enumerate(s for s, n in counts.items() for _ in range(n))], "doc_id long, source string"), block_docs=1).collect()) > 1500
+
+
 def test_warc_round_trip(spark, tmp_path):
     page = "<html>" + "x" * 120 + "\r\n\r\nWARC/1.0\r\n"
     rows = [(5, "http://a/1 2", page), (3, None, page), (9, "http://b", page), (1, "u", None), (2, "u", ""), (4, "u", "short"), (6, "u", "short"), (7, "ü", "é" * 60)]

@@ -7,26 +7,105 @@ the earliest deadline, so that at every slot the number of blocks a source has h
 one away from w times the slots (Baruah, Cohen, Plaxton and Varvel 1996; on one resource earliest
 deadline first is enough).
 
-Weights are multiples of 1 / period. Then the schedule repeats every period slots, and a block's
-slot follows from its number and one period's schedule. So only that period is computed in one
-place, at a size that the number of sources bounds; all documents are placed in parallel.
+Weights are taken as exact fractions: a float is the fraction that it stores. The slots are computed
+in ranges side by side. A range starts its count some slots early, from any state in which every
+source is less than a block off: jobs that are due after those slots have all been served in their
+order by then, whatever the start, so that from the range's own first slot on the schedule is the one
+that a count from slot 0 would give. How early follows from the smallest weight.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
+from collections.abc import Iterator
+from fractions import Fraction
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewright.llm.common import write_table
 
 BLOCK_DOCS = 32
-PERIOD = 1000
+#: Slots that a task computes at least.
+RANGE = 20_000
 #: Rows of one source that a task orders together, about.
 ROWS_A_BUCKET = 20_000
 
 
+def by_name(sources) -> list:  # noqa: ANN001
+    """Sources in order, null before all."""
+    return sorted(sources, key=lambda s: (s is not None, s or ""))
+
+
+def exact_shares(weights: dict) -> dict:
+    """Weights as whole numbers in exactly the same proportion."""
+    exact = {s: Fraction(w) for s, w in weights.items()}
+    if any(w <= 0 for w in exact.values()):
+        raise ValueError("weights have to be positive")
+    unit = math.lcm(*(w.denominator for w in exact.values())) if exact else 1
+    whole = {s: int(w * unit) for s, w in exact.items()}
+    shared = math.gcd(*whole.values()) if whole else 1
+    return {s: w // shared for s, w in whole.items()}
+
+
+def lead(shares: list[int]) -> int:
+    """Slots by which a range has to start early."""
+    return -(-sum(shares) // min(shares)) + 2
+
+
+def pfair_slots(shares: list[int], start: int, end: int) -> Iterator[tuple[int, int, int]]:
+    """(slot, number of the source, its block) for the slots [start, end) of the whole schedule.
+    Earliest deadline first; ties go to the source that comes first."""
+    total = sum(shares)
+    early = max(0, start - lead(shares))
+    done = [early * a // total for a in shares]
+    # As many blocks as slots: what the floors leave goes to sources that are amid a block.
+    amid = [i for i, a in enumerate(shares) if early * a % total]
+    for i in amid[: early - sum(done)]:
+        done[i] += 1
+    waiting = [(j * total // a, -(-(j + 1) * total // a), i, j) for i, (a, j) in enumerate(zip(shares, done, strict=True))]
+    ready: list[tuple[int, int, int]] = []
+    heapq.heapify(waiting)
+    for slot in range(early, end):
+        while waiting and waiting[0][0] <= slot:
+            heapq.heappush(ready, heapq.heappop(waiting)[1:])
+        _, i, j = heapq.heappop(ready)
+        if slot >= start:
+            yield slot, i, j
+        a, j = shares[i], j + 1
+        heapq.heappush(waiting, (j * total // a, -(-(j + 1) * total // a), i, j))
+
+
+def schedule(spark: SparkSession, shares: dict, blocks: dict, least: int = RANGE) -> DataFrame:
+    """s, j, release, deadline and slot of the first blocks[s] blocks of each source s of shares."""
+    order = by_name(shares)
+    own, have, total = [shares[s] for s in order], [blocks[s] for s in order], sum(shares.values())
+    slots = max((-(-n * total // a) for n, a in zip(have, own, strict=True)), default=0)
+    # A range is several times as long as the slots before it that its task computes for its start.
+    step = max(least, 4 * lead(own)) if own else 1
+
+    def run(batches: Iterator) -> Iterator:
+        import pandas as pd
+
+        def table(rows: list) -> pd.DataFrame:
+            return pd.DataFrame([(order[i], j, j * total // own[i], -(-(j + 1) * total // own[i]), slot) for slot, i, j in rows], columns=["s", "j", "release", "deadline", "slot"])
+
+        for batch in batches:
+            for k in batch["id"]:
+                rows = []
+                for row in pfair_slots(own, int(k) * step, min(slots, (int(k) + 1) * step)):
+                    if row[2] < have[row[1]]:
+                        rows.append(row)
+                        if len(rows) >= 50_000:
+                            yield table(rows)
+                            rows = []
+                yield table(rows)
+
+    ranges = -(-slots // step)
+    return spark.range(0, ranges, 1, max(1, min(ranges, 10_000))).mapInPandas(run, "s string, j long, release long, deadline long, slot long")
+
+
 def whole_shares(weights: dict, period: int) -> dict:
     """Weights as numbers of slots of a period, at least 1 each, by largest remainders; ties go to
     the source that sorts first (null before all)."""
@@ -64,12 +143,13 @@ def shuffle_key(id_col: str, seed: int) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
 
 
-def mix(df: DataFrame, weights: dict | None = None, id_col: str = "doc_id", source_col: str = "source", block_docs: int = BLOCK_DOCS, period: int = PERIOD, seed: int = 0, temperature: float = 0.5) -> DataFrame:
+def mix(df: DataFrame, weights: dict | None = None, id_col: str = "doc_id", source_col: str = "source", block_docs: int = BLOCK_DOCS, period: int | None = None, seed: int = 0, temperature: float = 0.5) -> DataFrame:
     """One row per row of df: id_col, source_col, place (number in the source's order), block,
     release, deadline and slot of its block, and position, by which the mix is ordered.
 
     Without weights, a source's weight is its number of rows to the power `temperature`. Sources
-    that weights doesn't name get the smallest weight named. A null source is a source of its own;
+    that weights doesn't name get the smallest weight named. Weights are kept exactly, unless the caller
+    asks by `period` for whole_shares() of that many slots instead. A null source is a source of its own;
     null and repeated ids are ordered like others (ties in no given order). Every row has a place:
     after a source's last block its slots stay empty, and the bound of one block holds for the
     slots before the first source ends.
@@ -89,18 +169,12 @@ def mix(df: DataFrame, weights: dict | None = None, id_col: str = "doc_id", sour
     placed = ranked.join(starts, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b"))).select("id", "source", (F.col("start") + F.col("rank")).alias("place"))
 
     least = min((weights or {}).values(), default=1)
-    shares = whole_shares({s: (weights.get(s, least) if weights else n**temperature) for s, n in counts.items()}, period)
-    length = sum(shares.values())
-    schedule = df.sparkSession.createDataFrame(pfair_period(shares), "s string, j long, release0 long, deadline0 long, slot0 long")
-    per_turn = df.sparkSession.createDataFrame(list(shares.items()), "s2 string, share long")
-    # Both tables have a row for each slot of one period or less: their size is the period's.
-    blocks = placed.withColumn("block", F.floor(F.col("place") / block_docs)).join(F.broadcast(per_turn), F.col("source").eqNullSafe(F.col("s2")))
-    blocks = blocks.withColumn("turn", F.floor(F.col("block") / F.col("share"))).withColumn("j0", F.col("block") % F.col("share"))
-    timed = blocks.join(F.broadcast(schedule), F.col("source").eqNullSafe(F.col("s")) & (F.col("j0") == F.col("j")))
-    shift = F.col("turn") * length
-    return timed.select(
-        F.col("id").alias(id_col), F.col("source").alias(source_col), "place", "block", (F.col("release0") + shift).alias("release"), (F.col("deadline0") + shift).alias("deadline"), (F.col("slot0") + shift).alias("slot"),
-        ((F.col("slot0") + shift) * block_docs + F.col("place") % block_docs).alias("position"),
+    target = {s: (weights.get(s, least) if weights else n**temperature) for s, n in counts.items()}
+    shares = whole_shares(target, period) if period else exact_shares(target)
+    timed = schedule(df.sparkSession, shares, {s: -(-n // block_docs) for s, n in counts.items()})
+    blocks = placed.withColumn("block", F.floor(F.col("place") / block_docs)).join(timed, F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("j")))
+    return blocks.select(
+        F.col("id").alias(id_col), F.col("source").alias(source_col), "place", "block", "release", "deadline", "slot", (F.col("slot") * block_docs + F.col("place") % block_docs).alias("position"),
     )
 
 
