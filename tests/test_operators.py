@@ -152,6 +152,29 @@ def test_bootstrap_and_folds(spark):
     assert [(f.test_from, f.test_to, f.before_to, f.after_from) for f in folds][-1] == (80, 103, 75, 103)
 
 
+def test_bootstrap_takes_all_resamples_and_the_least_sharpe(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    z = rng.normal(0, 1, 300)
+    z = (z - z.mean()) / z.std(ddof=1)
+    own = {1: z + 0.15, 2: z + 0.25, 3: z[:5]}
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in own.items()], "run_id long, returns array<double>")
+    got = {r.run_id: r for r in overfitting.bootstrap_sharpe(df).collect()}
+    for k, x in own.items():
+        drawn = x[np.random.default_rng(42).integers(0, len(x), (10_000, len(x)))]
+        low, high = np.percentile(drawn.mean(1) / drawn.std(1, ddof=1) * len(x) ** 0.5, [2.5, 97.5])
+        assert math.isclose(got[k].low, low, rel_tol=1e-9) and math.isclose(got[k].high, high, rel_tol=1e-9)
+        assert got[k].passed == (low >= 1.0)
+    assert 0 < got[1].low < 1 and not got[1].passed and got[2].passed
+    # The query resamples trades: a run's interval is that of all its trades' returns.
+    runs = {r.run_id: r for r in queries.bootstrap_intervals(spark, SMALL).collect()}
+    trade = market.trades(spark, SMALL).where("run_id = 1").orderBy(*market.TRADE_ORDER).selectExpr("net_pnl / notional AS r").collect()
+    x = np.array([r.r for r in trade])
+    drawn = x[np.random.default_rng(42).integers(0, len(x), (10_000, len(x)))]
+    assert math.isclose(runs[1].low, np.percentile(drawn.mean(1) / drawn.std(1, ddof=1) * len(x) ** 0.5, 2.5), rel_tol=1e-9)
+
+
 def test_streak_moments_of_odd_runs(spark):
     rows = [(1, i, 0, 0, 0, x, 10.0) for i, x in enumerate([1.0, 2.0, 0.0, 3.0, -1.0, -1.0, -1.0])] + [(2, 0, 0, 0, 0, 5.0, 10.0)]
     df = spark.createDataFrame([(a, b, c, d, e, f, g) for a, b, c, d, e, f, g in rows], "run_id long, exit_time long, order_id long, line long, part_id long, net_pnl double, notional double")

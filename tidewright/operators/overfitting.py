@@ -44,10 +44,11 @@ def fold_summary(folds: DataFrame) -> DataFrame:
     return row.withColumn("robust", (F.col("mean") > 0.5) & (F.col("dev") < 1.0))
 
 
-def bootstrap_sharpe(returns: DataFrame, key: str = "run_id", resamples: int = 2000, level: float = 0.95, seed: int = 42) -> DataFrame:
+def bootstrap_sharpe(returns: DataFrame, key: str = "run_id", resamples: int = 10_000, level: float = 0.95, seed: int = 42, min_sharpe: float = 1.0) -> DataFrame:
     """Per row of (key, returns array) the interval of the Sharpe ratio over resamples drawn with
-    replacement; without bounds for fewer than five returns."""
-    kind = dict(returns.dtypes)[key]
+    replacement; without bounds for fewer than five returns. passed says that low is min_sharpe at least.
+    Runs are dealt out again, as their arrays are small and the resampling is long."""
+    kind, parts = dict(returns.dtypes)[key], int(returns.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
@@ -68,7 +69,7 @@ def bootstrap_sharpe(returns: DataFrame, key: str = "run_id", resamples: int = 2
                     found.append(np.where(dev < 1e-10, 0.0, drawn.mean(1) / np.where(dev < 1e-10, 1.0, dev) * len(x) ** 0.5))
                     at += some
                 low, high = np.quantile(np.concatenate(found), [(1 - level) / 2, (1 + level) / 2])
-                out.append((name, float(low), float(high), bool(low > 0)))
+                out.append((name, float(low), float(high), bool(low >= min_sharpe)))
             yield pd.DataFrame(out, columns=[key, "low", "high", "passed"])
 
-    return returns.select(key, "returns").mapInPandas(run, f"`{key}` {kind}, low double, high double, passed boolean")
+    return returns.select(key, "returns").repartition(parts, key).mapInPandas(run, f"`{key}` {kind}, low double, high double, passed boolean")
