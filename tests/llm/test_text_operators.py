@@ -178,6 +178,13 @@ def test_sentencepiece_round_trip(spark, odd, none, docs):
     assert sentencepiece_codec.encode(none, piece_model()).count() == 0
 
 
+def test_title_counts_all_words_of_a_line():
+    plain, junk = b"word " * 40, b"Word " * 40
+    bins, _, _ = crf_quality.measures([plain + junk, plain * 2, junk + plain])
+    title = bins[:, crf_quality.MEASURES.index("title")]
+    assert title.tolist() == [crf_quality.BINS // 2, 0, crf_quality.BINS // 2]
+
+
 def test_dropout_skips_each_candidate_of_each_segment_by_itself():
     with open(piece_model(), "rb") as f:
         model = f.read()

@@ -34,7 +34,7 @@ def measures(docs: list[bytes]):  # noqa: ANN201
         for line in own:
             words = line.split()
             different = len(set(words))
-            more.append((len(words), different, line in seen and bool(words), sum(w[:1].isupper() for w in words[:32]) / max(1, len(words[:32]))))
+            more.append((len(words), different, line in seen and bool(words), sum(w[:1].isupper() for w in words) / max(1, len(words))))
             seen.add(line)
         lines += own
         counts.append(len(own))
