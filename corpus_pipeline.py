@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from tidewright.llm import exact_dedup, jaccard_join, language_id, mixing, sentencepiece_codec
-from tidewright.llm.common import documents, shared_folder
+from tidewright.llm.common import documents, in_written_order, shared_folder
 from tidewright.llm.queries import piece_model
 
 
@@ -36,8 +36,8 @@ def in_mixed_order(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents with their pieces; decoding gives each text back exactly."""
-    return sentencepiece_codec.encode(docs, piece_model())
+    """All documents with their pieces, in the order of the mix; decoding gives each text back exactly."""
+    return sentencepiece_codec.encode(in_written_order(docs), piece_model())
 
 
 STAGES = [

@@ -31,6 +31,15 @@ def write_table(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def in_written_order(df: DataFrame) -> DataFrame:
+    """A table just read from Parquet files with its rows in the order in which they were written. A
+    plain read deals the files out by size. What is no plain read is returned as it is."""
+    if df._jdf.queryExecution().analyzed().getClass().getSimpleName() != "LogicalRelation":
+        return df
+    file = F.col("_metadata.file_name")
+    return df.sort(F.regexp_extract(file, r"part-(\d+)", 1).cast("long"), file, F.col("_metadata.row_index"))
+
+
 def remove_table(df: DataFrame) -> None:
     """Delete the files of a table that write_table() has written, once nothing reads it any more."""
     spark = df.sparkSession
