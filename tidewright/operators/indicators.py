@@ -163,7 +163,8 @@ def _less(a: float | None, b: float | None) -> float | None:
 
 
 def recursive_indicators() -> Callable[[dict], dict]:
-    """All recursive indicators of a bar after those before it, at their default periods."""
+    """The recursive indicators of a bar after those before it, at their default periods; FRAMA and
+    ADAPTIVE_RSI are open."""
     e1, e2, e3, up, down = ema(14), ema(14), ema(14), wilder(14), wilder(14)
     fast, slow, signal, tr14, plus, minus, dx = ema(12), ema(26), ema(9), wilder(14), wilder(14), wilder(14), wilder(14)
     kc_mid, kc_range = ema(20), ema(20)
