@@ -113,6 +113,15 @@ def test_reconcile_equals_greedy(spark):
     assert reconcile.parity(a.where("false"), b.where("false"), got.where("false")).first().parity == 1.0
 
 
+def test_reconcile_streams_one_large_cluster(spark):
+    import time
+
+    a = spark.range(40_000).select("id", F.lit("S").alias("symbol"), (F.col("id") * 13_000).alias("time"))
+    began = time.time()
+    got = reconcile.match(a, a.withColumn("time", F.col("time") + 4000)).agg(F.count(F.lit(1)), F.count_if(F.col("left_id") == F.col("right_id")), F.max("distance")).first()
+    assert tuple(got) == (40_000, 40_000, 4000) and time.time() - began < 20
+
+
 def test_open_and_close_events_pair_in_order(spark):
     log = [("p", 1, "OPEN", 10.0), ("p", 2, "OPEN", 11.0), ("p", 3, "CLOSE", 12.0), ("p", 4, "CLOSE", 13.0), ("q", 1, "CLOSE", 1.0), ("r", 1, "OPEN", 1.0)]
     df = spark.createDataFrame([(p, t, t, e, x) for p, t, e, x in log], "position_id string, ts long, seq long, event string, price double")

@@ -23,7 +23,8 @@ def match(left: DataFrame, right: DataFrame, tolerance: int = TOLERANCE_MS) -> D
     tolerance (equal distances: the earlier): left_id, right_id, distance. Both hold id, symbol, time.
 
     Trades more than a tolerance apart can't be matched, nor influence each other, so every symbol falls
-    into clusters at such gaps, and clusters are matched side by side."""
+    into clusters at such gaps, and clusters are matched side by side. A cluster streams through its task:
+    held are the left trades that wait for later right ones, and the free right ones, within a tolerance."""
     both = left.select("id", "symbol", "time", F.lit(0).alias("side")).unionByName(right.select("id", "symbol", "time", F.lit(1).alias("side")))
     w = Window.partitionBy("symbol").orderBy("time", "side", "id")
     first = (F.col("time") - F.lag("time").over(w) > tolerance).cast("int")
@@ -31,29 +32,47 @@ def match(left: DataFrame, right: DataFrame, tolerance: int = TOLERANCE_MS) -> D
     sorted_ = rows.drop("__new").repartition("symbol", "cluster").sortWithinPartitions("symbol", "cluster", "time", "side", "id")
 
     def run(batches: Iterator) -> Iterator:
+        from bisect import bisect_left
+        from collections import deque
+
         import pandas as pd
 
-        def done(rows: list) -> list:
-            free = [r for r in rows if r[3] == 1]
-            out = []
-            for id_, _, time, side, _ in rows:
-                if side == 0 and free:
-                    best = min(range(len(free)), key=lambda i: (abs(free[i][2] - time), free[i][2], free[i][0]))
-                    if abs(free[best][2] - time) <= tolerance:
-                        out.append((id_, free[best][0], abs(free[best][2] - time)))
-                        free.pop(best)
-            return out
-
-        held: list = []
+        waiting: deque[tuple] = deque()
+        free: list[tuple] = []  # (time, id) in order
+        at = None
+
+        def settle(until: float) -> None:
+            """Match the waiting left trades that no right trade from `until` on can reach."""
+            while waiting and waiting[0][0] + tolerance < until:
+                time, id_ = waiting.popleft()
+                del free[: bisect_left(free, (time - tolerance,))]
+                k = bisect_left(free, (time,))
+                near = [k] if k < len(free) else []
+                if k:
+                    near.append(bisect_left(free, (free[k - 1][0],)))
+                best = min(near, key=lambda i: (abs(free[i][0] - time), *free[i]), default=None)
+                if best is not None and abs(free[best][0] - time) <= tolerance:
+                    out.append((id_, free[best][1], abs(free[best][0] - time)))
+                    free.pop(best)
+
         for batch in batches:
-            out = []
+            out: list[tuple] = []
             for row in batch.itertuples(index=False):
-                if held and (row.symbol, row.cluster) != (held[0][1], held[0][4]):
-                    out += done(held)
-                    held = []
-                held.append((row.id, row.symbol, row.time, row.side, row.cluster))
+                if (row.symbol, row.cluster) != at:
+                    settle(float("inf"))
+                    free.clear()
+                    at = (row.symbol, row.cluster)
+                settle(row.time)
+                if row.side == 0:
+                    waiting.append((row.time, row.id))
+                else:
+                    if not waiting:
+                        del free[: bisect_left(free, (row.time - tolerance,))]
+                    free.append((row.time, row.id))
             yield pd.DataFrame(out, columns=["left_id", "right_id", "distance"])
-        yield pd.DataFrame(done(held), columns=["left_id", "right_id", "distance"])
+        out = []
+        settle(float("inf"))
+        yield pd.DataFrame(out, columns=["left_id", "right_id", "distance"])
 
     return sorted_.mapInPandas(run, "left_id long, right_id long, distance long")
 
