@@ -147,6 +147,15 @@ def test_suffix_dedup_equals_brute_force(spark, odd, none, docs):
     assert suffix_dedup.suffix_dedup(none).count() == 0
 
 
+def test_suffix_dedup_where_shards_share_no_window(spark, monkeypatch):
+    rng = random.Random(8)
+    letters = lambda n: "".join(rng.choice("abcdefghij") for _ in range(n))
+    rows = [(i, letters(60) + "a common string of 20" + letters(60)) for i in range(60)]
+    monkeypatch.setattr(suffix_dedup, "MERGE_WINDOWS", 50)
+    got = suffix_dedup.suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string"), length=50, gram=8, shard_kinds=1).collect()
+    assert len(got) == 60 and all(r.n_removed == 0 and r.n_spans == 0 for r in got)
+
+
 def test_suffix_array_and_prefixes():
     import numpy as np
 

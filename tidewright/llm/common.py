@@ -15,11 +15,13 @@ SPACES = r"[\x20\x09-\x0D]+"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir. Only where that is unset, as in
-    tests on one machine, a local folder takes its place."""
+    """The folder that the cluster names in spark.checkpoint.dir. Only where that is unset and all runs
+    on one machine, as in tests, a local folder takes its place."""
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if conf:
         return conf.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return "file://" + os.path.join(tempfile.gettempdir(), f"tidewright-{os.getuid()}")
 
 
@@ -31,10 +33,22 @@ def write_table(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def plain_read(df: DataFrame) -> bool:
+    """Whether df is a table just read from files, whose rows come in the same order each time."""
+    return df._jdf.queryExecution().analyzed().getClass().getSimpleName() == "LogicalRelation"
+
+
+def stable(df: DataFrame, *columns: Column) -> DataFrame:
+    """The columns of df, and rid, a number for each row that stays the same however often the rows are
+    read: by place in a plain read's files; anything else is written first."""
+    rows = df.select(F.monotonically_increasing_id().alias("rid"), *columns)
+    return rows if plain_read(df) else write_table(rows, "rows")
+
+
 def in_written_order(df: DataFrame) -> DataFrame:
     """A table just read from Parquet files with its rows in the order in which they were written. A
     plain read deals the files out by size. What is no plain read is returned as it is."""
-    if df._jdf.queryExecution().analyzed().getClass().getSimpleName() != "LogicalRelation":
+    if not plain_read(df):
         return df
     file = F.col("_metadata.file_name")
     return df.sort(F.regexp_extract(file, r"part-(\d+)", 1).cast("long"), file, F.col("_metadata.row_index"))

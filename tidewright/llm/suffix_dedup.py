@@ -25,12 +25,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import byte_column, mixed, partitions_for, portions, write_table
+from tidewright.llm.common import byte_column, mixed, portions, stable, write_table
 
 LENGTH, GRAM = 400, 32
 #: Bytes of segments in a shard, about, and different segments of one anchor in it at most, about.
 SHARD_BYTES, SHARD_KINDS = 2_000_000, 2048
 PORTION = 2_000_000
+#: Windows of anchors with several shards that one range of the merge holds, about.
+MERGE_WINDOWS = 200_000
 #: Never in UTF-8: stands between segments, so that no window reaches across.
 STOP = 0xFF
 PLACE_BITS = 30
@@ -201,11 +203,10 @@ def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Removed is each byte that a string of `length` bytes covers which also starts elsewhere, in the
     same document or another; null is empty, and texts shorter than `length` lose nothing. Rows that
     repeat, with or without their id, are documents each. An empty table gives an empty result.
-    df is read three times and must give the same rows in the same order each time, as a table does.
+    What is no plain read of files is written first, as it is read three times.
     """
-    docs = df.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("data"))
+    docs = stable(df, F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("data"))
     kind = dict(docs.dtypes)["id"]
-    parts = partitions_for(df)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -227,8 +228,10 @@ def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     salts = F.ceil(F.col("kinds") / shard_kinds)
     open_ = kinds.join(several, "anchor").select("anchor", F.when(salts > 1, F.pmod("d1", salts)).otherwise(0).cast("int").alias("salt"), (salts > 1).alias("hot"), "at.*")
     open_ = write_table(open_.withColumn("last", F.when(F.col("last") - F.col("first") > length - gram, F.col("first")).otherwise(F.col("last"))), "open")
-    volume = open_.agg(F.sum(F.col("last") - F.col("first") + length)).first()[0] or 0
+    windows = F.col("last") - F.col("first") + 1
+    volume, hot_windows = (x or 0 for x in open_.agg(F.sum(windows + (length - 1)), F.sum(F.when(F.col("hot"), windows))).first())
     shards = max(1, -(-volume // shard_bytes))
+    parts = max(1, -(-hot_windows // MERGE_WINDOWS))
     wanted = open_.select("rid", F.struct("first", "last", "hot", F.pmod(F.xxhash64("anchor", "salt"), F.lit(shards)).alias("shard")).alias("x")).groupBy("rid").agg(F.collect_list("x").alias("wanted"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -264,7 +267,7 @@ def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             one, two = mixed(one, 41), mixed(two, 42)
             mine = np.searchsorted(starts, spot, side="right") - 1
             packed = np.stack([one, two, rid[mine].astype(np.uint64), (first[mine] + spot - starts[mine]).astype(np.uint64)], 1)[np.argsort(one)]
-            cuts = np.searchsorted(packed[:, 0], np.arange(1, parts, dtype=np.uint64) * np.uint64(2**64 // parts))
+            cuts = np.searchsorted(packed[:, 0], np.array([k * (2**64 // parts) for k in range(1, parts)], np.uint64))
             for part, x in enumerate(np.split(packed, cuts)):
                 if len(x):
                     rows.append(pa.table({"rid": [0], "a": [0], "b": [0], "part": [part], "prints": pa.array([x.tobytes()], pa.binary())}))
@@ -287,7 +290,9 @@ def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 merged.append(np.insert(x, np.searchsorted(x[:, 0], rest[:, 0]), rest, 0))
             runs = merged + runs[len(runs) - len(runs) % 2 :]
         got = np.unique(np.concatenate([np.zeros((0, 4), np.uint64), *hits])[:, 2:], axis=0).astype(np.int64)
-        new = np.flatnonzero(np.append(True, (got[1:, 0] != got[:-1, 0]) | (got[1:, 1] != got[:-1, 1] + 1))) if len(got) else np.zeros(0, int)
+        if not len(got):  # no two shards have a window of this range in common
+            return pa.table({k: pa.array([], pa.int64()) for k in ("rid", "a", "b")})
+        new = np.flatnonzero(np.append(True, (got[1:, 0] != got[:-1, 0]) | (got[1:, 1] != got[:-1, 1] + 1)))
         last = np.append(new[1:], len(got)) - 1
         return pa.table({"rid": got[new, 0], "a": got[new, 1], "b": got[last, 1] + length})
 
