@@ -35,7 +35,10 @@ FREQUENT, RECURS = 65_536, 4
 LIST_ROWS = 4096
 #: Members of a list that are skipped or looked at together.
 BLOCK = 64
-PORTION = 3_000_000
+#: Bytes of text whose sets are made together, and of it those whose words are hashed together.
+PORTION, PIECE = 3_000_000, 1 << 18
+#: Of the words' hashes: odd.
+BASE = 0xD6E8FEB86659FD93
 #: A node is compared with a leader first if they share this part of its prefix; any choice gives whole results.
 FEW = 8
 #: Prefixes are longer by up to MORE than one common shingle asks for: 1 for every PER shingles of the set.
@@ -44,6 +47,29 @@ PER, MORE = 40, 7
 ENTRY = [("key", "<i8"), ("node", "<i8"), ("n", "<i4"), ("pos", "<i4"), ("salt", "<i4")]
 
 
+def _word_sums(low, at):  # noqa: ANN001, ANN201
+    """For each word that begins at `at` the sum of its bytes (value + 1; space adds nothing) times powers
+    of a base by place, modulo 2**64. Bytes are taken a piece at a time, wherever words begin."""
+    import numpy as np
+
+    u64, out = np.uint64, np.zeros(len(at), np.uint64)
+    power = np.cumprod(np.append(u64(1), np.full(min(PIECE, len(low)), BASE, u64)))
+    for s in range(0, len(low), PIECE):
+        own = low[s : s + PIECE]
+        i, j = np.searchsorted(at, [s, s + len(own)])
+        heads = at[i:j] - s
+        begin = np.zeros(len(own), np.int32)
+        begin[heads] = heads
+        place = np.arange(len(own), dtype=np.int32) - np.maximum.accumulate(begin)
+        terms = np.where(own != 32, own.astype(u64) + u64(1), u64(0)) * power[place]
+        before = heads[0] if len(heads) else len(own)
+        if i and before:  # the last word of the piece before goes on
+            out[i - 1 : i] += terms[:before].sum(keepdims=True) * u64(pow(BASE, s - int(at[i - 1]), 1 << 64))
+        if len(heads):
+            out[i:j] += np.add.reduceat(terms, heads)
+    return out
+
+
 def shingle_sets(data, ends, words: int = WORDS, seed: int = 0):  # noqa: ANN001, ANN201
     """Sorted distinct shingle hashes of all texts on end, and how many each has.
 
@@ -61,28 +87,25 @@ def shingle_sets(data, ends, words: int = WORDS, seed: int = 0):  # noqa: ANN001
     table[65:91] += 32
     table[[9, 10, 11, 12, 13]] = 32
     low = table[data]
-    solid = low != 32
-    first = solid.copy()
-    first[1:] &= ~solid[:-1]
+    first = low != 32
     heads = ends[:-1][ends[:-1] < len(data)]
-    first[heads] = solid[heads]
+    solid = first[heads]
+    first[1:] &= low[:-1] == 32
+    first[heads] = solid
     at = np.flatnonzero(first)
+    del first
     if not len(at):
         return np.zeros(0, u64), counts
-    # A word's hash is a polynomial in its bytes: sums of byte times power of place.
-    begin = np.zeros(len(data), np.int64)
-    begin[at] = at
-    place = np.arange(len(data)) - np.maximum.accumulate(begin)
-    power = np.cumprod(np.full(int(place.max()) + 1, 0xD6E8FEB86659FD93, u64))
-    # Space adds nothing; every other byte counts as its value + 1.
-    terms = np.where(solid, low.astype(u64) + u64(1), u64(0)) * power[place]
-    word = mixed(np.add.reduceat(terms, at), seed)
-    doc = np.searchsorted(ends, at, side="right") - 1
+    word = mixed(_word_sums(low, at), seed)
+    doc = (np.searchsorted(ends, at, side="right") - 1).astype(np.int32)
     per_doc = np.bincount(doc, minlength=n_docs)
     start = np.cumsum(per_doc) - per_doc
+    del low, at, doc
     odd = [u64((0xA24BAED4963EE407 * (2 * k + 1) + 2 * k * k) & (2**64 - 1) | 1) for k in range(words)]
     padded = np.concatenate([word, np.zeros(words, u64)])
-    full = sum((padded[k : len(word) + k] * odd[k] for k in range(words)), np.zeros(len(word), u64))
+    full = np.zeros(len(word), u64)
+    for k in range(words):
+        full += padded[k : len(word) + k] * odd[k]
     full = mixed(full, seed + 7)
     out = []
     for i in np.flatnonzero(per_doc):
