@@ -21,7 +21,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewright.llm.common import byte_column, mixed, partitions_for, portions, release, remove_table, write_table
@@ -292,10 +292,7 @@ def jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             e, new = e[~again], new[~again]
             group = np.cumsum(new) - 1
             many = (np.bincount(group)[group] > 1) | np.isin(e["key"], hot)
-            lead = e["node"][np.flatnonzero(new)][group]
-            lead_n = e["n"][np.flatnonzero(new)][group]
-            e, lead, lead_n = e[many], lead[many], lead_n[many]
-            return pa.RecordBatch.from_arrays([*(pa.array(e[c]) for c in ("key", "node", "n", "pos")), pa.array(lead), pa.array(lead_n)], names=["key", "node", "n", "pos", "lead", "lead_n"])
+            return pa.RecordBatch.from_arrays([pa.array(e[c][many]) for c in ("key", "salt", "node", "n", "pos")], names=["key", "salt", "node", "n", "pos"])
 
         bucket, held = None, []
         for batch in batches:
@@ -309,8 +306,14 @@ def jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield out(held)
 
     posted = docs.mapInArrow(index, "bucket int, entries binary").repartition(parts, "bucket").sortWithinPartitions("bucket")
-    members = write_table(posted.mapInArrow(lists, "key long, node long, n int, pos int, lead long, lead_n int"), "members")
-    del posted
+    shared_lists = posted.mapInArrow(lists, "key long, salt int, node long, n int, pos int")
+    # A list's leader is the node most of whose prefix is in lists of several: what it has in common with
+    # others is most of it, as of a text whose copies differ from it and more from one another.
+    whole_prefix = F.least(F.col("n"), F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 + F.least(F.floor(F.col("n") / PER), F.lit(MORE)))
+    central = F.count(F.lit(1)).over(Window.partitionBy("node")) / whole_prefix
+    top = F.max(F.struct("central", "node", "n")).over(Window.partitionBy("key", "salt"))
+    members = write_table(shared_lists.withColumn("central", central).withColumn("top", top).select("key", "node", "n", "pos", "central", F.col("top.node").alias("lead"), F.col("top.n").alias("lead_n")), "members")
+    del posted, shared_lists
     release(spark)
 
     near = lambda a, b: (F.least(a, b) * 100 >= F.greatest(a, b) * percent)
