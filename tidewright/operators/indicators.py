@@ -1,5 +1,5 @@
 """Technical indicators. Those with a finite look-back are window columns; recursive ones are folds
-that run over each symbol's bars in order, batch by batch, with a few numbers of state."""
+that run over each symbol's bars in order, on arrays, with a few numbers of state."""
 
 from __future__ import annotations
 
@@ -9,6 +9,10 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewright.functions import registry
+from tidewright.operators.folds import array_fold
+
+
 def by_time():  # noqa: ANN201
     """A symbol's bars in order."""
     return Window.partitionBy("symbol").orderBy("open_time")
@@ -130,21 +134,28 @@ def fold(df: DataFrame, keys: list[str], order: list[str], start: Callable[[], C
 
 
 class Smooth:
-    """y += alpha * (x - y), begun with the mean of the first n values; None before."""
+    """y += alpha * (x - y), begun with the mean of the first n values, over arrays that go on from call to
+    call. NaN before it has begun; x may begin with NaN."""
 
     def __init__(self, n: int, alpha: float) -> None:
         self.n, self.alpha, self.seen, self.value = n, alpha, [], None
 
-    def __call__(self, x: float | None) -> float | None:
-        if x is None:
-            return None
+    def __call__(self, x):  # noqa: ANN001, ANN204
+        import numpy as np
+        import pandas as pd
+
+        out, at = np.full(len(x), np.nan), 0
         if self.value is None:
-            self.seen.append(x)
-            if len(self.seen) == self.n:
-                self.value = math.fsum(self.seen) / self.n
-        else:
-            self.value += self.alpha * (x - self.value)
-        return self.value
+            for at, v in enumerate(x.tolist(), 1):
+                if not math.isnan(v):
+                    self.seen.append(v)
+                    if len(self.seen) == self.n:
+                        self.value = out[at - 1] = math.fsum(self.seen) / self.n
+                        break
+        if self.value is not None and at < len(x):
+            out[at:] = pd.Series(np.append(self.value, x[at:])).ewm(alpha=self.alpha, adjust=False).mean().to_numpy()[1:]
+            self.value = float(out[-1])
+        return out
 
 
 def ema(n: int) -> Smooth:
@@ -155,63 +166,219 @@ def wilder(n: int) -> Smooth:
     return Smooth(n, 1 / n)
 
 
-RECURSIVE = "ema double, dema double, tema double, rsi double, macd double, macd_signal double, macd_histogram double, atr double, adx double, kc_upper double, kc_middle double, kc_lower double, kama double, vidya double"
-
-
-def _less(a: float | None, b: float | None) -> float | None:
-    return None if a is None or b is None else a - b
-
-
-def recursive_indicators() -> Callable[[dict], dict]:
-    """The recursive indicators of a bar after those before it, at their default periods; FRAMA and
-    ADAPTIVE_RSI are open."""
-    e1, e2, e3, up, down = ema(14), ema(14), ema(14), wilder(14), wilder(14)
-    fast, slow, signal, tr14, plus, minus, dx = ema(12), ema(26), ema(9), wilder(14), wilder(14), wilder(14), wilder(14)
-    kc_mid, kc_range = ema(20), ema(20)
-    was: dict = {}
-    closes: list[float] = []
-    state = {"kama": None, "vidya": None}
-
-    def step(row: dict) -> dict:
-        close, high, low = row["close"], row["high"], row["low"]
-        a = e1(close)
-        b = e2(a)
-        c = e3(b)
-        out = {"ema": a, "dema": None if b is None else 2 * a - b, "tema": None if c is None else 3 * a - 3 * b + c}
-        true_range, rsi, adx = high - low, None, None
-        if was:
-            move = close - was["close"]
-            gain, loss = up(max(move, 0.0)), down(max(-move, 0.0))
-            if gain is not None:
-                rsi = 50.0 if gain + loss == 0 else 100 * gain / (gain + loss)
-            true_range = max(true_range, abs(high - was["close"]), abs(low - was["close"]))
-            rise, fall = high - was["high"], was["low"] - low
-            p, m = plus(rise if rise > fall and rise > 0 else 0.0), minus(fall if fall > rise and fall > 0 else 0.0)
-            if p is not None:
-                adx = dx(100 * abs(p - m) / (p + m) if p + m else 0.0)
-        atr = tr14(true_range)
-        macd = _less(fast(close), slow(close))
-        sig = signal(macd)
-        mid, width = kc_mid(close), kc_range(true_range)
-        out |= {"rsi": rsi, "macd": macd, "macd_signal": sig, "macd_histogram": _less(macd, sig), "atr": atr, "adx": adx}
-        out |= {"kc_upper": None if mid is None else mid + 2 * width, "kc_middle": mid, "kc_lower": None if mid is None else mid - 2 * width}
-        closes.append(close)
-        del closes[:-15]
-        for name, n in (("kama", 10), ("vidya", 14)):
-            if len(closes) > n:
-                own = closes[-n - 1 :]
-                moves = [y - x for x, y in zip(own, own[1:], strict=False)]
-                path = sum(map(abs, moves))
-                ratio = abs(own[-1] - own[0]) / path if path else 0.0
-                alpha = (ratio * (2 / 3 - 2 / 31) + 2 / 31) ** 2 if name == "kama" else ratio * 2 / (n + 1)
-                before = state[name] if state[name] is not None else own[-2]
-                state[name] = before + alpha * (close - before)
-            out[name] = state[name]
-        was.update(close=close, high=high, low=low)
+class Tail:
+    """The last n rows before each run of rows, for what looks back: an array with up to n rows in front."""
+
+    def __init__(self, n: int) -> None:
+        self.n, self.rows = n, None
+
+    def __call__(self, x):  # noqa: ANN001, ANN204
+        import numpy as np
+
+        whole = x if self.rows is None else np.concatenate([self.rows, x])
+        self.rows = whole[-self.n :].copy() if self.n else whole[:0]
+        return whole
+
+
+def drifting(x, alpha, before: float) -> list[float]:  # noqa: ANN001
+    """y += alpha[i] * (x[i] - y) from `before`."""
+    out = []
+    for v, a in zip(x.tolist(), alpha.tolist(), strict=True):
+        before += a * (v - before)
+        out.append(before)
+    return out
+
+
+class Drift:
+    """A moving average whose weight depends on the last n + 1 closes, begun at the close before its first."""
+
+    def __init__(self, n: int, weight: Callable) -> None:
+        self.n, self.weight, self.tail, self.value = n, weight, Tail(n), None
+
+    def __call__(self, close):  # noqa: ANN001, ANN204
+        import numpy as np
+
+        whole = self.tail(close)
+        out, m = np.full(len(close), np.nan), len(whole) - self.n
+        if m > 0:
+            path = np.convolve(np.abs(np.diff(whole)), np.ones(self.n), "valid")
+            alpha = self.weight(whole[self.n :] - whole[:m], path)
+            before = whole[self.n - 1] if self.value is None else self.value
+            found = drifting(whole[self.n :], alpha, float(before))
+            out[len(close) - m :], self.value = found, found[-1]
+        return out
+
+
+def _ratio(move, path):  # noqa: ANN001, ANN202
+    import numpy as np
+
+    return np.where(path > 1e-300, np.abs(move) / np.where(path > 1e-300, path, 1.0), 0.0)
+
+
+class Frama:
+    """Ehlers' fractal average of an even period n: the ranges of a window's halves against that of the whole
+    give the dimension of the path in 1..2, and exp(-4.6 * (dimension - 1)), 0.01 at least, the weight.
+    Begun with the close of the first whole window."""
+
+    def __init__(self, n: int) -> None:
+        self.n = max(2, n - n % 2)
+        self.tail, self.value, self.rows = Tail(self.n - 1), None, 0
+
+    def __call__(self, high, low, close):  # noqa: ANN001, ANN204
+        import numpy as np
+        from numpy.lib.stride_tricks import sliding_window_view as windows
+
+        both = self.tail(np.stack([high, low, close], 1))
+        out, m, half = np.full(len(close), np.nan), len(both) - self.n + 1, self.n // 2
+        if m > 0:
+            top, bottom = windows(both[:, 0], half).max(1), windows(both[:, 1], half).min(1)
+            older, newer = slice(0, m), slice(half, half + m)
+            halves = (top[older] - bottom[older] + top[newer] - bottom[newer]) / half
+            each = np.minimum(top[older] - bottom[older], top[newer] - bottom[newer])
+            whole = (np.maximum(top[older], top[newer]) - np.minimum(bottom[older], bottom[newer])) / self.n
+            some = (each > 0) & (whole > 0)
+            dimension = np.where(some, np.log2(np.where(some, halves, 1.0) / np.where(some, whole, 1.0)), 1.0)
+            alpha = np.maximum(np.exp(-4.6 * (np.clip(dimension, 1.0, 2.0) - 1)), 0.01)
+            own = both[self.n - 1 :, 2]
+            if self.value is None:
+                alpha[0], self.value = 1.0, float(own[0])
+            found = drifting(own, alpha, self.value)
+            out[len(close) - m :], self.value = found, found[-1]
+        return out
+
+
+class AdaptiveRsi:
+    """RSI whose gains and losses are smoothed by a constant between 2 / (n + 1) and 2 / (2 n + 1), by Kaufman's
+    efficiency, to the power 1 / alpha; begun with the means of the first n; 100 without losses."""
+
+    def __init__(self, n: int, alpha: float) -> None:
+        self.n, self.power, self.tail, self.seen, self.value = n, 1 / max(alpha, 0.01), Tail(n), [], None
+
+    def __call__(self, close):  # noqa: ANN001, ANN204
+        import numpy as np
+
+        n, before = self.n, self.tail.rows
+        whole = self.tail(close)
+        moves = np.diff(close if before is None or not len(before) else np.append(before[-1], close))
+        out, skip = np.full(len(close), np.nan), len(close) - len(moves)
+        smooth, m = np.full(len(moves), np.nan), len(whole) - n
+        if m > 0:
+            path = np.convolve(np.abs(np.diff(whole)), np.ones(n), "valid")
+            fast, slow = 2 / (n + 1), 2 / (2 * n + 1)
+            own = (_ratio(whole[n:] - whole[:m], path) * (fast - slow) + slow) ** self.power
+            smooth[len(moves) - m :] = own
+        for i, (move, k) in enumerate(zip(moves.tolist(), smooth.tolist(), strict=True)):
+            gain, loss = max(move, 0.0), max(-move, 0.0)
+            if self.value is None:
+                self.seen.append((gain, loss))
+                if len(self.seen) < n:
+                    continue
+                self.value = tuple(math.fsum(x) / n for x in zip(*self.seen, strict=True))
+            else:
+                self.value = (self.value[0] * (1 - k) + gain * k, self.value[1] * (1 - k) + loss * k)
+            up, down = self.value
+            out[skip + i] = 100.0 if down == 0 else 100 - 100 / (1 + up / down)
         return out
 
+
+#: Default periods of the recursive indicators.
+PERIODS = {"ema": 14, "dema": 14, "tema": 14, "rsi": 14, "macd_fast": 12, "macd_slow": 26, "macd_signal": 9, "atr": 14, "adx": 14, "kc": 20, "kc_width": 2.0, "kama": 10, "vidya": 14, "frama": 16, "adaptive_rsi": 14, "adaptive_alpha": 0.5}
+RECURSIVE = (
+    "ema double, dema double, tema double, rsi double, macd double, macd_signal double, macd_histogram double, atr double, adx double, kc_upper double, kc_middle double, kc_lower double, "
+    "kama double, vidya double, frama double, adaptive_rsi double"
+)
+
+
+def recursive_indicators(periods: dict | None = None) -> Callable[[dict], dict]:
+    """A step of all recursive indicators over arrays of high, low and close, that remembers what it needs.
+    Warm-up is NaN. periods override PERIODS."""
+    p = PERIODS | (periods or {})
+    if unknown := set(p) - set(PERIODS):
+        raise ValueError(f"no periods {sorted(unknown)}")
+    one = ema(p["ema"])
+    double, triple = [ema(p["dema"]) for _ in range(2)], [ema(p["tema"]) for _ in range(3)]
+    up, down, tr, plus, minus, dx = wilder(p["rsi"]), wilder(p["rsi"]), wilder(p["atr"]), wilder(p["adx"]), wilder(p["adx"]), wilder(p["adx"])
+    fast, slow, signal, mid, width = ema(p["macd_fast"]), ema(p["macd_slow"]), ema(p["macd_signal"]), ema(p["kc"]), ema(p["kc"])
+    kama = Drift(p["kama"], lambda move, path: (_ratio(move, path) * (2 / 3 - 2 / 31) + 2 / 31) ** 2)
+    vidya = Drift(p["vidya"], lambda move, path: _ratio(move, path) * 2 / (p["vidya"] + 1))
+    frama, adaptive, last = Frama(p["frama"]), AdaptiveRsi(p["adaptive_rsi"], p["adaptive_alpha"]), Tail(1)
+
+    def step(x: dict) -> dict:
+        import numpy as np
+
+        high, low, close = (np.asarray(x[c], float) for c in ("high", "low", "close"))
+        whole = last(np.stack([high, low, close], 1))
+        first = len(whole) == len(close)  # no bar before: the first has no move
+        d = np.diff(whole, axis=0)
+        own = slice(1, None) if first else slice(None)
+        true_range = high - low
+        before = whole[:-1, 2]
+        true_range[own] = np.maximum(true_range[own], np.maximum(np.abs(high[own] - before), np.abs(low[own] - before)))
+
+        def moves(values):  # noqa: ANN001, ANN202
+            return np.append(np.nan, values) if first else values
+
+        gain, loss = up(moves(np.maximum(d[:, 2], 0))), down(moves(np.maximum(-d[:, 2], 0)))
+        rise, fall = d[:, 0], -d[:, 1]
+        p_, m_ = plus(moves(np.where((rise > fall) & (rise > 0), rise, 0.0))), minus(moves(np.where((fall > rise) & (fall > 0), fall, 0.0)))
+        with np.errstate(invalid="ignore", divide="ignore"):
+            rsi = np.where(gain + loss == 0, 50.0, 100 * gain / (gain + loss))
+            directed = np.where(p_ + m_ == 0, 0.0, 100 * np.abs(p_ - m_) / (p_ + m_))
+        a, b = double[0](close), None
+        b = double[1](a)
+        t1 = triple[0](close)
+        t2 = triple[1](t1)
+        t3 = triple[2](t2)
+        macd = fast(close) - slow(close)
+        sig, middle, spread = signal(macd), mid(close), width(true_range) * p["kc_width"]
+        return {
+            "ema": one(close), "dema": 2 * a - b, "tema": 3 * t1 - 3 * t2 + t3, "rsi": rsi, "macd": macd, "macd_signal": sig, "macd_histogram": macd - sig, "atr": tr(true_range), "adx": dx(directed),
+            "kc_upper": middle + spread, "kc_middle": middle, "kc_lower": middle - spread, "kama": kama(close), "vidya": vidya(close), "frama": frama(high, low, close), "adaptive_rsi": adaptive(close),
+        }
+
     return step
 
 
-def with_recursive_indicators(bars: DataFrame) -> DataFrame:
-    return fold(bars, ["symbol"], ["open_time"], recursive_indicators, RECURSIVE)
+def with_recursive_indicators(bars: DataFrame, periods: dict | None = None) -> DataFrame:
+    """bars with all recursive indicators; null while they warm up."""
+    return array_fold(bars, ["symbol"], ["open_time"], lambda: recursive_indicators(periods), ["high", "low", "close"], RECURSIVE)
+
+
+#: What a chart asks for where it names no period: fixed values that differ from those of strategies.
+CHART_PERIODS = {"sma": 20, "ema": 20, "wma": 20, "dema": 20, "tema": 20, "cci": 14, "roc": 14, "kc": 20, "kc_width": 1.5}
+
+
+def chart_series(bars: DataFrame, names: list[str] | None = None) -> DataFrame:
+    """Indicators at a chart's periods in long form: symbol, time, name, value; what is not finite is null."""
+    c = CHART_PERIODS
+    rows = with_recursive_indicators(bars, {k: c[k] for k in ("ema", "dema", "tema", "kc", "kc_width")}).withColumns({"sma": sma(c["sma"]), "wma": wma(c["wma"]), "cci": cci(c["cci"]), "roc": roc(c["roc"])})
+    wanted = names or ["sma", "wma", "cci", "roc", "ema", "dema", "tema", "rsi", "atr", "kc_upper", "kc_middle", "kc_lower"]
+    finite = lambda x: F.when(~F.isnan(x) & (F.abs(x) < float("inf")), F.col(x))
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), finite(n).alias("value")) for n in wanted]))
+    return rows.select("symbol", F.col("open_time").alias("time"), each.alias("x")).select("symbol", "time", "x.*")
+
+
+@registry.indicator("SMA", ("value",), defaults={"period": 14})
+def _sma(period: int) -> dict[str, Column]:
+    return {"value": sma(period)}
+
+
+@registry.indicator("WMA", ("value",), defaults={"period": 14})
+def _wma(period: int) -> dict[str, Column]:
+    return {"value": wma(period)}
+
+
+@registry.indicator("BBANDS", ("upper", "middle", "lower"), defaults={"period": 20, "width": 2.0}, primary="middle", derived=("percent_b", "bandwidth"))
+def _bands(period: int, width: float) -> dict[str, Column]:
+    found = bands(period, width)
+    return {k: found[f"bb_{k}"] for k in ("upper", "middle", "lower")}
+
+
+@registry.indicator("DONCHIAN", ("upper", "middle", "lower"), defaults={"period": 20}, primary="middle", derived=("position",))
+def _channel(period: int) -> dict[str, Column]:
+    found = donchian(period)
+    return {k: found[f"dc_{k}"] for k in ("upper", "middle", "lower")}
+
+
+registry.register(registry.Indicator("EMA", ("value",), fold_step=lambda p: (lambda one: lambda x: {"value": one(x["close"])})(ema(p["period"])), defaults={"period": 14}))
+registry.register(registry.Indicator("FRAMA", ("value",), fold_step=lambda p: (lambda one: lambda x: {"value": one(x["high"], x["low"], x["close"])})(Frama(p["period"])), defaults={"period": 16}))

@@ -3,40 +3,70 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def walk_forward_windows(spark: SparkSession, start: str, end: str, train: int = 270, test: int = 90, step: int = 30, touching: bool = False) -> DataFrame:
+def walk_forward_windows(spark: SparkSession, start: str, end: str, train: int = 270, test: int = 90, step: int = 30, touching: bool = False, least: int = 0) -> DataFrame:
     """Windows of `train` and `test` days every `step` days as long as the test fits before end. Dates
-    are inclusive; where touching, a part ends on the day that the next begins."""
-    last = F.lit(1) if not touching else F.lit(0)
-    days = spark.sql(f"SELECT explode(sequence(DATE '{start}', DATE '{end}', INTERVAL {int(step)} DAY)) AS train_start")
-    rows = days.select("train_start", F.date_add("train_start", train - last).alias("train_end"), F.date_add("train_start", train).alias("test_start"), F.date_add("train_start", train + test - last).alias("test_end"))
-    return rows.where(F.col("test_end") <= F.lit(end).cast("date"))
+    are inclusive; where touching, a part ends on the day that the next begins. Fewer windows than `least`
+    are an error."""
+    first, last_day = date.fromisoformat(start), date.fromisoformat(end)
+    over = 0 if touching else 1
+    n = ((last_day - first).days - (train + test - over)) // step + 1
+    if n < least:
+        raise ValueError(f"{max(0, n)} windows between {start} and {end}, {least} wanted")
+    rows = spark.range(max(0, n)).select(F.date_add(F.lit(first), (F.col("id") * step).cast("int")).alias("train_start"))
+    return rows.select("train_start", F.date_add("train_start", train - over).alias("train_end"), F.date_add("train_start", train).alias("test_start"), F.date_add("train_start", train + test - over).alias("test_end"))
 
 
 def in_windows(rows: DataFrame, day: str, windows: DataFrame) -> DataFrame:
     """Each row with every window whose test part holds its day. Windows are exploded into days, of
     which there are few, so that this is an equi-join and not a range join."""
     days = windows.select("*", F.explode(F.sequence("test_start", "test_end")).alias("__day"))
-    return rows.join(F.broadcast(days), F.col(day) == F.col("__day")).drop("__day")
+    return rows.join(days, F.col(day) == F.col("__day")).drop("__day")
 
 
 def walk_forward_summary(windows: DataFrame) -> DataFrame:
-    """One row of train_return, test_return, test_sharpe of windows: efficiency, consistency, robust."""
-    row = windows.agg(F.count(F.lit(1)).alias("n"), F.avg("train_return").alias("train"), F.avg("test_return").alias("test"), F.avg("test_sharpe").alias("sharpe"), F.avg((F.col("test_return") > 0).cast("double")).alias("consistency"))
+    """One row of train_return, train_sharpe, test_return, test_sharpe of windows: their means, the mean loss
+    of Sharpe ratio, efficiency, consistency, robust."""
+    row = windows.agg(F.avg(F.col("train_sharpe") - F.col("test_sharpe")).alias("degradation"), F.count(F.lit(1)).alias("n"), F.avg("train_return").alias("train"), F.avg("test_return").alias("test"), F.avg("test_sharpe").alias("sharpe"), F.avg((F.col("test_return") > 0).cast("double")).alias("consistency"))
     efficiency = F.when(F.col("train") < 0.001, 0.0).otherwise(F.least(F.col("test") / F.when(F.col("train") >= 0.001, F.col("train")), F.lit(5.0)))
     return row.withColumn("efficiency", efficiency).withColumn("robust", (F.col("consistency") > 0.5) & (F.col("efficiency") > 0.5))
 
 
+#: Rows of a fold at least, and rows that are purged by default where there are enough.
+FOLD_ROWS, PURGED = 10, 50
+
+
+def gaps_of_folds(n: int, k: int = 5, lookback: int | None = None, purge: float = 0.01, embargo: float = 0.01) -> tuple[int, int]:
+    """Rows to purge before a test fold and to leave out after it. The look-back of the indicators sets the
+    first; else it is a share of the rows, and PURGED at least where folds still have enough rows then.
+    Too few rows for the folds and their gaps are an error."""
+    after = int(n * embargo)
+    before = lookback or int(n * purge)
+    if not lookback and 0 < purge and before < PURGED <= max(before, (n - k * FOLD_ROWS) // max(1, k - 1) - after):
+        before = PURGED
+    needed = k * FOLD_ROWS + (before + after) * (k - 1)
+    if n < needed:
+        raise ValueError(f"{n} rows, {needed} wanted for {k} folds with gaps of {before} and {after}")
+    return before, after
+
+
 def purged_folds(spark: SparkSession, n: int, k: int = 5, purge: int = 50, embargo: int = 10) -> DataFrame:
     """fold, and per fold the bounds of its test rows [test_from, test_to) and of the rows to train on
-    before [0, before_to) and after it [after_from, n). A row's part follows from its number."""
+    before [0, before_to) and after it [after_from, n). A row's part follows from its number. The purge
+    takes rows of the fold right before only, and the embargo of the fold right after."""
+    needed = k * FOLD_ROWS + (purge + embargo) * (k - 1)
+    if n < needed:
+        raise ValueError(f"{n} rows, {needed} wanted for {k} folds with gaps of {purge} and {embargo}")
     size = n // k
     rows = spark.range(k).select(F.col("id").cast("int").alias("fold"), (F.col("id") * size).alias("test_from"), F.when(F.col("id") == k - 1, n).otherwise((F.col("id") + 1) * size).cast("long").alias("test_to"))
-    return rows.select("*", F.greatest(F.lit(0), F.col("test_from") - purge).alias("before_to"), F.least(F.lit(n), F.col("test_to") + embargo).alias("after_from"))
+    before_end = F.when(F.col("fold") == 0, F.lit(0)).otherwise(F.greatest(F.col("test_from") - size, F.col("test_from") - purge))
+    next_end = F.when(F.col("fold") >= k - 2, F.lit(n)).otherwise(F.col("test_to") + size)
+    return rows.select("*", before_end.cast("long").alias("before_to"), F.least(next_end, F.col("test_to") + embargo).cast("long").alias("after_from"))
 
 
 def fold_summary(folds: DataFrame) -> DataFrame:

@@ -12,9 +12,9 @@ TOLERANCE_MS = 120_000
 
 def paired_events(log: DataFrame, time: str = "ts") -> DataFrame:
     """Open and close events of a position put together in log order: a later open replaces an earlier
-    one, a close takes the open and further closes find none."""
+    one, a close takes the open and further closes find none. Other events may stand between."""
     w = Window.partitionBy("position_id").orderBy(time, "seq")
-    rows = log.withColumn("__before", F.lag("event").over(w)).withColumn("__open", F.lag(F.struct(time, "price")).over(w))
+    rows = log.where(F.col("event").isin("OPEN", "CLOSE") & F.col(time).isNotNull() & F.col("price").isNotNull()).withColumn("__before", F.lag("event").over(w)).withColumn("__open", F.lag(F.struct(time, "price")).over(w))
     return rows.where("event = 'CLOSE' AND __before = 'OPEN'").select("position_id", F.col(f"__open.{time}").alias("entry_time"), F.col(time).alias("exit_time"), F.col("__open.price").alias("entry_price"), F.col("price").alias("exit_price"))
 
 
@@ -77,6 +77,26 @@ def match(left: DataFrame, right: DataFrame, tolerance: int = TOLERANCE_MS) -> D
     return sorted_.mapInPandas(run, "left_id long, right_id long, distance long")
 
 
+def three_way(left: DataFrame, right: DataFrame, matches: DataFrame) -> DataFrame:
+    """Every trade once: side (matched, left_only, right_only), left_id and right_id."""
+    both = matches.select(F.lit("matched").alias("side"), "left_id", "right_id")
+    one = left.join(matches, left["id"] == matches["left_id"], "left_anti").select(F.lit("left_only").alias("side"), F.col("id").alias("left_id"), F.lit(None).cast("long").alias("right_id"))
+    other = right.join(matches, right["id"] == matches["right_id"], "left_anti").select(F.lit("right_only").alias("side"), F.lit(None).cast("long").alias("left_id"), F.col("id").alias("right_id"))
+    return both.unionByName(one).unionByName(other)
+
+
+def differences(left: DataFrame, right: DataFrame, matches: DataFrame) -> DataFrame:
+    """One row over the matches: mean slippage of entry prices (against the trade's direction), mean
+    difference of profits, and how many disagree about the direction. Trades hold id, direction, price, pnl."""
+    own, other = (df.select(F.col("id").alias(f"{k}_id"), *[F.col(c).alias(f"{k}_{c}") for c in ("direction", "price", "pnl")]) for df, k in ((left, "left"), (right, "right")))
+    rows = matches.join(own, "left_id").join(other, "right_id")
+    worse = (F.col("left_price") - F.col("right_price")) * F.when(F.col("left_direction") == "SHORT", -1).otherwise(1)
+    return rows.agg(
+        F.count(F.lit(1)).alias("matched"), F.coalesce(F.avg(worse), F.lit(0.0)).alias("mean_slippage"), F.coalesce(F.avg(F.col("left_pnl") - F.col("right_pnl")), F.lit(0.0)).alias("mean_pnl_delta"),
+        F.count_if(F.col("left_direction") != F.col("right_direction")).alias("side_disagreements"),
+    )
+
+
 def parity(left: DataFrame, right: DataFrame, matches: DataFrame) -> DataFrame:
     """matched, left_only, right_only and parity = matched / all three (1 for nothing at all)."""
     sides = left.join(matches, left["id"] == matches["left_id"], "left").agg(F.count("left_id").alias("matched"), F.count_if(F.col("left_id").isNull()).alias("left_only"))

@@ -27,7 +27,7 @@ def filtered(results: DataFrame, sharpe: float = 0.0, factor: float = 1.0, drawd
 def ranked(results: DataFrame, key: str = "run_id") -> DataFrame:
     """A rank by Sharpe ratio, ties in order of the key: numbered within ranges of a sort, so that no
     task has all rows."""
-    ordered = results.sort(F.desc("sharpe"), key).select(key, "sharpe", F.spark_partition_id().alias("__part"))
+    ordered = results.repartitionByRange(F.desc("sharpe"), F.col(key)).select(key, "sharpe", F.spark_partition_id().alias("__part"))
     within = F.row_number().over(Window.partitionBy("__part").orderBy(F.desc("sharpe"), key))
     numbered = ordered.withColumn("__n", within)
     sizes = numbered.groupBy("__part").agg(F.count(F.lit(1)).alias("__size"))
@@ -38,8 +38,8 @@ def ranked(results: DataFrame, key: str = "run_id") -> DataFrame:
 
 def pareto_front(results: DataFrame, objectives: list[str], key: str = "run_id") -> DataFrame:
     """Keys of the rows that no other row equals or beats in all objectives and beats in one (all are
-    maximised). First each task drops what its own rows dominate; what is left, which grows far
-    more slowly than the input, is compared with what other tasks have left."""
+    maximised). Each task drops what its own rows dominate; what is left, which grows far more slowly
+    than the input, is merged in a tree of ever fewer tasks. No pair of rows is ever made."""
     rows = results.select(key, *[F.col(c).cast("double").alias(f"o{i}") for i, c in enumerate(objectives)])
     kinds = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes)
 
@@ -52,14 +52,11 @@ def pareto_front(results: DataFrame, objectives: list[str], key: str = "run_id")
         if front is not None:
             yield front
 
-    some = rows.mapInPandas(local, kinds)
-    worse = F.lit(True)
-    strictly = F.lit(False)
-    a, b = some.alias("a"), some.alias("b")
-    for i in range(len(objectives)):
-        worse &= F.col(f"b.o{i}") >= F.col(f"a.o{i}")
-        strictly |= F.col(f"b.o{i}") > F.col(f"a.o{i}")
-    return a.join(b, worse & strictly, "left_anti").select(key)
+    left, tasks = rows.mapInPandas(local, kinds), int(results.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    while tasks > 1:
+        tasks = -(-tasks // 16)
+        left = left.repartition(tasks).mapInPandas(local, kinds)
+    return left.select(key)
 
 
 def _undominated(rows):  # noqa: ANN001, ANN202

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 MINUTE = 60_000
 #: Rows of a full day by interval.
-PER_DAY = {"1m": 1440, "5m": 288, "15m": 96, "1h": 24, "4h": 6}
+PER_DAY = {"1s": 86400, "5s": 17280, "1m": 1440, "5m": 288, "15m": 96, "1h": 24, "4h": 6}
 
 
 def resample(bars: DataFrame, period: int, browse: bool = False) -> DataFrame:
@@ -47,11 +47,37 @@ def quality_score(bars: DataFrame) -> DataFrame:
 
 
 def coverage(bars: DataFrame, interval: str, threshold: float = 0.9) -> DataFrame:
-    """Per symbol and month the bars there are, those expected, and whether enough are there."""
+    """Per symbol and month the bars there are, those expected, and whether enough are there: never, and
+    none expected, for an interval without a known number a day."""
     month = F.trunc(F.timestamp_millis("open_time"), "month")
     rows = bars.groupBy("symbol", month.alias("month")).agg(F.count(F.lit(1)).alias("bars"), F.min("open_time").alias("first"), F.max("open_time").alias("last"))
-    expected = F.dayofmonth(F.last_day("month")) * PER_DAY[interval]
-    return rows.select("symbol", F.date_format("month", "yyyy-MM").alias("month"), "bars", "first", "last", expected.cast("long").alias("expected"), (F.col("bars") >= expected * threshold).alias("covered"))
+    expected = F.dayofmonth(F.last_day("month")) * F.lit(PER_DAY.get(interval, 0))
+    return rows.select("symbol", F.date_format("month", "yyyy-MM").alias("month"), "bars", "first", "last", expected.cast("long").alias("expected"), (F.lit(interval in PER_DAY) & (F.col("bars") >= expected * threshold)).alias("covered"))
+
+
+def bad_bars(bars: DataFrame, limit: int = 50) -> DataFrame:
+    """The first rows, of each symbol, of quality_score()'s bars with impossible values, a row per broken
+    rule: a report, cut at limit rows."""
+    rules = [("high < low", "high < low"), ("close <= 0", "close <= 0"), ("volume < 0", "volume < 0"), ("open <= 0", "open <= 0")]
+    found = F.array_compact(F.array(*[F.when(F.expr(rule), F.lit(message)) for rule, message in rules]))
+    return bars.select("symbol", "open_time", F.explode(found).alias("message")).orderBy("symbol", "open_time", "message").limit(limit)
+
+
+def regimes(bars: DataFrame, period: int, threshold: float = 0.05) -> DataFrame:
+    """Per symbol and period (ms) the sign of its move from first open to last close: 0 below the threshold."""
+    r = (F.max_by("close", "open_time") - F.min_by("open", "open_time")) / F.min_by("open", "open_time")
+    rows = bars.groupBy("symbol", F.floor(F.col("open_time") / period).alias("period")).agg(r.alias("r"))
+    return rows.select("symbol", "period", F.when(F.abs("r") < threshold, 0).otherwise(F.signum("r")).cast("int").alias("regime"))
+
+
+def event_summary(events: DataFrame) -> DataFrame:
+    """One row per run of a log of events (run_id, event, time): events, first and last time, kinds."""
+    return events.groupBy("run_id").agg(F.count(F.lit(1)).alias("n"), F.min("time").alias("first"), F.max("time").alias("last"), F.countDistinct("event").alias("kinds"))
+
+
+def event_counts(events: DataFrame) -> DataFrame:
+    """Events of each kind."""
+    return events.groupBy("event").agg(F.count(F.lit(1)).alias("n"))
 
 
 def latest_closed(primary: DataFrame, higher: DataFrame, value: Column, name: str) -> DataFrame:

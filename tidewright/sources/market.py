@@ -35,6 +35,12 @@ def klines(spark: SparkSession, sf_dir: str, period: int = HOUR) -> DataFrame:
     return bars.withColumn("close_time", F.col("open_time") + period - 1)
 
 
+def funding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Funding rates: every eight hours the move of a symbol's candle of that length."""
+    bars = klines(spark, sf_dir, 8 * HOUR)
+    return bars.select("symbol", F.col("open_time").alias("funding_time"), ((F.col("close") - F.col("open")) / F.col("open") / 100).alias("rate"))
+
+
 #: What orders the trades of the test tables without ties.
 TRADE_ORDER = ["exit_time", "order_id", "line", "part_id", "run_id"]
 
@@ -45,7 +51,7 @@ def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     pnl = F.col("l_extendedprice") * (F.col("l_discount") - 0.05)
     return items.select(
         F.col("l_suppkey").alias("run_id"), F.col("l_returnflag").alias("symbol"), F.when(F.col("l_linestatus") == "O", "LONG").otherwise("SHORT").alias("direction"),
-        epoch_ms(items, "l_shipdate").alias("exit_time"), (F.col("l_linenumber") * 24).cast("double").alias("hours"), F.col("l_quantity").alias("quantity"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("entry_price"),
+        epoch_ms(items, "l_shipdate").alias("exit_time"), (epoch_ms(items, "l_shipdate") - F.col("l_linenumber") * 24 * HOUR).alias("entry_time"), (F.col("l_linenumber") * 24).cast("double").alias("hours"), F.col("l_quantity").alias("quantity"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("entry_price"),
         F.col("l_extendedprice").alias("notional"), (F.col("l_extendedprice") * F.col("l_tax") * 0.01).alias("fee"), pnl.alias("net_pnl"),
         F.col("l_orderkey").alias("order_id"), F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("part_id"),
     )
@@ -78,6 +84,16 @@ def replace_partitions(df: DataFrame, path: str, by: list[str]) -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
 
 
+def write_events(rows: DataFrame, path: str) -> None:
+    """Add rows (ts, event, run_id, strategy, data) to an event log of JSON lines, a folder for each run."""
+    rows.write.mode("append").partitionBy("run_id").json(path)
+
+
+def list_runs(spark: SparkSession, path: str) -> DataFrame:
+    """The runs that an event log holds, in order: names of its folders, without a look at the rows."""
+    return spark.read.schema("ts string, run_id string").json(path).select("run_id").distinct().orderBy("run_id")
+
+
 EVENT = "ts string, event string, run_id string, strategy string, data map<string,string>"
 
 
@@ -85,11 +101,13 @@ def read_events(spark: SparkSession, path: str, event: str | None = None) -> Dat
     """Rows of an event log of JSON lines; lines that are no JSON are left out."""
     rows = spark.read.schema(EVENT + ", _corrupt_record string").json(path)
     rows = rows.where(F.col("_corrupt_record").isNull() & F.col("event").isNotNull()).drop("_corrupt_record")
-    return rows if event is None else rows.where(F.col("event") == event)
+    return (rows if event is None else rows.where(F.col("event") == event)).orderBy("ts")
 
 
-def read_kline_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Candles of exported CSV files; header lines and others whose first field is no number go."""
+def read_kline_csv(spark: SparkSession, path: str, start: int | None = None, end: int | None = None) -> DataFrame:
+    """Candles of exported CSV files between two times, both inclusive, in order; header lines and others
+    whose first field is no number go."""
     names = ["open_time", "open", "high", "low", "close", "volume", "close_time"]
     raw = spark.read.schema(", ".join(f"{n} string" for n in names)).csv(path).where(F.col("open_time").rlike("^[0-9]+$"))
-    return raw.select(*[F.col(n).cast("long" if "time" in n else "double").alias(n) for n in names])
+    rows = raw.select(*[F.col(n).cast("long" if "time" in n else "double").alias(n) for n in names])
+    return scan(rows, "open_time", start, end).orderBy("open_time")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 
 def stream_bars(ticks: DataFrame, period: str = "1 hour", late: str = "5 minutes") -> DataFrame:
-    """Candles of a stream of symbol, ts, price, size. A bar is final once the watermark has passed its
+    """Candles of a stream of symbol, ts, price, size and event_id, which orders equal times. A bar is final once the watermark has passed its
     end; ticks later than that are left out."""
     key = F.struct("ts", "event_id")
     bars = ticks.withWatermark("ts", late).groupBy(F.window("ts", period), "symbol").agg(
