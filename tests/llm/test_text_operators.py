@@ -104,11 +104,43 @@ def test_jaccard_join_equals_brute_force(spark, odd, none, docs, monkeypatch):
             words[rng.randrange(40)] = f"x{rng.randrange(6)}"
         rows.append((i, " ".join(words[: rng.randrange(25, 41)])))
     monkeypatch.setattr(jaccard_join, "LIST_ROWS", 16)  # lists are dealt out by salt
-    got = jaccard_join.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
-    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_components(rows)
+    monkeypatch.setattr(jaccard_join, "CELL_ROWS", 8)
+    for _ in range(120):  # sets of more than 280 shingles, whose prefixes have to share several
+        words = [f"long{i}" for i in range(330)]
+        for _ in range(rng.randrange(1, 14)):
+            words[rng.randrange(330)] = f"x{rng.randrange(40)}"
+        rows.append((len(rows), " ".join(words[: rng.randrange(290, 331)])))
+    want = brute_components(rows)
+    for near in (50, 101):  # answers derived from leaders', and none
+        monkeypatch.setattr(jaccard_join, "NEAR", near)
+        got = jaccard_join.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+        assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == want
     assert jaccard_join.jaccard_join(none).count() == 0
+
+
+def test_one_of_near_stays(spark, odd):
     kept = jaccard_join.keep_one_of_near(odd)
     assert kept.columns == odd.columns
+    t = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, t), (1, t), (2, t), (1, "u"), (3, None), (3, None), (4, t + " more"), (None, "of none but itself")]
+    got = jaccard_join.keep_one_of_near(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert Counter(map(tuple, got)) == Counter([(1, t), (1, "u"), (3, None), (3, None), (None, "of none but itself")])
+    clash = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "text", "1 AS rid", "2 AS __id", "3 AS row", "4 AS node")
+    kept = jaccard_join.keep_one_of_near(clash)
+    assert kept.columns == clash.columns and kept.count() == 5
+
+
+def test_word_sums_do_not_depend_on_pieces(monkeypatch):
+    import numpy as np
+
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("ab  \tC") for _ in range(rng.randrange(300))) for _ in range(20)] + ["y" * 500, "", "q"]
+    data, ends = np.frombuffer("".join(texts).encode(), np.uint8), np.cumsum([0, *map(len, texts)])
+    want = jaccard_join.shingle_sets(data, ends)
+    for piece in (1, 7, 64):
+        monkeypatch.setattr(jaccard_join, "PIECE", piece)
+        got = jaccard_join.shingle_sets(data, ends)
+        assert all((x == y).all() for x, y in zip(got, want, strict=True))
 
 
 def test_components_follow_long_chains(spark):

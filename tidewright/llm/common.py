@@ -40,7 +40,11 @@ def plain_read(df: DataFrame) -> bool:
 
 def stable(df: DataFrame, *columns: Column) -> DataFrame:
     """The columns of df, and rid, a number for each row that stays the same however often the rows are
-    read: by place in a plain read's files; anything else is written first."""
+    read: by place in a plain read's files, which the session from now on cuts alike however many
+    executors there are; anything else is written first."""
+    spark = df.sparkSession
+    if not spark.conf.get("spark.sql.files.minPartitionNum", None):
+        spark.conf.set("spark.sql.files.minPartitionNum", str(max(1, spark.sparkContext.defaultParallelism)))
     rows = df.select(F.monotonically_increasing_id().alias("rid"), *columns)
     return rows if plain_read(df) else write_table(rows, "rows")
 

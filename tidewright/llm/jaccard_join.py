@@ -5,13 +5,15 @@ Nodes that link share some of the first shingles of both, in an order that puts
 last (prefix filtering, with prefixes that have to share several for larger sets), so that lists of
 an inverted index over these find all links. Relations between sets save most comparisons:
 
-* Each list has a leader, and a node is first compared only with the leader of most of its lists. Links
-  so found give components; a list whose members are all in one component needs no more work.
-* In the lists that remain, blocks of members are skipped whole by size and position, where even
-  the best member of the block cannot reach the overlap asked for, or is in the same component.
-* A pair of sets that were both compared with the same leader gets its answer from theirs: overlaps
-  with a common set bound the pair's overlap from both sides. Only pairs that the bounds leave
-  open are compared by their sets.
+* Each list has a leader, and a node is first compared only with the leader of most of its lists.
+* Answers for nodes that are near the same leader are derived from theirs: two such sets share what both
+  share with the leader, and of what sets either apart from it that in which they differ alike.
+  Only these differences, of which the answer asks for a known number in common, are indexed
+  and compared; of two nodes that link with the leader nothing has to be known.
+* Links found so far give components; a list whose members are all in one component, or all near one
+  leader, needs no more work. In the lists that remain, blocks of members are skipped whole by
+  size and position, where even the best member of the block cannot reach the overlap asked for,
+  or is in the same component or near the same leader. Pairs that are left are compared by their sets.
 
 What is returned, components, loses no link.
 """
@@ -24,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import byte_column, mixed, partitions_for, portions, release, remove_table, write_table
+from tidewright.llm.common import byte_column, mixed, partitions_for, portions, release, remove_table, stable, write_table
 from tidewright.llm.components import components
 
 WORDS, PERCENT = 5, 75
@@ -33,14 +35,16 @@ WORDS, PERCENT = 5, 75
 FREQUENT, RECURS = 65_536, 4
 #: Members of one list that one task sees at first; longer lists are dealt out by salt.
 LIST_ROWS = 4096
-#: Members of a list that are skipped or looked at together.
-BLOCK = 64
+#: Members of a list that are skipped or looked at together, and those that are paired in one task.
+BLOCK, CELL_ROWS = 64, 1024
 #: Bytes of text whose sets are made together, and of it those whose words are hashed together.
 PORTION, PIECE = 3_000_000, 1 << 18
 #: Of the words' hashes: odd.
 BASE = 0xD6E8FEB86659FD93
 #: A node is compared with a leader first if they share this part of its prefix; any choice gives whole results.
 FEW = 8
+#: Per cent of similarity from which on a node is near its leader; any choice gives whole results.
+NEAR = 50
 #: Prefixes are longer by up to MORE than one common shingle asks for: 1 for every PER shingles of the set.
 PER, MORE = 40, 7
 #: One place of a shingle in the index.
@@ -133,10 +137,6 @@ def set_nodes(hashes, counts):  # noqa: ANN001, ANN201
     return digests.view(np.int64)
 
 
-def _texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("data"), F.xxhash64(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).alias("text_hash"))
-
-
 def packed(entries) -> bytes:  # noqa: ANN001
     """Entries column by column, compressed: sizes, places and salts shrink to little."""
     import zstandard
@@ -156,26 +156,69 @@ def unpacked(blob: bytes):  # noqa: ANN201
     return out
 
 
-def _pairs_of(rows, need: int, total: int):  # noqa: ANN001, ANN201
-    """Pairs of one list in different components that may link: arrays of rows' numbers. rows: n, pos,
-    comp, ordered by n. Blocks that can hold no partner are passed over whole."""
+def _cells(rows: DataFrame) -> DataFrame:
+    """rows, with the number c of their list, dealt into cells (i, j) of a list: its members fall into
+    blocks of CELL_ROWS or so, and a cell holds two of them, or one. A member is in as many cells as its
+    list has blocks, so that no list is one task's."""
+    blocks = F.greatest(F.lit(1), F.ceil(F.col("c") / CELL_ROWS)).cast("int")
+    rows = rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    every = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return every.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("blocks", "other", "c")
+
+
+def _streamed(batches: Iterator[pa.RecordBatch], keys: int, out):  # noqa: ANN001, ANN202
+    """Give `out` the whole lists of sorted rows, as columns of numbers: a list may go on in the next batch."""
+    import numpy as np
+
+    held = None
+    for batch in batches:
+        rows = [np.asarray(c).astype(np.int64) for c in batch.columns]
+        if held is not None:
+            rows = [np.concatenate([h, x]) for h, x in zip(held, rows, strict=True)]
+        same = np.ones(len(rows[0]), bool)
+        for x in rows[:keys]:
+            same &= x == x[-1] if len(x) else same
+        last = len(same) - int(np.argmin(same[::-1])) if len(same) and not same.all() else 0
+        if last:
+            yield out([x[:last] for x in rows])
+        held = [x[last:] for x in rows]
+    if held is not None and len(held[0]):
+        yield out(held)
+
+
+def _edges(keys: list):  # noqa: ANN202
     import numpy as np
 
-    n, pos, comp = rows
+    new = np.ones(len(keys[0]), bool)
+    new[1:] = np.logical_or.reduce([x[1:] != x[:-1] for x in keys])
+    cut = np.flatnonzero(new)
+    return zip(cut, np.append(cut[1:], len(new)), strict=True)
+
+
+def _pairs_of(rows, need: int, total: int, across: bool):  # noqa: ANN001, ANN201
+    """Pairs of one cell in different components that may link: arrays of rows' numbers. rows: n, pos, comp,
+    guide and block, ordered by n; across: of different blocks only. Blocks of rows that can hold no
+    partner are passed over whole."""
+    import numpy as np
+
+    n, pos, comp, guide, block = rows
     rest = n - pos + MORE  # may be the last of so many more that both have to share
     cuts = np.arange(0, len(n), BLOCK)
     most_n, most_rest = np.maximum.reduceat(n, cuts), np.maximum.reduceat(rest, cuts)
-    low, high = np.minimum.reduceat(comp, cuts), np.maximum.reduceat(comp, cuts)
+    (low, high), (least_guide, most_guide) = ((np.minimum.reduceat(x, cuts), np.maximum.reduceat(x, cuts)) for x in (comp, guide))
     left, right = [], []
     for x in range(1, len(n)):
         blocks = np.arange(-(-x // BLOCK))
         # Smaller partners only; they need n >= need / total of x's, and enough left from here on.
         least = np.ceil(need * n[x] / total)
         asked = np.ceil(need * (n[x] + least) / (total + need))
-        open_ = blocks[(most_n[blocks] >= least) & (np.minimum(most_rest[blocks], rest[x]) >= asked) & ((low[blocks] != comp[x]) | (high[blocks] != comp[x]))]
-        for block in open_:
-            y = np.arange(block * BLOCK, min((block + 1) * BLOCK, x))
-            ok = (comp[y] != comp[x]) & (n[y] * total >= need * n[x]) & (np.minimum(rest[y], rest[x]) * (total + need) >= need * (n[x] + n[y]))
+        open_ = (most_n[blocks] >= least) & (np.minimum(most_rest[blocks], rest[x]) >= asked)
+        open_ &= ((low[blocks] != comp[x]) | (high[blocks] != comp[x])) & ((least_guide[blocks] != guide[x]) | (most_guide[blocks] != guide[x]))
+        for at in blocks[open_]:
+            y = np.arange(at * BLOCK, min((at + 1) * BLOCK, x))
+            ok = (comp[y] != comp[x]) & (guide[y] != guide[x]) & (n[y] * total >= need * n[x]) & (np.minimum(rest[y], rest[x]) * (total + need) >= need * (n[x] + n[y]))
+            if across:
+                ok &= block[y] != block[x]
             right.append(y[ok])
             left.append(np.full(ok.sum(), x))
     return (np.concatenate(left), np.concatenate(right)) if left else (np.zeros(0, int), np.zeros(0, int))
@@ -187,19 +230,27 @@ def jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Two documents link when 100 * intersection >= percent * union of their sets of `words`-word
     shingles; component_id is the smallest id that is reachable by links, itself included. Null and
     blank texts have empty sets and link with nothing. Rows that repeat an id are documents each.
-    Shingles are told apart by 64-bit hashes, and equal sets by 128 bits.
+    Shingles are told apart by 64-bit hashes, and equal sets by 128 bits. Other columns of df, whatever
+    their names, are not read. An empty table gives an empty result.
     """
-    spark = df.sparkSession
-    docs = _texts(df, id_col, text_col)
+    docs = stable(df, F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("data"))
+    joined = _joined(docs, words, percent)
+    return joined.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("least", "id").alias("component_id"), "node")
+
+
+def _joined(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """rid, id, n, node, group and least (the group's smallest id; null for an empty set) for documents (rid,
+    id, data)."""
+    spark = docs.sparkSession
     kind = dict(docs.dtypes)["id"]
-    parts = partitions_for(df)
+    parts = partitions_for(docs)
 
     def survey(seed: int):  # noqa: ANN202
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             import numpy as np
 
             for batch in batches:
-                data, ends = byte_column(batch.column(1))
+                data, ends = byte_column(batch.column(2))
                 for i, j in portions(ends, 4 * PORTION):
                     hashes, counts = shingle_sets(data[ends[i] : ends[j]], ends[i : j + 1] - ends[i], words, seed)
                     node, more = set_nodes(hashes, counts)
@@ -209,14 +260,14 @@ def jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     often = times >= RECURS
                     none = [[]] * (j - i - 1)
                     yield pa.RecordBatch.from_arrays(
-                        [batch.column(2).slice(i, j - i), batch.column(0).slice(i, j - i), pa.array(counts), pa.array(node), pa.array(more), pa.array([ordered[edge[often]].view(np.int64), *none], pa.list_(pa.int64())), pa.array([times[often], *none], pa.list_(pa.int64()))],
-                        names=["text_hash", "id", "n", "node", "more", "often", "times"],
+                        [batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(counts), pa.array(node), pa.array(more), pa.array([ordered[edge[often]].view(np.int64), *none], pa.list_(pa.int64())), pa.array([times[often], *none], pa.list_(pa.int64()))],
+                        names=["rid", "id", "n", "node", "more", "often", "times"],
                     )
 
         return run
 
     for seed in range(64):
-        nodes = write_table(docs.mapInArrow(survey(seed), f"text_hash long, id {kind}, n long, node long, more long, often array<long>, times array<long>"), "nodes")
+        nodes = write_table(docs.mapInArrow(survey(seed), f"rid long, id {kind}, n long, node long, more long, often array<long>, times array<long>"), "nodes")
         if not nodes.where("n > 0").groupBy("node").agg(F.min(F.struct("more", "n")).alias("x"), F.max(F.struct("more", "n")).alias("y")).where("x <> y").take(1):
             break
     often = nodes.where(F.size("often") > 0).select(F.explode(F.arrays_zip("often", "times")).alias("x")).groupBy(F.col("x.often").alias("hash")).agg(F.sum("x.times").alias("times"))
@@ -235,7 +286,7 @@ def jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         hot_hash, hot_rank, hot_salts = hot.view(np.uint64)[by_hash], len(hot) - by_hash, -(-times[by_hash] // LIST_ROWS)
         seen: set[int] = set()
         for batch in batches:
-            data, ends = byte_column(batch.column(1))
+            data, ends = byte_column(batch.column(2))
             for i, j in portions(ends, PORTION):
                 hashes, counts = shingle_sets(data[ends[i] : ends[j]], ends[i : j + 1] - ends[i], words, seed)
                 node = set_nodes(hashes, counts)[0]
@@ -312,7 +363,7 @@ def jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     whole_prefix = F.least(F.col("n"), F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 + F.least(F.floor(F.col("n") / PER), F.lit(MORE)))
     central = F.count(F.lit(1)).over(Window.partitionBy("node")) / whole_prefix
     top = F.max(F.struct("central", "node", "n")).over(Window.partitionBy("key", "salt"))
-    members = write_table(shared_lists.withColumn("central", central).withColumn("top", top).select("key", "node", "n", "pos", "central", F.col("top.node").alias("lead"), F.col("top.n").alias("lead_n")), "members")
+    members = write_table(shared_lists.withColumn("central", central).withColumn("top", top).select("key", "node", "n", "pos", F.col("top.node").alias("lead"), F.col("top.n").alias("lead_n")), "members")
     del posted, shared_lists
     release(spark)
 
@@ -325,37 +376,42 @@ def jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     leads = members.select("key", "lead", "lead_n").distinct()
     chief = leads.groupBy("key").agg(F.min(F.struct("lead", "lead_n")).alias("top"), F.count(F.lit(1)).alias("salts")).where("salts > 1")
     bridges = leads.join(chief, "key").where(near(F.col("lead_n"), F.col("top.lead_n"))).select(F.col("top.lead").alias("a"), F.col("lead").alias("b")).where("a <> b")
-    first = write_table(stars.unionByName(bridges).distinct(), "stars")
+    compared = stars.withColumn("star", F.lit(True)).unionByName(bridges.withColumn("star", F.lit(False)))
+    first = write_table(compared.groupBy("a", "b").agg(F.max("star").alias("star")), "stars")
 
     def sets_of(pairs: DataFrame) -> DataFrame:
         """node and hashes of the nodes of pairs, each from the first of its documents."""
         wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-        owner = nodes.where("n > 0").groupBy("node").agg(F.min(F.struct("text_hash", "id")).alias("of")).join(wanted, "node").select(F.col("of.text_hash").alias("h"), F.col("of.id").alias("of"))
-        own = docs.join(owner, (docs["text_hash"] == F.col("h")) & docs["id"].eqNullSafe(F.col("of")), "left_semi")
-        sets = write_table(_sets(own, words, seed).dropDuplicates(["node"]), "sets")  # rows may repeat
+        owner = nodes.where("n > 0").groupBy("node").agg(F.min("rid").alias("rid")).join(wanted, "node").select("rid")
+        sets = write_table(_sets(docs.join(owner, "rid", "left_semi"), words, seed), "sets")
         release(spark)
         return sets
 
     sets = sets_of(first)
-    answers = write_table(_overlaps(first, sets), "answers")
-    enough = (F.col("both") * 100 >= percent * (F.col("na") + F.col("nb") - F.col("both")))
-    linked = components(answers.where(enough))
+    answers = write_table(_overlaps(first, sets, differences=True), "answers")
+    enough = F.col("both") * 100 >= percent * (F.col("na") + F.col("nb") - F.col("both"))
+    led = answers.where(F.col("star") & (F.col("both") * 100 >= NEAR * (F.col("na") + F.col("nb") - F.col("both")))).select(
+        F.col("a").alias("lead"), F.col("b").alias("node"), F.col("na").alias("nl"), (F.col("nb") * percent - F.col("both") * (100 + percent)).alias("short"), enough.alias("linked"), "apart"
+    )
+    links = write_table(answers.where(enough).select("a", "b").unionByName(_derived(led, percent, parts)), "links")
+    linked = components(links)
     remove_table(sets)
     release(spark)
 
-    placed = members.join(linked, "node", "left").select("key", "node", "n", "pos", F.coalesce("comp", "node").alias("comp"))
-    mixed_lists = placed.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key")
-    open_lists = placed.join(mixed_lists, "key").repartition(parts, "key").sortWithinPartitions("key", "n", "pos", "node")
+    placed = members.select("key", "node", "n", "pos").join(linked, "node", "left").join(led.select("node", F.col("lead").alias("guide")), "node", "left")
+    placed = placed.withColumns({"comp": F.coalesce("comp", "node"), "guide": F.coalesce("guide", "node")})
+    some = placed.groupBy("key").agg(F.count(F.lit(1)).alias("c"), *[f(x).alias(f"{k}_{x}") for x in ("comp", "guide") for k, f in (("least", F.min), ("most", F.max))])
+    open_lists = _cells(placed.join(some.where("least_comp <> most_comp AND least_guide <> most_guide").select("key", "c"), "key"))
+    open_lists = open_lists.select("key", "i", "j", "node", "n", "pos", "comp", "guide", "block").repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j", "n", "pos", "node")
 
     def open_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        def out(rows):  # noqa: ANN001, ANN202
-            key, node, n, pos, comp = rows
-            cut = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        def out(rows: list) -> pa.RecordBatch:
+            i, j, node, n = rows[1:5]
             found = []
-            for a, b in zip(cut, np.append(cut[1:], len(key)), strict=True):
-                x, y = _pairs_of((n[a:b], pos[a:b], comp[a:b]), percent, 100)
+            for a, b in _edges(rows[:3]):
+                x, y = _pairs_of([c[a:b] for c in rows[4:]], percent, 100, bool(i[a] != j[a]))
                 if len(x):
                     u, v, nu, nv = node[a:b][x], node[a:b][y], n[a:b][x], n[a:b][y]
                     swap = u > v
@@ -363,46 +419,101 @@ def jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             pairs, times = np.unique(np.concatenate(found), axis=0, return_counts=True) if found else (np.zeros((0, 4), np.int64), np.zeros(0, np.int64))
             return pa.RecordBatch.from_arrays([*(pa.array(pairs[:, k].copy()) for k in range(4)), pa.array(times)], names=["a", "b", "na", "nb", "shared"])
 
-        held = [np.zeros(0, np.int64)] * 5
-        for batch in batches:
-            rows = [np.concatenate([h, np.asarray(c).astype(np.int64)]) for h, c in zip(held, batch.columns, strict=True)]
-            last = np.searchsorted(rows[0], rows[0][-1]) if len(rows[0]) else 0  # its list may go on
-            yield out([x[:last] for x in rows])
-            held = [x[last:] for x in rows]
-        yield out(held)
+        yield from _streamed(batches, 3, out)
 
     needed = F.least(F.floor(F.least("na", "nb") / PER), F.lit(MORE)) + 1
     pairs = open_lists.mapInArrow(open_pairs, "a long, b long, na long, nb long, shared long").groupBy("a", "b", "na", "nb").agg(F.sum("shared").alias("shared"))
     pairs = write_table(pairs.where(F.col("shared") >= needed).select("a", "b"), "pairs")
-    # Answers of both with a common leader bound theirs.
-    seen = answers.select(F.col("a").alias("lead"), F.col("b").alias("node"), "both", F.col("na").alias("nl"), F.col("nb").alias("n"))
-    seen = seen.unionByName(answers.select(F.col("a").alias("lead"), F.col("a").alias("node"), F.col("na").alias("both"), F.col("na").alias("nl"), F.col("na").alias("n")).distinct())
-    sx, sy = (seen.select("lead", "nl", F.col("node").alias(k), F.col("both").alias(f"o{k}"), F.col("n").alias(f"n{k}")) for k in "ab")
-    bounds = pairs.join(sx, "a").join(sy.drop("nl"), ["lead", "b"]).groupBy("a", "b", "na", "nb").agg(
-        F.min(F.least("oa", "ob") + F.least(F.col("na") - F.col("oa"), F.col("nb") - F.col("ob"))).alias("most"), F.max(F.col("oa") + F.col("ob") - F.col("nl")).alias("least")
-    )
-    bounded = pairs.join(bounds, ["a", "b"], "left")
-    asked = percent * (F.col("na") + F.col("nb"))
-    derived = bounded.where(F.col("least") * (100 + percent) >= asked).select("a", "b")
-    undecided = bounded.where(F.col("most").isNull() | ((F.col("most") * (100 + percent) >= asked) & (F.col("least") * (100 + percent) < asked))).select("a", "b")
-    undecided = write_table(undecided, "undecided")
-    late = derived
-    if undecided.take(1):
-        late = _overlaps(undecided, sets_of(undecided)).where(enough).select("a", "b").unionByName(derived)
-    late = write_table(late, "late")
-
     comp = linked
-    if late.take(1):
-        of = linked.select(F.col("node").alias("x"), "comp")
-        ends = late.join(of.withColumnRenamed("comp", "ca"), F.col("a") == F.col("x"), "left").drop("x").join(of.withColumnRenamed("comp", "cb"), F.col("b") == F.col("x"), "left").drop("x")
-        ends = ends.select("a", "b", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb"))
-        higher = components(ends, "ca", "cb").select(F.col("node").alias("comp"), F.col("comp").alias("higher"))
-        known = linked.unionByName(ends.select(F.col("a").alias("node"), F.col("ca").alias("comp"))).unionByName(ends.select(F.col("b").alias("node"), F.col("cb").alias("comp"))).distinct()
-        comp = write_table(known.join(higher, "comp", "left").select("node", F.coalesce("higher", "comp").alias("comp")), "comp")
+    if pairs.take(1):
+        late = write_table(_overlaps(pairs, sets_of(pairs)).where(enough).select("a", "b"), "late")
+        if late.take(1):
+            of = linked.select(F.col("node").alias("x"), "comp")
+            ends = late.join(of.withColumnRenamed("comp", "ca"), F.col("a") == F.col("x"), "left").drop("x").join(of.withColumnRenamed("comp", "cb"), F.col("b") == F.col("x"), "left").drop("x")
+            ends = ends.select("a", "b", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb"))
+            higher = components(ends, "ca", "cb").select(F.col("node").alias("comp"), F.col("comp").alias("higher"))
+            known = linked.unionByName(ends.select(F.col("a").alias("node"), F.col("ca").alias("comp"))).unionByName(ends.select(F.col("b").alias("node"), F.col("cb").alias("comp"))).distinct()
+            comp = write_table(known.join(higher, "comp", "left").select("node", F.coalesce("higher", "comp").alias("comp")), "comp")
+
+    whole = nodes.select("rid", "id", "n", "node").join(comp, "node", "left").withColumn("group", F.coalesce("comp", "node"))
+    # Written, so that the join below can split a group that holds a large part of the rows.
+    least = write_table(whole.where("n > 0").groupBy("group").agg(F.min("id").alias("least")), "least")
+    return whole.join(least, "group", "left").select("rid", "id", "n", "node", "group", F.when(F.col("n") > 0, F.col("least")).alias("least"))
+
+
+def _derived(led: DataFrame, percent: int, parts: int) -> DataFrame:
+    """Links a, b of nodes near the same leader, derived from their answers. led: lead, node, nl (the leader's
+    size), short = percent * n - (100 + percent) * overlap, linked (with the leader), and apart: what
+    sets the node apart, first its own elements, then those of the leader that it lacks.
+
+    Two nodes' overlap is both overlaps with the leader, less the leader's size, and as many as their
+    differences have in common. So they link where total = 100 + percent times these is at least the sum of
+    both shorts and total times the leader's size. That is above 0 unless both link with the leader, so
+    nodes that link otherwise share one of the first differences, as many as a bound leaves room for."""
+    total = 100 + percent
+    bounds = led.groupBy("lead").agg(F.min("short").alias("low"), F.min(F.when(~F.col("linked"), F.col("short"))).alias("low_open")).where(F.col("low_open").isNotNull())
+    asked = F.ceil((F.col("short") + F.when(F.col("linked"), F.col("low_open")).otherwise(F.col("low")) + F.col("nl") * total) / total)
+    rows = led.join(bounds, "lead").withColumn("first", F.floor(F.octet_length("apart") / 8) - F.greatest(asked, F.lit(1)) + 1).where("first > 0")
+
+    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
 
-    whole = nodes.select("id", "n", "node").join(comp, "node", "left").withColumn("group", F.coalesce("comp", "node"))
-    least = whole.where("n > 0").groupBy("group").agg(F.min("id").alias("least"))
-    return whole.join(least, "group", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("id")).alias("component_id"), "node")
+        for batch in batches:
+            first = batch.column(5).to_numpy()
+            apart = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column(6)]
+            keys = np.concatenate([x[:n] for x, n in zip(apart, first, strict=True)]) if len(first) else np.zeros(0, np.int64)
+            rest = np.concatenate([len(x) - np.arange(n) for x, n in zip(apart, first, strict=True)]) if len(first) else np.zeros(0, np.int64)
+            columns = [pa.array(np.repeat(batch.column(c).to_numpy(zero_copy_only=False), first)) for c in range(5)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(keys), pa.array(rest)], names=["lead", "node", "nl", "short", "linked", "key", "rest"])
+
+    kinds = "lead long, node long, nl long, short long, linked boolean, key long, rest long"
+    entries = rows.select("lead", "node", "nl", "short", "linked", "first", "apart").mapInArrow(index, kinds)
+    of = Window.partitionBy("lead", "key")
+    lists = entries.withColumns({"c": F.count(F.lit(1)).over(of), "open": F.max((~F.col("linked")).cast("int")).over(of)}).where("c > 1 AND open = 1")
+    cells = _cells(lists).select("lead", "key", "i", "j", "node", "nl", "short", F.col("linked").cast("int").alias("linked"), "rest", "block")
+    cells = cells.repartition(parts, "lead", "key", "i", "j").sortWithinPartitions("lead", "key", "i", "j", "node")
+
+    def near_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        def out(rows: list) -> pa.RecordBatch:
+            lead, _, i, j, node, nl, short, linked, rest, block = rows
+            found = [np.zeros((0, 3), np.int64)]
+            for a, b in _edges(rows[:4]):
+                for x in range(a + 1, b):
+                    y = np.arange(a, x)
+                    # Of the elements that a pair shares, the first leaves room for all that are asked for.
+                    ok = ((linked[y] == 0) | (linked[x] == 0)) & (np.minimum(rest[y], rest[x]) * total >= short[y] + short[x] + nl[x] * total)
+                    if i[a] != j[a]:
+                        ok &= block[y] != block[x]
+                    y = y[ok]
+                    found.append(np.stack([np.full(len(y), lead[a]), node[y], np.full(len(y), node[x])], 1))
+            pairs = np.unique(np.concatenate(found), axis=0)
+            return pa.RecordBatch.from_arrays([pa.array(pairs[:, k].copy()) for k in range(3)], names=["lead", "a", "b"])
+
+        yield from _streamed(batches, 4, out)
+
+    pairs = cells.mapInArrow(near_pairs, "lead long, a long, b long").distinct()
+    x, y = (led.select(F.col("node").alias(k), "nl", F.col("short").alias(f"s{k}"), F.col("apart").alias(f"d{k}")) for k in "ab")
+    both = pairs.join(y.drop("nl"), "b").join(x, "a").select("a", "b", "nl", "sa", "sb", "da", "db")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        for batch in batches:
+            common = np.array([_common(u, v) for u, v in zip(batch.column(5), batch.column(6), strict=True)], np.int64)
+            nl, sa, sb = (batch.column(c).to_numpy() for c in (2, 3, 4))
+            yield batch.select([0, 1]).filter(pa.array(common * total >= sa + sb + nl * total))
+
+    return both.mapInArrow(compare, "a long, b long")
+
+
+def _common(x, y) -> int:  # noqa: ANN001
+    """How many 8-byte elements two binary values share; neither repeats one."""
+    import numpy as np
+
+    both = np.sort(np.concatenate([np.frombuffer(z.as_buffer(), np.uint64) for z in (x, y)]), kind="stable")
+    return int((both[1:] == both[:-1]).sum())
 
 
 def _sets(docs: DataFrame, words: int, seed: int) -> DataFrame:
@@ -423,28 +534,40 @@ def _sets(docs: DataFrame, words: int, seed: int) -> DataFrame:
     return docs.select("data").mapInArrow(run, "node long, hashes binary")
 
 
-def _overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """a, b, na, nb and both (the intersection's size) for pairs a, b of nodes."""
+def _overlaps(pairs: DataFrame, sets: DataFrame, differences: bool = False) -> DataFrame:
+    """The columns of pairs (a, b of nodes among them), na, nb and both (the intersection's size); with
+    differences also `apart`: the elements of b that a lacks, then marks of those of a that b lacks, each
+    in order of hash."""
+    own = [c for c in pairs.columns if c not in "ab"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
         for batch in batches:
-            out = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+            out, apart = [], []
+            for x, y in zip(batch.column(batch.num_columns - 2), batch.column(batch.num_columns - 1), strict=True):
                 u, v = (np.frombuffer(z.as_buffer(), np.uint64) for z in (x, y))
-                both = np.sort(np.concatenate([u, v]), kind="stable")
-                out.append((len(u), len(v), int((both[1:] == both[:-1]).sum())))
+                if differences:
+                    more, less = (p[q[np.minimum(np.searchsorted(q, p), len(q) - 1)] != p] for p, q in ((v, u), (u, v)))
+                    out.append((len(u), len(v), len(v) - len(more)))
+                    apart.append(np.concatenate([more, mixed(less, 77)]).tobytes())
+                else:
+                    out.append((len(u), len(v), _common(x, y)))
             sizes = np.array(out, np.int64).reshape(-1, 3)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *(pa.array(sizes[:, k].copy()) for k in range(3))], names=["a", "b", "na", "nb", "both"])
+            columns = [*batch.columns[:-2], *(pa.array(sizes[:, k].copy()) for k in range(3)), *([pa.array(apart, pa.binary())] if differences else [])]
+            yield pa.RecordBatch.from_arrays(columns, names=["a", "b", *own, "na", "nb", "both", *(["apart"] if differences else [])])
 
     x, y = (sets.select(F.col("node").alias(k), F.col("hashes").alias(f"h{k}")) for k in "ab")
-    rows = pairs.join(y, "b").join(x, "a").select("a", "b", "ha", "hb")
-    return rows.mapInArrow(run, "a long, b long, na long, nb long, both long")
-
-
-def keep_one_of_near(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """One row of each component, that with the smallest id, with the columns of df; rows that repeat
-    that id and text stay once, and documents with empty sets stay."""
-    first = jaccard_join(df, id_col, text_col, **how).where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__id")).distinct()
-    return df.join(first, F.col(id_col).eqNullSafe(F.col("__id")), "left_semi")
+    rows = pairs.join(y, "b").join(x, "a").select("a", "b", *own, "ha", "hb")
+    kinds = ", ".join(f"{c} {dict(pairs.dtypes)[c]}" for c in ["a", "b", *own])
+    return rows.mapInArrow(run, f"{kinds}, na long, nb long, both long" + (", apart binary" if differences else ""))
+
+
+def keep_one_of_near(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """One row of each component, that with the smallest id (of rows that repeat it, the first), and all rows
+    with empty sets; the columns of df. An empty table gives an empty result."""
+    rows = stable(df, F.struct(*[F.col(c) for c in df.columns]).alias("row"))
+    own = lambda c: F.col("row")[c]
+    joined = _joined(rows.select("rid", own(id_col).alias("id"), F.coalesce(own(text_col), F.lit("")).cast("binary").alias("data")), words, percent)
+    kept = joined.where("n > 0").groupBy("group").agg(F.min(F.struct("id", "rid")).alias("first")).select("first.rid").unionByName(joined.where("n = 0").select("rid"))
+    return rows.join(kept, "rid", "left_semi").select("row.*")
