@@ -226,6 +226,61 @@ def test_title_counts_all_words_of_a_line():
     assert title.tolist() == [crf_quality.BINS // 2, 0, crf_quality.BINS // 2]
 
 
+def piece_codec():
+    with open(piece_model(), "rb") as f:
+        return sentencepiece_codec.Codec(f.read())
+
+
+def dropped_by_hand(codec, text, key, dropout):
+    """The pieces of a text, segment by segment and candidate by candidate, with the draws that its key gives."""
+    import numpy as np
+
+    letter = lambda c: c.isalpha()
+    parts = []
+    for c in " " + text if text else "":
+        last = parts[-1][-1] if parts else "\n"
+        if c == "\n" or last == "\n" or c == " " and last != " " or not letter(c) and c != " " and letter(last):
+            parts.append(c)
+        else:
+            parts[-1] += c
+    out = []
+    for place, part in enumerate(parts):
+        base = sentencepiece_codec.mixed(np.array([(key + place * sentencepiece_codec.GOLDEN) & sentencepiece_codec.MASK], np.uint64))
+        draw = lambda turn, base=base: sentencepiece_codec.gaps(base, np.array([turn]), dropout)[0]
+        marks = ["\ud800" if c == "\u2581" else "\u2581" if c == " " else c for c in part]
+        turn, since, gone = 0, 0, set()
+        while True:
+            open_ = [(codec.order[a + b], i) for i, (a, b) in enumerate(zip(marks, marks[1:])) if a + b in codec.order and i not in gone]  # noqa: B905
+            if not open_:
+                break
+            i = min(open_)[1]
+            if since == draw(turn):
+                turn, since = turn + 1, 0
+                gone.add(i)
+                continue
+            since += 1
+            marks[i : i + 2] = [marks[i] + marks[i + 1]]
+            gone = {g - (g > i) for g in gone if g not in (i - 1, i)} - {i - 1, i}
+        for m in marks:
+            out += [codec.piece[m]] if m in codec.piece else [int(codec.byte[x]) for x in m.replace("\ud800", "\u2581").encode()]
+    return out
+
+
+def test_dropout_equals_brute_force(monkeypatch):
+    codec, rng = piece_codec(), random.Random(6)
+    letters = "aeinrst  \n0,.é\u2581語ß"
+    texts = [" ".join(rng.choice(["responsibility", "something", "at", "x1y2", "--", "naïve", "日本", "▁"]) for _ in range(30)) for _ in range(12)]
+    texts += ["".join(rng.choice(letters) for _ in range(rng.randrange(120))) for _ in range(40)] + ["", "understanding" * 9, " " * 90, "ab\x00c" * 30]
+    keys = [rng.getrandbits(64) for _ in texts]
+    for dropout in (0.0, 0.1, 0.6, 1.0):
+        want = [dropped_by_hand(codec, t, k, dropout) for t, k in zip(texts, keys, strict=True)]
+        for wide in (48, 3, 1000):  # rows in step, or an agenda for each long segment
+            monkeypatch.setattr(sentencepiece_codec, "WIDE", wide)
+            ids, ends = codec.encode_all(texts, keys, dropout)
+            assert [ids[a:b].tolist() for a, b in zip(ends, ends[1:])] == want  # noqa: B905
+            assert codec.decode_all(ids, ends) == [t.encode() for t in texts]
+
+
 def test_dropout_skips_each_candidate_of_each_segment_by_itself():
     with open(piece_model(), "rb") as f:
         model = f.read()
