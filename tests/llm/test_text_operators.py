@@ -450,6 +450,25 @@ def test_topk_equals_brute_force(spark):
     assert [tuple(r) for r in topk_search.search(few, few.where("vec_id = 50")).collect()] == [(50, 1, 1, 131072)]
     none = few.where("false")
     assert topk_search.search(none, none).count() == 0
+    # Components beyond the doubles when scaled, scores beyond long, and columns named like the operator's own.
+    huge = spark.createDataFrame([(50, [1e307, 1.0], 7, 8), (1, [1e307, 0.0], 7, 8), (2, [-1e307, 0.0], 7, 8), (3, [0.0, 2.0], 7, 8)], "vec_id long, embedding array<double>, id int, shard int")
+    got = [tuple(r) for r in topk_search.search(huge, huge.where("vec_id = 50")).orderBy("rank").collect()]
+    assert got == [(50, 1, 1, 2**63 - 1), (50, 2, 3, 131072), (50, 3, 2, -(2**63))]
+
+
+def test_topk_over_many_shards_and_groups(spark, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(topk_search, "SHARD_ROWS", 64)
+    monkeypatch.setattr(topk_search, "GROUP_QUERIES", 5)
+    x = np.random.default_rng(5).normal(size=(600, 4)).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(7)
+    whole = np.floor(256 * x.astype(float)).astype(int)
+    want = Counter()
+    for q in range(0, 600, 50):
+        best = sorted((-int(whole[q] @ v), i) for i, v in enumerate(whole) if i != q)[:5]
+        want.update((q, k + 1, i, -s) for k, (s, i) in enumerate(best))
+    assert Counter(map(tuple, topk_search.search(df, df.where("vec_id % 50 = 0")).collect())) == want
 
 
 def test_impact_order_stops_early():

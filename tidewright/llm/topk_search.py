@@ -6,6 +6,8 @@ by descending impact of their values on the score, whatever the dimension. A vec
 holds what its segments so far have added; what may still come is bounded by the impacts of the
 segments next in line. Work on a query stops when that bound proves all but a few vectors out of the top k;
 those few get their exact score.
+
+A shard's index is made once in its task, and the queries stream past it.
 """
 
 from __future__ import annotations
@@ -16,8 +18,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SCALE = 256
-SHARD_ROWS, BLOCK_QUERIES, SEGMENTS = 65536, 128, 16
+SCALE, MOST = 256, 1.7976931348623157e308
+#: Components and vectors of a shard at most, about; queries that pass one index; segments of a dimension.
+SHARD_VALUES, SHARD_ROWS, GROUP_QUERIES, SEGMENTS = 4_000_000, 65536, 16384, 16
 #: A query's segments end when at most this share of a shard may still be in its top k.
 FEW = 1 / 16
 
@@ -30,11 +33,12 @@ def valid_vector(column: Column) -> Column:
 
 def _matrix(column: pa.Array) -> object:
     """floor(SCALE * x) of list rows as floats, rows padded with zeros to the longest: an absent
-    component adds nothing to an inner product."""
+    component adds nothing to an inner product. What is no double any more counts as the largest one."""
     import numpy as np
 
     lengths = np.asarray(column.value_lengths().fill_null(0))
-    flat = np.floor(SCALE * np.asarray(column.flatten(), float))
+    with np.errstate(over="ignore"):
+        flat = np.clip(np.floor(SCALE * np.asarray(column.flatten(), float)), -MOST, MOST)
     if not len(lengths) or not lengths.max():
         return np.zeros((len(lengths), 1))
     if (lengths == lengths[0]).all():
@@ -71,7 +75,7 @@ class Index:
         import numpy as np
 
         x, n = self.x, len(self.x)
-        if n <= 4 * k:
+        if n <= 4 * k or not _in_floats(x, q):
             return np.arange(n)
         both = self.ends * q[self.owner][:, None]
         least, most = both.min(1), both.max(1)
@@ -100,12 +104,19 @@ class Index:
         return np.flatnonzero(sums >= bar)
 
 
+def _in_floats(x, q) -> bool:  # noqa: ANN001
+    """Whether all sums of products are whole numbers that floats hold exactly."""
+    import numpy as np
+
+    return float(np.abs(x).max(initial=0)) < 2**52 and float(np.abs(x).max(initial=0)) * float(np.minimum(np.abs(q).max(initial=0), 2.0**52)) * max(1, x.shape[1]) < 2**52
+
+
 def _exact(x, q):  # noqa: ANN001, ANN202
     """Inner products as whole numbers: in floats where these are exact, else in Python's integers,
     held at the ends of the long range."""
     import numpy as np
 
-    if np.abs(x).max(initial=0) * np.abs(q).max(initial=0) * max(1, x.shape[1]) < 2**52:
+    if _in_floats(x, q):
         return (x @ q).astype(np.int64)
     whole = x.astype(object)
     sums = [sum(int(a) * int(b) for a, b in zip(row, q, strict=True)) for row in whole]
@@ -119,46 +130,57 @@ def search(df: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id"
     Rows with the query's own id are no candidates for it. Vectors that are null or hold null or
     non-finite components take no part; nor do null ids. Vectors of unequal lengths are compared
     as if padded with zeros. Rows of df that repeat an id are candidates each; of queries that
-    repeat an id, that with the smallest vector is asked.
+    repeat an id, that with the smallest vector is asked. A score beyond the range of long is its end.
+    Other columns, whatever their names, are not read. An empty table of either gives an empty result.
     """
     def usable(rows: DataFrame) -> DataFrame:
         return rows.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.transform(F.col(vec_col), lambda x: x.cast("double")).alias("vec")).where(valid_vector(F.col("vec")))
 
     every, asked = usable(df), usable(queries).groupBy("id").agg(F.min("vec").alias("vec"))
-    n_shards = max(1, -(-every.count() // SHARD_ROWS))
-    n_blocks = max(1, -(-asked.count() // BLOCK_QUERIES))
-
-    def packed(rows: DataFrame, parts: int, name: str) -> DataFrame:
-        # Rows are dealt by place, not by id: one id that repeats cannot fill a shard.
-        part = F.pmod(F.xxhash64("id", F.monotonically_increasing_id()), F.lit(parts)).cast("int")
-        return rows.groupBy(part.alias(name)).agg(F.collect_list(F.struct("id", "vec")).alias(f"{name}_rows"))
-
-    shards = packed(every, n_shards, "shard")
-    blocks = packed(asked, n_blocks, "block").withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1))))
-    pairs = blocks.join(shards, "shard").repartition(min(n_shards * n_blocks, 4096), "shard", "block").select("shard_rows", "block_rows")
+    n, width = every.agg(F.count(F.lit(1)), F.max(F.size("vec"))).first()
+    shards = max(1, -(-n // max(1, min(SHARD_ROWS, SHARD_VALUES // max(1, width or 1)))))
+    groups = max(1, -(-asked.count() // GROUP_QUERIES))
+    # Rows are dealt by place, not by id: one id that repeats cannot fill a shard. Only queries go to all shards.
+    shard = F.pmod(F.xxhash64("id", F.monotonically_increasing_id()), F.lit(shards)).cast("int")
+    items = every.select(shard.alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"), F.lit(0).alias("asks"), "id", "vec")
+    asks = asked.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int").alias("group"), F.lit(1).alias("asks"), "id", "vec")
+    rows = items.unionByName(asks).repartition(min(shards * groups, 100_000), "shard", "group").sortWithinPartitions("shard", "group", "asks")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
+        at, parts, index, ids, repeats = None, [], None, None, 0
         for batch in batches:
-            for i in range(batch.num_rows):
-                own, ask = (batch.column(c)[i].values for c in (0, 1))
-                ids, x = np.asarray(own.field("id")), _matrix(own.field("vec"))
-                query_ids, qs = np.asarray(ask.field("id")), _matrix(ask.field("vec"))
-                width = max(x.shape[1], qs.shape[1])
-                x, qs = (np.pad(m, ((0, 0), (0, width - m.shape[1]))) for m in (x, qs))
-                index, found = Index(x), []
-                repeats = len(ids) - len(np.unique(ids))
-                for query, q in zip(query_ids, qs, strict=True):
+            place = [np.asarray(c) for c in batch.columns[:3]]
+            edges = [0, *(np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in place])) + 1).tolist(), batch.num_rows] if batch.num_rows else [0]
+            for a, b in zip(edges, edges[1:]):  # noqa: B905
+                key, own = (int(place[0][a]), int(place[1][a])), batch.slice(a, b - a)
+                if key != at:
+                    at, parts, index = key, [], None
+                if place[2][a] == 0:
+                    parts.append((np.asarray(own.column(3)), _matrix(own.column(4))))
+                    continue
+                if not parts and index is None:
+                    continue  # a shard without rows
+                if index is None:
+                    most = max(m.shape[1] for _, m in parts)
+                    index = Index(np.concatenate([np.pad(m, ((0, 0), (0, most - m.shape[1]))) for _, m in parts]))
+                    ids, parts = np.concatenate([i for i, _ in parts]), []
+                    repeats = len(ids) - len(np.unique(ids))
+                found, qs = [], _matrix(own.column(4))
+                # What a query has beyond the shard's longest vector meets nothing there.
+                most = index.x.shape[1]
+                qs = np.pad(qs, ((0, 0), (0, max(0, most - qs.shape[1]))))[:, :most]
+                for query, q in zip(np.asarray(own.column(3)), qs, strict=True):
                     # The query's own rows may be among the best: so many more are asked for.
-                    rows = index.candidates(q, min(len(ids), k + 1 + repeats))
-                    rows = rows[ids[rows] != query]
-                    score = _exact(x[rows], q)
-                    best = np.lexsort((ids[rows], -score))[:k]
-                    found.append((np.full(len(best), query), ids[rows][best], score[best]))
+                    near = index.candidates(q, min(len(ids), k + 1 + repeats))
+                    near = near[ids[near] != query]
+                    score = _exact(index.x[near], q)
+                    best = np.lexsort((ids[near], -score))[:k]
+                    found.append((np.full(len(best), query), ids[near][best], score[best]))
                 columns = [np.concatenate(c).astype(np.int64) for c in zip(*found, strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["query_id", "vec_id", "score"])
 
-    found = pairs.mapInArrow(run, "query_id long, vec_id long, score long")
+    found = rows.mapInArrow(run, "query_id long, vec_id long, score long")
     by = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
