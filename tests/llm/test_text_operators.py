@@ -384,7 +384,7 @@ def test_warc_round_trip(spark, tmp_path):
     page = "<html>" + "x" * 120 + "\r\n\r\nWARC/1.0\r\n"
     rows = [(5, "http://a/1 2", page), (3, None, page), (9, "http://b", page), (1, "u", None), (2, "u", ""), (4, "u", "short"), (6, "u", "short"), (7, "ü", "é" * 60)]
     path = f"file://{tmp_path}/a"
-    warc.write_warc(spark.createDataFrame(rows, "page_id long, url string, html string"), path, captures_per_file=3)
+    warc.write_warc(spark.createDataFrame(rows, "page_id long, url string, html string"), path, file_bytes=300)
     got = {r.page_id: r for r in warc.assemble(warc.read_warc(spark, path)).collect()}
     assert set(got) == {r[0] for r in rows}
     for i, _, html in rows:
@@ -393,6 +393,13 @@ def test_warc_round_trip(spark, tmp_path):
         assert r.request is not None and r.metadata is not None
         assert (r.response.type, r.of_page_id) == (("revisit", 3) if i in (5, 9) else ("response", None))
         assert r.response.type == "revisit" or bytes(r.response.block) == (html or "").encode()
+    # Rows that repeat an id or all, a long body that is in most rows, null ids, clashing columns.
+    long = "<p>" * 200_000
+    many = [(i, "u", long, 1, 2) for i in range(40)] + [(3, "u", long, 1, 2), (50, "u", "z" * 100, 1, 2), (50, "u", "z" * 100, 1, 2), (None, "u", "q" * 100, 1, 2), (7, "u", "q" * 100, 1, 2)]
+    warc.write_warc(spark.createDataFrame(many, "page_id long, url string, html string, rid int, digest int"), f"file://{tmp_path}/c")
+    got = Counter((r.page_id, r.response.type, r.of_page_id, r.response.payload_bytes) for r in warc.assemble(warc.read_warc(spark, f"file://{tmp_path}/c", blocks=False)).collect())
+    want = Counter({(i, "revisit", 0, 600_000): 1 for i in range(1, 40)}) + Counter([(0, "response", None, 600_000), (3, "revisit", 0, 600_000), (50, "response", None, 100), (50, "revisit", 50, 100), (None, "response", None, 100), (7, "revisit", None, 100)])
+    assert got == want
     empty = f"file://{tmp_path}/b"
     warc.write_warc(spark.createDataFrame([], "page_id long, url string, html string"), empty)
     assert warc.assemble(warc.read_warc(spark, empty)).count() == 0

@@ -13,24 +13,32 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewright.llm.common import partitions_for, stable, write_table
+
 CRLF = "\r\n"
 #: Payloads shorter than this many bytes are always stored.
 REVISIT_BYTES = 100
-#: A file holds this many captures at most, so that one task can read it.
-CAPTURES_PER_FILE = 1000
+#: Bytes of payloads in a file, about, so that one task can read it.
+FILE_BYTES = 64_000_000
 DATE = "2024-01-01T00:00:00Z"
 RECORD = "record_id string, type string, target_uri string, concurrent_to string, refers_to string, payload_digest string, payload_bytes long, block binary"
 
 
-def plan_captures(pages: DataFrame, id_col: str = "page_id", uri_col: str = "url", body_col: str = "html") -> DataFrame:
-    """One row per page: rid, page_id, uri, body, digest, of_id and of_rid (the response that this
-    page revisits, else null). Equal payloads are found by SHA-256 and length."""
+def plan_captures(pages: DataFrame, id_col: str = "page_id", uri_col: str = "url", body_col: str = "html", file_bytes: int = FILE_BYTES) -> DataFrame:
+    """One row per page: rid, page_id, uri, body, n, digest, of_id and of_rid (the response that this page
+    revisits, else null), dealt into partitions of file_bytes of bodies or so. Equal payloads are found
+    by SHA-256 and length, without their bodies; a body is shuffled once, by rid, which is never a hot key."""
     body = F.coalesce(F.col(body_col), F.lit(""))
-    rows = pages.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).cast("long").alias("page_id"), F.coalesce(F.col(uri_col), F.lit("")).alias("uri"), body.alias("body"))
+    rows = stable(pages, F.col(id_col).cast("long").alias("page_id"), F.coalesce(F.col(uri_col), F.lit("")).alias("uri"), body.alias("body"))
     rows = rows.select("*", F.octet_length("body").cast("long").alias("n"), F.sha2(F.col("body").cast("binary"), 256).alias("digest"))
-    first = rows.where(F.col("n") >= REVISIT_BYTES).groupBy("digest", "n").agg(F.min(F.struct("page_id", "rid")).alias("first"))
-    other = F.col("first").isNotNull() & (F.col("first.rid") != F.col("rid"))
-    return rows.join(first, ["digest", "n"], "left").select("rid", "page_id", "uri", "body", "n", "digest", F.when(other, F.col("first.page_id")).alias("of_id"), F.when(other, F.col("first.rid")).alias("of_rid"))
+    light = write_table(rows.select("rid", "page_id", "n", "digest"), "payloads")
+    long = light.where(F.col("n") >= REVISIT_BYTES)
+    # Written, so that the join can split a payload that is in a large part of the rows.
+    first = write_table(long.groupBy("digest", "n").agg(F.min(F.struct("page_id", "rid")).alias("first"), F.count(F.lit(1)).alias("times")).where("times > 1").drop("times"), "first")
+    again = long.join(first, ["digest", "n"]).where(F.col("first.rid") != F.col("rid")).select("rid", F.col("first.page_id").alias("of_id"), F.col("first.rid").alias("of_rid"))
+    size = light.agg(F.sum("n")).first()[0] or 0
+    files = max(partitions_for(pages), -(-size // file_bytes))
+    return rows.repartition(files, "rid").join(again.repartition(files, "rid"), "rid", "left").select("rid", "page_id", "uri", "body", "n", "digest", "of_id", "of_rid")
 
 
 def record_id(kind: str, rid: Column) -> Column:
@@ -44,15 +52,16 @@ def _record(kind: Column, rid: Column, headers: list[tuple[str, Column]], conten
     return F.concat(F.lit("WARC/1.1" + CRLF), *[F.coalesce(F.concat(F.lit(f"{k}: "), v, F.lit(CRLF)), F.lit("")) for k, v in fields], F.lit(CRLF), block)
 
 
-def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", uri_col: str = "url", body_col: str = "html", captures_per_file: int = CAPTURES_PER_FILE) -> None:
+def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", uri_col: str = "url", body_col: str = "html", file_bytes: int = FILE_BYTES) -> None:
     """Write a request, a response or revisit, and a metadata record for each row of pages.
 
     A null body is an empty payload, a null uri an empty one; white space in a uri is percent-coded
     as it would end the header. Of equal payloads of REVISIT_BYTES or more that with the smallest
     id is the response, others are revisits without the payload; of rows that repeat the id too,
-    one is the response.
+    one is the response. A null id is the smallest. Other columns, whatever their names, are not read. An
+    empty table gives an archive without records. A body may have up to a gigabyte, as a row holds it.
     """
-    rows = plan_captures(pages, id_col, uri_col, body_col)
+    rows = plan_captures(pages, id_col, uri_col, body_col, file_bytes)
     revisit = F.col("of_rid").isNotNull()
     response = F.when(revisit, record_id("revisit", F.col("rid"))).otherwise(record_id("response", F.col("rid")))
     uri = ("WARC-Target-URI", F.regexp_replace("uri", r"\s", "%20"))
@@ -74,26 +83,36 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", uri_col: st
         ).alias("value")
     )
     # The two empty lines that end a record are the writer's separator.
-    records.write.option("lineSep", CRLF * 2).option("maxRecordsPerFile", 3 * captures_per_file).option("compression", "gzip").text(path)
+    records.write.option("lineSep", CRLF * 2).option("compression", "gzip").text(path)
 
 
 def parse_warc(content: bytes, blocks: bool = True) -> Iterator[dict]:
-    """The records of one archive file, as rows of RECORD. The block of a response or revisit is what
-    follows its HTTP head (null without blocks); other blocks are whole."""
+    """The records of one archive file, as rows of RECORD, one after the other: of what is compressed
+    no more than a record is held. The block of a response or revisit is what follows its HTTP head
+    (null without blocks); other blocks are whole."""
     import gzip
     import hashlib
-
-    content = gzip.decompress(content) if content[:2] == b"\x1f\x8b" else content
-    at, end = 0, len(content)
-    while (at := content.find(b"WARC/1.", at)) >= 0 and at < end:
-        stop = content.index(b"\r\n\r\n", at)
-        head = dict(x.split(": ", 1) for x in content[at:stop].decode().split(CRLF)[1:])
-        start, n = stop + 4, int(head["Content-Length"])
-        block, kind, at = content[start : start + n], head["WARC-Type"], start + n + 4
+    import io
+
+    stream = io.BytesIO(content)
+    stream = io.BufferedReader(gzip.GzipFile(fileobj=stream), 1 << 20) if content[:2] == b"\x1f\x8b" else stream
+    while line := stream.readline():
+        if not line.startswith(b"WARC/1."):
+            if line.strip():
+                raise ValueError(f"no record begins with {line[:40]!r}")
+            continue
+        head = {}
+        while (line := stream.readline()).strip(b"\r\n"):
+            name, _, value = line.rstrip(b"\r\n").decode().partition(": ")
+            head[name] = value
+        n, kind = int(head["Content-Length"]), head["WARC-Type"]
+        block = stream.read(n)
+        if len(block) < n:
+            raise ValueError(f"{head['WARC-Record-ID']}: {len(block)} bytes of {n}")
         digest, size = None, None
         if kind in ("response", "revisit"):
             block = block.partition(b"\r\n\r\n")[2]
-            digest, size = head.get("WARC-Payload-Digest", "").removeprefix("sha256:"), None
+            digest = head.get("WARC-Payload-Digest", "").removeprefix("sha256:")
             if kind == "response":
                 size = len(block)
                 if digest != (found := hashlib.sha256(block).hexdigest()):
@@ -106,13 +125,17 @@ def read_warc(spark: SparkSession, path: str, blocks: bool = True) -> DataFrame:
     checked and measured but not returned."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from itertools import batched
-
         schema = pa.schema([("record_id", pa.string()), ("type", pa.string()), ("target_uri", pa.string()), ("concurrent_to", pa.string()), ("refers_to", pa.string()), ("payload_digest", pa.string()), ("payload_bytes", pa.int64()), ("block", pa.binary())])
         for batch in batches:
             for content in batch.column(0):
-                for some in batched(parse_warc(content.as_py(), blocks), 1000):
-                    yield pa.RecordBatch.from_pylist(list(some), schema)
+                some, size = [], 0
+                for record in parse_warc(content.as_py(), blocks):
+                    some.append(record)
+                    size += len(record["block"] or b"")
+                    if len(some) == 1000 or size > 8_000_000:
+                        yield pa.RecordBatch.from_pylist(some, schema)
+                        some, size = [], 0
+                yield pa.RecordBatch.from_pylist(some, schema)
 
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, RECORD)
 
@@ -129,7 +152,12 @@ def assemble(records: DataFrame) -> DataFrame:
     metadata = part("metadata").select(F.col("concurrent_to").alias("key"), whole.alias("metadata"), page.alias("page_id"))
     responses = records.where(F.col("type").isin("response", "revisit")).select(F.col("record_id").alias("key"), whole.alias("response"))
     captures = responses.join(requests, "key", "left").join(metadata, "key", "left")
-    first = part("response").select(F.col("record_id").alias("of"), F.col("payload_bytes").alias("of_bytes")).join(metadata.select(F.col("key").alias("of"), F.col("page_id").alias("of_page_id")), "of", "left")
-    return captures.join(first, (F.col("response.refers_to") == F.col("of")) & (F.col("response.type") == "revisit"), "left").select(
-        "page_id", "request", F.col("response").withField("payload_bytes", F.coalesce("response.payload_bytes", "of_bytes")).alias("response"), "metadata", "of_page_id"
+    # Only responses that are referred to, written, so that the join can split one that many revisits name.
+    named = part("revisit").select(F.col("refers_to").alias("of")).distinct()
+    first = part("response").select(F.col("record_id").alias("of"), F.col("payload_bytes").alias("of_bytes")).join(named, "of", "left_semi")
+    first = write_table(first.join(metadata.select(F.col("key").alias("of"), F.col("page_id").alias("of_page_id")), "of", "left"), "referred")
+    # What refers to nothing is dealt out by its own id, and not by null.
+    refers = F.when(F.col("response.type") == "revisit", F.col("response.refers_to"))
+    return captures.withColumn("refers", F.coalesce(refers, F.col("key"))).join(first, F.col("refers") == F.col("of"), "left").select(
+        "page_id", "request", F.col("response").withField("payload_bytes", F.coalesce("response.payload_bytes", "of_bytes")).alias("response"), "metadata", F.when(refers.isNotNull(), F.col("of_page_id")).alias("of_page_id")
     )
