@@ -420,11 +420,52 @@ def test_lm_scores(spark, odd, none, docs):
         assert math.isclose(r.base_score, sum(math.log10((count[w] + 0.5) / (n + 0.5 * (v + 1))) for w in own), rel_tol=1e-9)
     held = lm_scoring.score_documents(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).where("held_out").collect()
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
-    rows = lm_scoring.score_documents(odd.withColumn("n", F.lit(1)), vocabulary_size=8, dimension=4).collect()
+    rows = lm_scoring.score_documents(odd.withColumn("n", F.lit(1)), symbols=8, bins=3, members=20, dimension=4).collect()
     assert len(rows) == len(odd_rows()) and all(math.isfinite(r.score) for r in rows)
     assert lm_scoring.score_documents(none).count() == 0
 
 
+def test_lm_score_equals_brute_force(spark, docs):
+    """Every token's probability by sums over all symbols, and over all words of its bin."""
+    import numpy as np
+
+    small, sizes = docs.limit(40), {"symbols": 30, "bins": 5, "members": 60}
+    texts = [(r.doc_id, (r.text or "").encode()) for r in small.collect()]
+    counts = lm_scoring.count_tokens(small).cache()
+    total, kinds, ends = counts.agg(F.sum("c")).first()[0], counts.count(), len(texts)
+    head = lm_scoring.most_frequent(counts, 150, 10_000)
+    assert 85 < len(head) <= 150 and head == sorted(head, key=lambda r: (-r[1], r[0]))
+    lexicon = lm_scoring.Lexicon(head, ends, total, kinds, **sizes)
+    model = lm_scoring.train_model(small.repartition(3), lexicon, dimension=5, inner=3)
+    assert not np.allclose(model.outer.q, lm_scoring.LogBilinear(lexicon.noise, 5).q) and not np.allclose(model.within.v, lm_scoring.Within(lexicon, 3).v)
+    model.prepare()
+    count = {bytes(r.word): r.c for r in counts.collect()}
+    o, w = model.outer, model.within
+    symbol = lambda word: lm_scoring.END if word is None else int(lexicon.symbol[lexicon.number[word]]) if word in lexicon.number else lm_scoring.RARE
+    got, _, last, _ = lm_scoring.token_numbers([t for _, t in texts[:6]], lexicon.number)
+    logs = model.logs(got)
+    at = 0
+    for _, text in texts[:6]:
+        own = [None, None, *lm_scoring.words(text), None]
+        for a, b, c in zip(own, own[1:], own[2:]):  # noqa: B905
+            guess = o.r[symbol(b)] * o.place[0] + o.r[symbol(a)] * o.place[1]
+            every = np.exp(o.q @ guess + o.b)
+            want = math.log(every[symbol(c)] / every.sum())
+            m = int(lexicon.member[lexicon.number[c]]) if c in lexicon.number else -1
+            if m >= 0:
+                k = lexicon.bin_of[m]
+                like = [j for j in range(len(w.v)) if lexicon.bin_of[j] == k]
+                inner = {j: math.exp(w.v[j] @ w.u[symbol(b)] + w.b[j]) for j in like}
+                want += math.log(inner[m] / sum(inner.values()))
+            assert math.isclose(logs[at + 2], want, rel_tol=1e-6, abs_tol=1e-9)
+            at += 1
+        at += 2
+    # The rare words' share is spread over them, and what is left is that of one word never seen.
+    rare = [c for x, c in count.items() if x and symbol(x) == lm_scoring.RARE]
+    assert lexicon.rare == sum(rare) and lexicon.rare_kinds == len(rare)
+    assert math.isclose(sum((c + 0.5) / (lexicon.rare + 0.5 * (len(rare) + 1)) for c in [*rare, 0]), 1.0)
+
+
 def test_log_bilinear_model_is_normalised():
     import numpy as np
 

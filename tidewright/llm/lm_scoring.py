@@ -8,29 +8,35 @@ its partition, and parameters are averaged, weighted by tokens. As a score is a
 places, the normaliser of all contexts is one matrix product, so that every token's log-probability
 is exactly normalised.
 
-The model's vocabulary are the most frequent words. Other words share one class; within it a word
-has its smoothed frequency among the class's training tokens. Frequencies count all training
-texts: the most frequent words are at hand in every task, a bounded table, and all others are
-looked up by a join.
+Words are told apart in two steps, both log-bilinear and normalised. The first has a symbol for each
+of the most frequent words, for the end, for bins of the words that follow in order of frequency, and for
+all that is rarer. The second tells apart the words of a bin, from the symbol before. Within the rare
+ones a word has its smoothed frequency. Frequencies count all training texts: the most frequent words
+are at hand in every task, a table of bounded size, and all others are looked up by a join.
 """
 
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import split_of, write_table
-
-#: Tokens that the model tells apart, the class of other words and the end among them; the
-#: dimension; noise words a batch, batch size and learning rate of the training.
-VOCABULARY, DIMENSION, NOISE, BATCH, RATE = 1024, 24, 64, 4096, 0.08
-#: Most frequent words that tasks have at hand, of at most WORD_BYTES bytes.
-HEAD, WORD_BYTES = 200_000, 48
-OTHER, END = 0, 1
+from tidewright.llm.common import portions, split_of, write_table
+
+#: Symbols of the first step, bins among them, and words of all bins together; dimensions of both steps.
+SYMBOLS, BINS, MEMBERS, DIMENSION, INNER = 1024, 64, 65_536, 24, 8
+#: Noise words of a batch in the first step and of a token in the second; tokens of a batch in both, and the rate.
+NOISE, INNER_NOISE, BATCH, INNER_BATCH, RATE = 64, 3, 4096, 32_768, 0.08
+#: Most frequent words that tasks have at hand, and their bytes together.
+HEAD, HEAD_BYTES = 200_000, 8_000_000
+#: Parameters that are averaged in one row.
+CHUNK = 1 << 16
+RARE, END = 0, 1
 ENDS = b""  # how counts name the end of a text: no word is empty
 
 
@@ -62,6 +68,68 @@ def count_tokens(texts: DataFrame, text_col: str = "text") -> DataFrame:
     return some.mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
+def most_frequent(counts: DataFrame, most: int, most_bytes: int) -> list[tuple[bytes, int]]:
+    """The most frequent words and their counts, by falling count, then word. A histogram says from which
+    count on they are at most so many, with so many bytes; no more than these reach the driver."""
+    rows = counts.where(F.octet_length("word") > 0)
+    level = F.floor(F.log2("c") * 64).cast("int")  # at most some thousand levels
+    found = rows.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("word") + 16).alias("size")).collect()
+    n = size = 0
+    least = None
+    for row in sorted(found, reverse=True):
+        n, size = n + row["n"], size + row["size"]
+        if n > most or size > most_bytes:
+            break
+        least = row["level"]
+    if least is None:
+        return []
+    return sorted(((bytes(r["word"]), r["c"]) for r in rows.where(level >= least).collect()), key=lambda r: (-r[1], r[0]))
+
+
+class Lexicon:
+    """The words at hand, by rank: their symbol in the first step, and their number among the words of the
+    bins, -1 for others. Bins hold neighbours by rank, with about as many tokens each."""
+
+    def __init__(self, head: list[tuple[bytes, int]], ends: int, total: int, kinds: int, symbols: int = SYMBOLS, bins: int = BINS, members: int = MEMBERS) -> None:
+        import numpy as np
+
+        self.ends, self.total, self.kinds = ends, total, kinds
+        bins = min(bins, max(0, symbols - 3))
+        own = min(len(head), symbols - 2 - bins)
+        members = min(len(head) - own, members if bins else 0)
+        counts = np.array([c for _, c in head], np.int64)
+        inner = counts[own : own + members]
+        if members:
+            edges = np.searchsorted(np.cumsum(inner), np.arange(bins) * (inner.sum() / bins), side="right")
+            self.edges = np.append(np.unique(np.minimum(edges, members - 1)), members)
+        else:
+            self.edges = np.zeros(1, np.int64)
+        bin_of = np.repeat(np.arange(len(self.edges) - 1), np.diff(self.edges))
+        self.first_bin = 2 + own
+        self.number = {w: i for i, (w, _) in enumerate(head)}
+        self.symbol = np.concatenate([2 + np.arange(own), self.first_bin + bin_of, np.full(len(head) - own - members, RARE)]).astype(np.int64)
+        self.member = np.concatenate([np.full(own, -1), np.arange(members), np.full(len(head) - own - members, -1)]).astype(np.int64)
+        self.bin_of, self.log_count = bin_of, np.log10(counts + 0.5)
+        seen = np.append(np.array([0, ends]), counts[:own]).astype(float)
+        if members:
+            seen = np.append(seen, np.add.reduceat(inner, self.edges[:-1]))
+        seen[RARE] = self.rare = total - int(seen[1:].sum())
+        self.rare_kinds = kinds - own - members - (ends > 0)
+        self.noise = (seen + 1) / (total + len(seen))
+        self.inner = inner / np.repeat(np.add.reduceat(inner, self.edges[:-1]), np.diff(self.edges)) if members else np.zeros(0)
+
+    def symbols_of(self, at):  # noqa: ANN001, ANN201
+        """Symbols of numbers of words; -1 is a word that is not at hand, -2 an end."""
+        import numpy as np
+
+        return np.where(at >= 0, self.symbol[np.maximum(at, 0)] if len(self.symbol) else RARE, np.where(at == -2, END, RARE))
+
+    def members_of(self, at):  # noqa: ANN001, ANN201
+        import numpy as np
+
+        return np.where(at >= 0, self.member[np.maximum(at, 0)] if len(self.member) else -1, -1)
+
+
 class LogBilinear:
     """r: vectors of context words; place: diagonals of the two places; q, b: vectors and biases of
     predicted tokens; noise: unigram probabilities."""
@@ -73,34 +141,18 @@ class LogBilinear:
         self.noise = noise
         self.r, self.q = (rng.normal(0, 0.1, (k, dimension)) for _ in range(2))
         self.place, self.b = np.ones((2, dimension)) * [[1.0], [0.5]], np.log(noise)
+        self.grown = [np.full(x.shape, 0.1) for x in self.parts()]
 
     def parts(self) -> list:
         return [self.r, self.place, self.q, self.b]
 
-    def flat(self):  # noqa: ANN201
-        import numpy as np
-
-        return np.concatenate([x.ravel() for x in self.parts()])
-
-    def set_flat(self, flat) -> LogBilinear:  # noqa: ANN001
-        import numpy as np
-
-        ends = np.cumsum([x.size for x in self.parts()])
-        self.r, self.place, self.q, self.b = (x.reshape(y.shape) for x, y in zip(np.split(flat, ends[:-1]), self.parts(), strict=True))
-        return self
-
     def train(self, ids, seed: int, noise_words: int = NOISE, batch: int = BATCH, rate: float = RATE) -> None:  # noqa: ANN001
         """One pass over triples ids[i - 2], ids[i - 1], ids[i] by noise-contrastive estimation with
         AdaGrad. A batch shares its noise words."""
         import numpy as np
 
         rng, (k, d) = np.random.default_rng(seed), self.r.shape
-        grown = [np.full(x.shape, 0.1) for x in self.parts()]
         log_noise = np.log(noise_words * self.noise)
-        columns = np.arange(d)
-
-        def spread(at, grad):  # noqa: ANN001, ANN202
-            return np.bincount((at[:, None] * d + columns).ravel(), grad.ravel(), k * d).reshape(k, d)
 
         for start in range(2, len(ids), batch):
             w = ids[start : start + batch]
@@ -113,15 +165,12 @@ class LogBilinear:
             up = -1 / (1 + np.exp(np.clip(true, -30, 30)))
             down = 1 / (1 + np.exp(-np.clip(false, -30, 30)))
             back = up[:, None] * qw + down @ qn
-            gq = spread(w, up[:, None] * guess)
+            gq = spread(w, up[:, None] * guess, k)
             np.add.at(gq, drawn, down.T @ guess)
             gb = np.bincount(w, up, k) + np.bincount(drawn, down.sum(0), k)
-            gr = spread(c1, back * self.place[0]) + spread(c2, back * self.place[1])
+            gr = spread(c1, back * self.place[0], k) + spread(c2, back * self.place[1], k)
             gp = np.stack([(back * r1).sum(0), (back * r2).sum(0)])
-            for x, grad, seen in zip(self.parts(), (gr, gp, gq, gb), grown, strict=True):
-                grad /= math.sqrt(len(w))
-                seen += grad * grad
-                x -= rate * grad / np.sqrt(seen)
+            step(self.parts(), (gr, gp, gq, gb), self.grown, len(w), rate)
 
     def tables(self):  # noqa: ANN201
         """First and second place's scores [context, token], and the log normaliser [first, second]."""
@@ -133,108 +182,244 @@ class LogBilinear:
         return one + self.b, two, np.log(z) + m1[:, None] + m2 + top
 
 
-def token_ids(texts: list[bytes], vocabulary: dict[bytes, int]):  # noqa: ANN201
-    """Numbers of all tokens, each text as two ends, its words and an end: so that every text starts
-    from the same context. Also the place of each text's first word, and one past its end."""
+def spread(at, grad, k: int):  # noqa: ANN001, ANN201
+    """Sums of the rows of grad by number, of k."""
     import numpy as np
 
-    flat, first, last, get = [], [], [], vocabulary.get
+    d = grad.shape[1]
+    return np.bincount((at[:, None] * d + np.arange(d)).ravel(), grad.ravel(), k * d).reshape(k, d)
+
+
+def step(parts, grads, grown, n: int, rate: float) -> None:  # noqa: ANN001
+    """A step of AdaGrad, in place."""
+    import numpy as np
+
+    for x, grad, seen in zip(parts, grads, grown, strict=True):
+        grad /= math.sqrt(n)
+        seen += grad * grad
+        x -= rate * grad / np.sqrt(seen)
+
+
+class Within:
+    """The second step: u, vectors of the symbols before; v, b, vectors and biases of the bins' words."""
+
+    def __init__(self, lexicon: Lexicon, dimension: int = INNER, seed: int = 1) -> None:
+        import numpy as np
+
+        rng, m = np.random.default_rng(seed), len(lexicon.inner)
+        self.bin_of, self.edges, self.noise = lexicon.bin_of, lexicon.edges, lexicon.inner
+        self.u, self.v = (rng.normal(0, 0.1, (n, dimension)) for n in (len(lexicon.noise), m))
+        self.b = np.log(self.noise)
+        self.grown = [np.full(x.shape, 0.1) for x in self.parts()]
+        self.sums = np.cumsum(self.noise)  # a bin's words add 1
+
+    def parts(self) -> list:
+        return [self.u, self.v, self.b]
+
+    def train(self, before, words_, seed: int, noise_words: int = INNER_NOISE, batch: int = INNER_BATCH, rate: float = RATE) -> None:  # noqa: ANN001
+        """One pass over words of bins and the symbols before them, against noise from the same bin."""
+        import numpy as np
+
+        rng, k, m = np.random.default_rng(seed), len(self.u), len(self.v)
+        for start in range(0, len(words_), batch):
+            w, c = words_[start : start + batch], before[start : start + batch]
+            bins = self.bin_of[w]
+            drawn = np.searchsorted(self.sums, bins[:, None] + rng.random((len(w), noise_words)))
+            drawn = np.clip(drawn, self.edges[bins][:, None], self.edges[bins + 1][:, None] - 1)
+            every = np.concatenate([w[:, None], drawn], 1)
+            u, v = self.u[c], self.v[every]
+            score = np.einsum("nd,nkd->nk", u, v) + self.b[every] - np.log(noise_words * self.noise[every])
+            error = 1 / (1 + np.exp(-np.clip(score, -30, 30)))
+            error[:, 0] -= 1
+            gu = spread(c, np.einsum("nk,nkd->nd", error, v), k)
+            gv = spread(every.ravel(), (error[:, :, None] * u[:, None, :]).reshape(-1, u.shape[1]), m)
+            step(self.parts(), (gu, gv, np.bincount(every.ravel(), error.ravel(), m)), self.grown, len(w), rate)
+
+    def normalisers(self):  # noqa: ANN201
+        """Log normalisers [symbol before, bin]."""
+        import numpy as np
+
+        out = np.zeros((len(self.u), len(self.edges) - 1))
+        for k, (a, b) in enumerate(zip(self.edges, self.edges[1:])):  # noqa: B905
+            for start in range(a, b, 4096):
+                end = min(b, start + 4096)
+                out[:, k] += np.exp(self.u @ self.v[start:end].T + self.b[start:end]).sum(1)
+        return np.log(out)
+
+
+class Model:
+    """Both steps."""
+
+    def __init__(self, lexicon: Lexicon, dimension: int = DIMENSION, inner: int = INNER) -> None:
+        self.lexicon, self.outer, self.within = lexicon, LogBilinear(lexicon.noise, dimension), Within(lexicon, inner)
+
+    def parts(self) -> list:
+        return self.outer.parts() + self.within.parts()
+
+    def flat(self):  # noqa: ANN201
+        import numpy as np
+
+        return np.concatenate([x.ravel() for x in self.parts()])
+
+    def set_flat(self, flat) -> Model:  # noqa: ANN001
+        at = 0
+        for x in self.parts():
+            x.flat[:], at = flat[at : at + x.size], at + x.size
+        return self
+
+    def train(self, at, seed: int) -> None:  # noqa: ANN001
+        import numpy as np
+
+        symbols, members = self.lexicon.symbols_of(at), self.lexicon.members_of(at)
+        self.outer.train(symbols, seed)
+        some = np.flatnonzero(members >= 0)
+        self.within.train(symbols[some - 1], members[some], seed)
+
+    def prepare(self) -> Model:
+        self.tables, self.inner = self.outer.tables(), self.within.normalisers()
+        return self
+
+    def logs(self, at):  # noqa: ANN001, ANN201
+        """Natural log-probabilities of the tokens from the third on, 0 for the first two; of rare words
+        that of being rare."""
+        import numpy as np
+
+        symbols, members = self.lexicon.symbols_of(at), self.lexicon.members_of(at)
+        one, two, z = self.tables
+        c1, c2, w = symbols[1:-1], symbols[:-2], symbols[2:]
+        out = np.concatenate([[0, 0], one[c1, w] + two[c2, w] - z[c1, c2]])
+        some = np.flatnonzero(members[2:] >= 0)
+        m, c = members[2:][some], c1[some]
+        out[some + 2] += np.einsum("nd,nd->n", self.within.u[c], self.within.v[m]) + self.within.b[m] - self.inner[c, self.within.bin_of[m]]
+        return out
+
+
+def token_numbers(texts: list[bytes], number: dict[bytes, int]):  # noqa: ANN201
+    """Numbers of all tokens (-1 not at hand, -2 an end), each text as two ends, its words and an end: so
+    that every text starts from the same context. Also the place of each text's first word, and one past
+    its end, and the words that are not at hand with their text's place."""
+    import numpy as np
+
+    flat, first, last, get = [], [], [], number.get
+    tails: list[list[bytes]] = []
     for text in texts:
-        flat += (END, END)
+        flat += (-2, -2)
         first.append(len(flat))
-        flat += [get(w, OTHER) for w in words(text)]
-        flat.append(END)
+        own = words(text)
+        found = [get(w, -1) for w in own]
+        tails.append([w for w, i in zip(own, found, strict=True) if i < 0] if -1 in found else [])
+        flat += found
+        flat.append(-2)
         last.append(len(flat))
-    return np.array(flat, np.int64), np.array(first, np.int64), np.array(last, np.int64)
+    return np.array(flat, np.int64), np.array(first, np.int64), np.array(last, np.int64), tails
+
+
+def averaged(rows: DataFrame) -> DataFrame:
+    """Means of rows (chunk, n, x: 4-byte floats) by chunk, weighted by n: sums stream through their tasks,
+    first over shares of a chunk's rows, then over these. No more than two rows are held."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
 
+        def out(chunk: int, n: int, x) -> pa.RecordBatch:  # noqa: ANN001
+            return pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([n], pa.int64()), pa.array([x.tobytes()], pa.binary())], names=["chunk", "n", "x"])
 
-def train_model(texts: DataFrame, vocabulary: dict[bytes, int], noise: list[float], text_col: str = "text", dimension: int = DIMENSION) -> list[float]:
-    """The parameters after one pass over all rows of texts. Each task trains on its own rows; the
-    averages weighted by tokens are taken in Spark, and what reaches the driver is one model."""
+        at, n, x = None, 0, None
+        for batch in batches:
+            for chunk, m, data in zip(*batch.columns, strict=True):
+                own = np.frombuffer(data.as_buffer(), np.float64)
+                if chunk.as_py() != at:
+                    if at is not None:
+                        yield out(at, n, x)
+                    at, n, x = chunk.as_py(), 0, np.zeros(len(own))
+                n, x = n + m.as_py(), x + own
+        if at is not None:
+            yield out(at, n, x)
+
+    kinds = "chunk int, n long, x binary"
+    parts = rows.sparkSession.conf.get("spark.sql.shuffle.partitions")
+    share = F.pmod(F.xxhash64("task"), F.lit(64))
+    some = rows.withColumn("share", share).repartition(int(parts), "chunk", "share").sortWithinPartitions("chunk", "share").select("chunk", "n", "x").mapInArrow(add, kinds)
+    return some.repartition(int(parts), "chunk").sortWithinPartitions("chunk").mapInArrow(add, kinds)
+
+
+def train_model(texts: DataFrame, lexicon: Lexicon, text_col: str = "text", dimension: int = DIMENSION, inner: int = INNER) -> Model:
+    """The model after one pass over all rows of texts. Each task trains on its own rows; the averages
+    weighted by tokens are taken in Spark, and what reaches the driver is one model."""
+    shared = texts.sparkSession.sparkContext.broadcast(lexicon)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        model, tokens = LogBilinear(np.array(noise), dimension), 0
+        lexicon_ = shared.value
+        model, tokens = Model(lexicon_, dimension, inner), 0
         for batch in batches:
             texts_, at = batch.column(0).to_pylist(), 0
             while at < len(texts_):
                 end, size = at, 0
-                while end < len(texts_) and (end == at or size + len(texts_[end]) < 8_000_000):
+                while end < len(texts_) and (end == at or size + len(texts_[end]) < 2_000_000):
                     size += len(texts_[end])
                     end += 1
-                ids, first, last = token_ids(texts_[at:end], vocabulary)
-                model.train(ids, seed=tokens)
+                numbers, first, last, _ = token_numbers(texts_[at:end], lexicon_.number)
+                model.train(numbers, seed=tokens)
                 tokens += int((last - first).sum())
                 at = end
-        flat = model.flat() * tokens
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(flat), pa.array(np.full(len(flat), tokens))], names=["at", "x", "n"])
+        if tokens:
+            flat = model.flat() * tokens
+            chunks = range(0, len(flat), CHUNK)
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(chunks)), pa.int32()), pa.array([tokens] * len(chunks), pa.int64()), pa.array([flat[c : c + CHUNK].tobytes() for c in chunks], pa.binary())], names=["chunk", "n", "x"])
+
+    import numpy as np
 
     some = texts.select(F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("t"))
-    mean = some.mapInArrow(run, "at long, x double, n long").groupBy("at").agg(F.sum("x").alias("x"), F.sum("n").alias("n"))
-    return [r["x"] / r["n"] if r["n"] else 0.0 for r in mean.orderBy("at").collect()]
+    rows = some.mapInArrow(run, "chunk int, n long, x binary").withColumn("task", F.spark_partition_id())
+    found = sorted(averaged(rows).collect())
+    model = Model(lexicon, dimension, inner)
+    return model.set_flat(np.concatenate([np.frombuffer(r["x"], float) / r["n"] for r in found])) if found else model
 
 
-_tables: dict[int, tuple] = {}
+_models: dict[str, Model] = {}
 
 
-def score_texts(df: DataFrame, training: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary_size: int = VOCABULARY, dimension: int = DIMENSION, head: int = HEAD) -> DataFrame:
+def score_texts(df: DataFrame, training: DataFrame, id_col: str = "doc_id", text_col: str = "text", head: int = HEAD, dimension: int = DIMENSION, inner: int = INNER, **sizes: int) -> DataFrame:
     """For each row of df: the columns of df but text_col, n_tokens, n_known, train_tokens,
     base_score and score, learnt from all rows of training.
 
     A null text is empty: one token, its end. base_score is the smoothed unigram log10 probability
     of the text, score the model's. Rows that repeat are scored alike. If training is empty, the
-    model is uniform over its two tokens and counts are 0.
+    model is uniform over its two symbols and counts are 0. sizes are those of Lexicon. An empty df gives
+    an empty result.
     """
     spark = df.sparkSession
     counts = write_table(count_tokens(training, text_col), "counts")
     total, kinds = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     ends = counts.where(F.col("word") == F.lit(ENDS)).agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
-    top = counts.where((F.octet_length("word") > 0) & (F.octet_length("word") <= WORD_BYTES)).orderBy(F.desc("c"), "word").limit(head).collect()
-    top = [(bytes(r["word"]), r["c"]) for r in top]
-    vocabulary = {w: i + 2 for i, (w, _) in enumerate(top[: vocabulary_size - 2])}
-    seen = [0, ends, *(c for _, c in top[: len(vocabulary)])]
-    seen[OTHER] = other = total - sum(seen)
-    other_kinds = kinds - len(vocabulary) - (ends > 0)
-    noise = [(c + 1) / (total + len(seen)) for c in seen]
-    params = train_model(training, vocabulary, noise, text_col, dimension)
-    shared = spark.sparkContext.broadcast((vocabulary, noise, params, dict(top), ends))
+    lexicon = Lexicon(most_frequent(counts, head, HEAD_BYTES), ends, total, kinds, **sizes)
+    model = train_model(training, lexicon, text_col, dimension, inner)
+    shared, name = spark.sparkContext.broadcast((lexicon, model.flat())), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        vocabulary, noise, params, frequent, ends = shared.value
-        if (key := hash(tuple(params))) not in _tables:  # a worker keeps the tables for its next task
-            _tables.clear()
-            model = LogBilinear(np.array(noise), dimension)
-            _tables[key] = (model.set_flat(np.array(params)) if params else model).tables()
-        one, two, z = _tables[key]
-        log_of = {w: math.log10(c + 0.5) for w, c in frequent.items()}
-        end_log = math.log10(ends + 0.5)
+        if name not in _models:  # a worker keeps the tables for its next task
+            _models.clear()
+            _models[name] = Model(shared.value[0], dimension, inner).set_flat(shared.value[1]).prepare()
+        model = _models[name]
+        lexicon_ = model.lexicon
         for whole in batches:
-            for start in range(0, whole.num_rows, 256):
-                batch = whole.slice(start, 256)
-                texts = batch.column(batch.num_columns - 1).to_pylist()
-                ids, first, last = token_ids(texts, vocabulary)
-                at = np.arange(2, len(ids))
-                c1, c2, w = ids[at - 1], ids[at - 2], ids[at]
-                lp = np.concatenate([[0, 0], one[c1, w] + two[c2, w] - z[c1, c2]]) / math.log(10)
-                sums = np.concatenate([[0], np.cumsum(lp)])
-                tokens, others = last - first, np.concatenate([[0], np.cumsum(ids == OTHER)])
-                base, within, known, tail = [], [], [], []
-                for text in texts:
-                    own = words(text)
-                    logs = [log_of.get(x) for x in own]
-                    rest = [x for x, y in zip(own, logs, strict=True) if y is None]
-                    found = [y for y in logs if y is not None]
-                    base.append(math.fsum(found) + end_log)
-                    within.append(math.fsum(y for x, y in zip(own, logs, strict=True) if y is not None and x not in vocabulary))
-                    known.append(len(found) + (ends > 0))
-                    tail.append(rest)
-                yield pa.RecordBatch.from_arrays(
-                    [*batch.columns[:-1], pa.array(tokens), pa.array(known, pa.int64()), pa.array(others[last] - others[first]), pa.array(base), pa.array(within), pa.array(sums[last] - sums[first]), pa.array(tail, pa.list_(pa.binary()))],
-                    names=[*batch.schema.names[:-1], "n", "known", "others", "base", "within", "lp", "tail"],
-                )
+            room = np.append(0, np.cumsum(np.asarray(pc.binary_length(whole.column(whole.num_columns - 1)))))
+            for i, j in portions(room, 1_000_000):
+                batch = whole.slice(i, j - i)
+                at, first, last, tails = token_numbers(batch.column(batch.num_columns - 1).to_pylist(), lexicon_.number)
+                known = at >= 0
+                symbols = lexicon_.symbols_of(at)
+                log = np.zeros(len(at))
+                log[known] = lexicon_.log_count[at[known]]
+                rare = symbols == RARE
+                sums = lambda x: (lambda s: s[last] - s[first])(np.concatenate([[0], np.cumsum(x)]))  # noqa: E731, B023
+                tokens = last - first
+                columns = [tokens, sums(known) + (lexicon_.ends > 0), sums(rare), sums(log) + math.log10(lexicon_.ends + 0.5), sums(np.where(rare, log, 0.0)), sums(model.logs(at) / math.log(10))]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array(c) for c in columns), pa.array(tails, pa.list_(pa.binary()))], names=[*batch.schema.names[:-1], "n", "known", "others", "base", "within", "lp", "tail"])
 
     rest = [c for c in df.columns if c != text_col]
     rows = df.select(F.monotonically_increasing_id().alias("rid"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(rest)], F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("t"))
@@ -247,7 +432,7 @@ def score_texts(df: DataFrame, training: DataFrame, id_col: str = "doc_id", text
     )
     full = parts.drop("tail").join(tails, "rid", "left").na.fill(0, ["tail_log", "tail_known"])
     base = F.col("base") + F.col("tail_log") - F.col("n") * math.log10(total + 0.5 * (kinds + 1))
-    score = F.col("lp") + F.col("within") + F.col("tail_log") - F.col("others") * math.log10(other + 0.5 * (other_kinds + 1))
+    score = F.col("lp") + F.col("within") + F.col("tail_log") - F.col("others") * math.log10(lexicon.rare + 0.5 * (lexicon.rare_kinds + 1))
     return full.select(
         *[F.col(f"c{i}").alias(c) for i, c in enumerate(rest)], F.col("n").alias("n_tokens"), (F.col("known") + F.col("tail_known")).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"), score.alias("score")
     )
