@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import SPACES, write_table
+from tidewright.llm.common import SPACES, stable, write_table
 
 BLOCK_BYTES = 16384
 KEY = ["h1", "h2", "len"]
@@ -51,7 +51,12 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", b
     that id too, exactly one stays. An empty table gives an empty result. Other columns of df are
     neither read nor returned. A null id is the smallest id.
     """
-    docs = df.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("id"), normalised(F.col(text_col)).cast("binary").alias("bytes"))
+    docs = stable(df, F.col(id_col).alias("id"), normalised(F.col(text_col)).cast("binary").alias("bytes"))
+    return _classes(docs, block_bytes).drop("rid").withColumnRenamed("id", id_col)
+
+
+def _classes(docs: DataFrame, block_bytes: int) -> DataFrame:
+    """rid, id, keep_id, group_size, kept and text_sha256 for documents (rid, id, bytes)."""
     for seed in range(64):
         distinct = blocks(docs.select("bytes"), block_bytes, seed).groupBy(*KEY, "block").agg(F.count(F.lit(1)).alias("copies"))
         classes = write_table(distinct.groupBy(*KEY).agg(F.count(F.lit(1)).alias("members")), "classes")
@@ -82,16 +87,15 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", b
         rest = rest.where("m > 1")
 
     whole = places.where("pos = 0").select("rid", "id", "sha", "n").join(identity, "rid")
-    groups = whole.groupBy("n", "name").agg(F.min(F.struct("id", "rid")).alias("keep"), F.count(F.lit(1)).alias("group_size"))
-    return whole.join(groups, ["n", "name"]).select(
-        F.col("id").alias(id_col), F.col("keep.id").alias("keep_id"), "group_size", (F.col("rid") == F.col("keep.rid")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256")
-    )
-
-
-def keep_one_of_equal(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of df that exact_dedup() keeps, with the columns of df."""
-    kept = exact_dedup(df, id_col, text_col).where("kept").select(F.col(id_col).alias("__id"), F.col("text_sha256").alias("__sha"))
-    signed = df.withColumn("__own", F.sha2(normalised(F.col(text_col)).cast("binary"), 256))
-    same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__sha"))
-    # A row that repeats both id and text joins the same kept row again: one of them stays.
-    return signed.join(kept, same, "left_semi").dropDuplicates([id_col, "__own"]).select(*df.columns)
+    # Only groups of several are looked up; written, so that the join can split a group of a large part of the rows.
+    groups = whole.groupBy("n", "name").agg(F.min(F.struct("id", "rid")).alias("keep"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    own = F.struct("id", "rid")
+    rows = whole.join(write_table(groups, "groups"), ["n", "name"], "left").withColumn("keep", F.coalesce("keep", own))
+    return rows.select("rid", "id", F.col("keep.id").alias("keep_id"), F.coalesce("size", F.lit(1)).cast("long").alias("group_size"), (F.col("rid") == F.col("keep.rid")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
+
+
+def keep_one_of_equal(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of df that exact_dedup() keeps, with the columns of df, whatever their names."""
+    rows = stable(df, F.struct(*[F.col(c) for c in df.columns]).alias("row"))
+    docs = rows.select("rid", F.col("row")[id_col].alias("id"), normalised(F.col("row")[text_col]).cast("binary").alias("bytes"))
+    return rows.join(_classes(docs, block_bytes).where("kept").select("rid"), "rid", "left_semi").select("row.*")

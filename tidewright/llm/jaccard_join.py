@@ -434,6 +434,8 @@ def _joined(docs: DataFrame, words: int, percent: int) -> DataFrame:
             higher = components(ends, "ca", "cb").select(F.col("node").alias("comp"), F.col("comp").alias("higher"))
             known = linked.unionByName(ends.select(F.col("a").alias("node"), F.col("ca").alias("comp"))).unionByName(ends.select(F.col("b").alias("node"), F.col("cb").alias("comp"))).distinct()
             comp = write_table(known.join(higher, "comp", "left").select("node", F.coalesce("higher", "comp").alias("comp")), "comp")
+    for table in (members, first, answers, links, pairs):  # what is left reads none of these
+        remove_table(table)
 
     whole = nodes.select("rid", "id", "n", "node").join(comp, "node", "left").withColumn("group", F.coalesce("comp", "node"))
     # Written, so that the join below can split a group that holds a large part of the rows.

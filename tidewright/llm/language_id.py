@@ -58,13 +58,16 @@ def learn_dictionaries(df: DataFrame, text_col: str = "text", lang_col: str = "l
 
 
 def predict_language(df: DataFrame, dictionaries: dict[str, bytes], id_col: str = "doc_id", text_col: str = "text", margin: float = MARGIN, frame: int = FRAME) -> DataFrame:
-    """One row per row of df: the columns of df, lang_pred, score (0 to 1) and rejected.
+    """One row per row of df: the columns of df, lang_pred, score (0 to 1) and rejected. Columns of df named
+    like the new ones are replaced. Rows that repeat get the same answer; an empty table gives an empty
+    result. A text of any length is encoded whole, frame by frame.
 
     A text that is null or has no letter is `und` with score 0 and rejected, and so is every text
     if nothing was learnt. Ties go to the language that sorts first. The score is a softmax of the
     encoded sizes, in units of a hundredth of the smallest.
     """
     given = dict(sorted(dictionaries.items()))
+    df = df.drop("lang_pred", "score", "rejected")
     schema = df.schema.simpleString()[7:-1] + ", lang_pred string, score double, rejected boolean"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,7 +107,9 @@ def identify_language(df: DataFrame, training: DataFrame | None = None, id_col:
 
 
 def keep_known_language(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows of df whose language is not rejected, with the columns of df."""
+    """The rows of df whose language is not rejected, with the columns of df, whatever their names. Null texts
+    and those without a letter are rejected; rows that repeat stay or go together. A null id or lang teaches
+    nothing. An empty table gives an empty result."""
     learnt = learn_dictionaries(df.where(split_of(id_col, 3) != 1), text_col, lang_col, id_col)
     named = df.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(df.columns)])
     pred = predict_language(named, learnt, f"c{df.columns.index(id_col)}", f"c{df.columns.index(text_col)}")

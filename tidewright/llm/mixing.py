@@ -24,7 +24,7 @@ from fractions import Fraction
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import write_table
+from tidewright.llm.common import stable, write_table
 
 BLOCK_DOCS = 32
 #: Slots that a task computes at least.
@@ -150,11 +150,19 @@ def mix(df: DataFrame, weights: dict | None = None, id_col: str = "doc_id", sour
     Without weights, a source's weight is its number of rows to the power `temperature`. Sources
     that weights doesn't name get the smallest weight named. Weights are kept exactly, unless the caller
     asks by `period` for whole_shares() of that many slots instead. A null source is a source of its own;
-    null and repeated ids are ordered like others (ties in no given order). Every row has a place:
+    null and repeated ids are ordered like others, ties in order of the rows of a plain read (what is no plain
+    read is written first). An empty table gives an empty result. Every row has a place:
     after a source's last block its slots stay empty, and the bound of one block holds for the
     slots before the first source ends.
     """
-    rows = df.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), shuffle_key(id_col, seed).alias("key"))
+    docs = stable(df, F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"))
+    placed = _placed(docs, weights, block_docs, period, seed, temperature)
+    return placed.drop("rid").withColumnsRenamed({"id": id_col, "source": source_col})
+
+
+def _placed(docs: DataFrame, weights: dict | None = None, block_docs: int = BLOCK_DOCS, period: int | None = None, seed: int = 0, temperature: float = 0.5) -> DataFrame:
+    """mix() for documents (rid, id, source), with rid."""
+    rows = docs.select("rid", "id", "source", shuffle_key("id", seed).alias("key"))
     # A few digits of the key split each source into buckets; offsets of buckets come from counts.
     rows = write_table(rows, "mixing")
     counts = {r["source"]: r["n"] for r in rows.groupBy("source").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -165,21 +173,21 @@ def mix(df: DataFrame, weights: dict | None = None, id_col: str = "doc_id", sour
     sizes = rows.groupBy("source", bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = sizes.select(F.col("source").alias("s"), F.col("bucket").alias("b"), before.alias("start"))
-    ranked = rows.select("*", bucket.alias("bucket")).withColumn("rank", F.row_number().over(Window.partitionBy("source", "bucket").orderBy("key", "id")) - 1)
-    placed = ranked.join(starts, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b"))).select("id", "source", (F.col("start") + F.col("rank")).alias("place"))
+    ranked = rows.select("*", bucket.alias("bucket")).withColumn("rank", F.row_number().over(Window.partitionBy("source", "bucket").orderBy("key", "id", "rid")) - 1)
+    placed = ranked.join(starts, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b"))).select("rid", "id", "source", (F.col("start") + F.col("rank")).alias("place"))
 
     least = min((weights or {}).values(), default=1)
     target = {s: (weights.get(s, least) if weights else n**temperature) for s, n in counts.items()}
     shares = whole_shares(target, period) if period else exact_shares(target)
-    timed = schedule(df.sparkSession, shares, {s: -(-n // block_docs) for s, n in counts.items()})
+    timed = schedule(docs.sparkSession, shares, {s: -(-n // block_docs) for s, n in counts.items()})
     blocks = placed.withColumn("block", F.floor(F.col("place") / block_docs)).join(timed, F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("j")))
     return blocks.select(
-        F.col("id").alias(id_col), F.col("source").alias(source_col), "place", "block", "release", "deadline", "slot", (F.col("slot") * block_docs + F.col("place") % block_docs).alias("position"),
+        "rid", "id", "source", "place", "block", "release", "deadline", "slot", (F.col("slot") * block_docs + F.col("place") % block_docs).alias("position"),
     )
 
 
 def in_mixed_order(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", **how) -> DataFrame:
-    """All rows of df with its columns, sorted by their position in the mix."""
-    place = mix(df, id_col=id_col, source_col=source_col, **how).groupBy(F.col(id_col).alias("__id"), F.col(source_col).alias("__source")).agg(F.min("position").alias("__position"))
-    same = F.col(id_col).eqNullSafe(F.col("__id")) & F.col(source_col).cast("string").eqNullSafe(F.col("__source"))
-    return df.join(place, same).select("__position", *df.columns).sort("__position").drop("__position")
+    """All rows of df with its columns, whatever their names, sorted by their position in the mix."""
+    rows = stable(df, F.struct(*[F.col(c) for c in df.columns]).alias("row"))
+    docs = rows.select("rid", F.col("row")[id_col].alias("id"), F.col("row")[source_col].cast("string").alias("source"))
+    return rows.join(_placed(docs, **how).select("rid", "position"), "rid").sort("position").select("row.*")
