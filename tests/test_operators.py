@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from tidewright import queries
+from tidewright import plans as queries
 from tidewright.functions import scores
 from tidewright.operators import indicators, overfitting, reconcile, screening, simulation, timeseries, trades
 from tidewright.sources import market
@@ -49,11 +49,14 @@ def test_entry_has_rows(spark):
 
 
 def test_resample_of_known_bars(spark):
-    bars = [("S", i * 60_000, o, h, lo, c, v, i * 60_000 + 59_999) for i, (o, h, lo, c, v) in enumerate([(42000.0, 42100.0, 41900.0, 42050.0, 100.0), (42050.0, 42200.0, 42000.0, 42150.0, 120.0), (42150.0, 42300.0, 42100.0, 42250.0, 80.0), (42250.0, 42350.0, 42200.0, 42300.0, 150.0), (42300.0, 42400.0, 42250.0, 42350.0, 90.0)])]
-    df = spark.createDataFrame(bars, "symbol string, open_time long, open double, high double, low double, close double, volume double, close_time long")
-    assert [tuple(r)[2:7] for r in timeseries.resample(df, 300_000).collect()] == [(42000, 42400, 41900, 42350, 540)]
+    # A bar a minute from a price that climbs by 7 a minute, of which the third dips by 40.
+    rows = [("S", i * 60_000, 100.0 + 7 * i, 109.0 + 7 * i, 95.0 + 7 * i - 40 * (i == 2), 104.0 + 7 * i, 3.0 + i, i * 60_000 + 59_999) for i in range(5)]
+    df = spark.createDataFrame(rows, "symbol string, open_time long, open double, high double, low double, close double, volume double, close_time long")
+    want = (rows[0][2], max(r[3] for r in rows), min(r[4] for r in rows), rows[-1][5], sum(r[6] for r in rows))
+    assert want == (100, 137, 69, 132, 25) and [tuple(r)[2:7] for r in timeseries.resample(df, 300_000).collect()] == [want]
     assert timeseries.gaps(df, 1).count() == 0 and timeseries.violations(df).count() == 0
     assert timeseries.resample(df.where("false"), 300_000).count() == 0
+    assert [r.covered for r in timeseries.coverage(df, "7m").collect()] == [False]
 
 
 def test_recursive_indicators_equal_textbook(spark):
@@ -70,7 +73,7 @@ def test_recursive_indicators_equal_textbook(spark):
         return out
 
     for r, e in zip(rows, ema(close, 14), strict=True):
-        assert (r.ema is None or math.isnan(r.ema)) if e is None else math.isclose(r.ema, e, rel_tol=1e-9)
+        assert r.ema is None if e is None else math.isclose(r.ema, e, rel_tol=1e-9)
     gain = loss = 0.0
     moves = [b - a for a, b in zip(close, close[1:])]  # noqa: B905
     gain, loss = sum(max(m, 0) for m in moves[:14]) / 14, sum(max(-m, 0) for m in moves[:14]) / 14
@@ -123,9 +126,9 @@ def test_reconcile_streams_one_large_cluster(spark):
 
 
 def test_open_and_close_events_pair_in_order(spark):
-    log = [("p", 1, "OPEN", 10.0), ("p", 2, "OPEN", 11.0), ("p", 3, "CLOSE", 12.0), ("p", 4, "CLOSE", 13.0), ("q", 1, "CLOSE", 1.0), ("r", 1, "OPEN", 1.0)]
+    log = [("p", 1, "OPEN", 10.0), ("p", 2, "OPEN", 11.0), ("p", 3, "FILL", 5.0), ("p", 4, "CLOSE", 12.0), ("p", 5, "CLOSE", 13.0), ("q", 1, "CLOSE", 1.0), ("r", 1, "OPEN", 1.0), ("s", 1, "OPEN", None), ("s", 2, "CLOSE", 2.0)]
     df = spark.createDataFrame([(p, t, t, e, x) for p, t, e, x in log], "position_id string, ts long, seq long, event string, price double")
-    assert [tuple(r) for r in reconcile.paired_events(df).collect()] == [("p", 2, 3, 11.0, 12.0)]
+    assert [tuple(r) for r in reconcile.paired_events(df).collect()] == [("p", 2, 4, 11.0, 12.0)]
 
 
 def test_pareto_front_equals_loop(spark):
@@ -158,7 +161,7 @@ def test_bootstrap_and_folds(spark):
     assert got[1].passed and 0 < got[1].low < got[1].high
     assert got[2].low == float("-inf") and not got[2].passed and got[3].low == got[3].high == 0.0
     folds = overfitting.purged_folds(spark, 103, 5, 5, 3).collect()
-    assert [(f.test_from, f.test_to, f.before_to, f.after_from) for f in folds][-1] == (80, 103, 75, 103)
+    assert [(f.test_from, f.test_to, f.before_to, f.after_from) for f in folds] == [(0, 20, 0, 23), (20, 40, 15, 43), (40, 60, 35, 63), (60, 80, 55, 83), (80, 103, 75, 103)]
 
 
 def test_bootstrap_takes_all_resamples_and_the_least_sharpe(spark):

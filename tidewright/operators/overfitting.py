@@ -15,10 +15,10 @@ def walk_forward_windows(spark: SparkSession, start: str, end: str, train: int =
     are an error."""
     first, last_day = date.fromisoformat(start), date.fromisoformat(end)
     over = 0 if touching else 1
-    n = ((last_day - first).days - (train + test - over)) // step + 1
+    n = max(0, ((last_day - first).days - (train + test - over)) // step + 1)
     if n < least:
-        raise ValueError(f"{max(0, n)} windows between {start} and {end}, {least} wanted")
-    rows = spark.range(max(0, n)).select(F.date_add(F.lit(first), (F.col("id") * step).cast("int")).alias("train_start"))
+        raise ValueError(f"{n} windows between {start} and {end}, {least} wanted")
+    rows = spark.range(n).select(F.date_add(F.lit(first), (F.col("id") * step).cast("int")).alias("train_start"))
     return rows.select("train_start", F.date_add("train_start", train - over).alias("train_end"), F.date_add("train_start", train).alias("test_start"), F.date_add("train_start", train + test - over).alias("test_end"))
 
 

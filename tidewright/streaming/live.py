@@ -90,7 +90,7 @@ def follow_log(spark: SparkSession, path: str) -> DataFrame:
 def lines_after(spark: SparkSession, path: str, last_id: int = 0) -> DataFrame:
     """The lines of one log file from number last_id on (from 0), each with its number. A file is one task's,
     as its lines are numbered in order."""
-    rows = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.split(F.regexp_replace("value", "\n$", ""), "\n")).alias("id", "line"))
+    rows = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.regexp_replace("value", "\n$", ""), "\n")).alias("id", "line"))
     return rows.where(F.col("id") >= last_id)
 
 
