@@ -180,7 +180,7 @@ def test_bootstrap_takes_all_resamples_and_the_least_sharpe(spark):
         assert got[k].passed == (low >= 1.0)
     assert 0 < got[1].low < 1 and not got[1].passed and got[2].passed
     # The query resamples trades: a run's interval is that of all its trades' returns.
-    runs = {r.run_id: r for r in queries.bootstrap_intervals(spark, SMALL).collect()}
+    runs = {r.run_id: r for r in queries.QUERIES["bootstrap_intervals"](spark, SMALL).collect()}
     trade = market.trades(spark, SMALL).where("run_id = 1").orderBy(*market.TRADE_ORDER).selectExpr("net_pnl / notional AS r").collect()
     x = np.array([r.r for r in trade])
     drawn = x[np.random.default_rng(42).integers(0, len(x), (10_000, len(x)))]

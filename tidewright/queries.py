@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewright.functions import scores
-from tidewright.operators import indicators, overfitting, reconcile, screening, simulation, timeseries, trades
+from tidewright.functions import conditions, scores
+from tidewright.operators import indicators, overfitting, ranking, reconcile, screening, simulation, timeseries, trades
 from tidewright.sources import market
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -67,8 +67,7 @@ def flagship_crossover_equity(spark: SparkSession, sf_dir: str) -> DataFrame:
     by, sofar = indicators.by_time(), indicators.by_time().rowsBetween(Window.unboundedPreceding, 0)
     bars = market.klines(spark, sf_dir).withColumns({"fast": indicators.sma(5), "slow": indicators.sma(20), "move": F.col("close") / F.lag("close").over(by) - 1})
     above = F.col("fast") > F.col("slow")
-    crossed = above & (F.lag("fast").over(by) <= F.lag("slow").over(by))
-    rows = bars.withColumns({"crossed": F.coalesce(crossed, F.lit(False)), "gain": F.when(F.coalesce(F.lag(above).over(by), F.lit(False)), F.col("move")).otherwise(0.0)})
+    rows = bars.withColumns({"crossed": conditions.crosses_above("fast", "slow"), "gain": F.when(F.coalesce(F.lag(above).over(by), F.lit(False)), F.col("move")).otherwise(0.0)})
     rows = rows.withColumn("equity", F.sum("gain").over(sofar) + 1).withColumn("peak", F.greatest(F.lit(1.0), F.max("equity").over(sofar)))
     return rounded(rows.select("symbol", "open_time", "close", "fast", "slow", "crossed", "equity", ((F.col("peak") - F.col("equity")) / F.col("peak")).alias("drawdown")))
 
@@ -174,15 +173,15 @@ def recursive_indicators(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def sweep_simulation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Trades of a grid of RSI levels: the grid is broadcast (a row per combination), the indicators are
+    """Trades of a grid of RSI levels: each bar meets each combination in its own task, the indicators are
     made once, and each combination and symbol is simulated apart."""
     bars = indicators.with_recursive_indicators(market.klines(spark, sf_dir)).select("symbol", "open_time", "open", "high", "low", "close", "close_time", "rsi")
-    grid = screening.grid(spark, {"low_level": [25.0, 30.0, 35.0, 40.0], "high_level": [60.0, 65.0, 70.0, 75.0]})
-    grid = grid.select((F.col("low_level") * 100 + F.col("high_level")).cast("long").alias("param_id"), "low_level", "high_level").withColumn("k", F.lit(0))
-    rows = bars.withColumn("k", F.lit(0)).join(F.broadcast(grid), "k")
+    levels = [(low, high) for low in (25.0, 30.0, 35.0, 40.0) for high in (60.0, 65.0, 70.0, 75.0)]
+    grid = F.explode(F.array(*[F.struct(F.lit(int(low * 100 + high)).cast("long").alias("param_id"), F.lit(low).alias("low_level"), F.lit(high).alias("high_level")) for low, high in levels]))
+    rows = bars.withColumn("p", grid).select("*", "p.*").drop("p")
     signal = lambda c: F.coalesce(c, F.lit(False))
     rows = rows.withColumns({"long_entry": signal(F.col("rsi") < F.col("low_level")), "short_entry": signal(F.col("rsi") > F.col("high_level")), "long_exit": signal(F.col("rsi") > 50), "short_exit": signal(F.col("rsi") < 50)})
-    return simulation.simulate(rows.drop("rsi", "low_level", "high_level", "k"))
+    return simulation.simulate(rows.drop("rsi", "low_level", "high_level"))
 
 
 @query(TRADES + " SELECT run_id, exit_time, order_id, line, part_id, round(equity, 4) AS equity, round((peak - equity) / peak, 10) AS drawdown FROM d")
@@ -331,16 +330,10 @@ def reconcile_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH n AS (SELECT event_type, count(*) AS c FROM events GROUP BY event_type), p AS (SELECT c / sum(c) OVER () AS p FROM n)
 SELECT round(-sum(p * log2(p)) / log2(count(*)), 8) AS entropy FROM p""")
 def symbol_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = market.ticks(spark, sf_dir).groupBy("symbol").agg(F.count(F.lit(1)).alias("c"))
-    # H = log2 N - sum(c log2 c) / N
-    total = counts.agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.log2("c")).alias("s"), F.count(F.lit(1)).alias("k"))
-    return total.select(F.round((F.log2("n") - F.col("s") / F.col("n")) / F.log2("k"), 8).alias("entropy"))
+    return ranking.entropy(market.ticks(spark, sf_dir), ["symbol"]).select(F.round("entropy", 8).alias("entropy"))
 
 
 @query(BARS + """, r AS (SELECT symbol, open_time // 604800000 AS week, (arg_max(close, open_time) - arg_min(open, open_time)) / arg_min(open, open_time) AS r FROM k GROUP BY ALL)
 SELECT symbol, week, CAST(CASE WHEN abs(r) < 0.05 THEN 0 ELSE sign(r) END AS INTEGER) AS regime FROM r""")
 def weekly_regime(spark: SparkSession, sf_dir: str) -> DataFrame:
-    week = F.floor(F.col("open_time") / 604_800_000).alias("week")
-    r = (F.max_by("close", "open_time") - F.min_by("open", "open_time")) / F.min_by("open", "open_time")
-    rows = market.klines(spark, sf_dir).groupBy("symbol", week).agg(r.alias("r"))
-    return rows.select("symbol", "week", F.when(F.abs("r") < 0.05, 0).otherwise(F.signum("r")).cast("int").alias("regime"))
+    return timeseries.regimes(market.klines(spark, sf_dir), 604_800_000).withColumnRenamed("period", "week")
