@@ -157,6 +157,12 @@ def walked_forward(results: DataFrame, key: str = "run_id") -> DataFrame:
     )
 
 
+def trades_of_windows(windows: list[DataFrame]) -> DataFrame:
+    """The trades of all windows, each with its window's number; columns are matched by name."""
+    numbered = [df.withColumn("window", F.lit(i)) for i, df in enumerate(windows)]
+    return reduce(lambda a, b: a.unionByName(b), numbered)
+
+
 def rolling_consistency(windows: DataFrame, least: float = 0.75, key: str = "run_id") -> DataFrame:
     """Per candidate the share of windows with a gain, and with a positive Sharpe ratio, and whether the
     first is enough. Unknown returns and ratios count as none."""

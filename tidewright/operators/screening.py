@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -17,8 +17,11 @@ def grid(spark: SparkSession, sweep: dict[str, list[float]]) -> DataFrame:
     return rows
 
 
-def filtered(results: DataFrame, sharpe: float = 0.0, factor: float = 1.0, drawdown: float = 0.3, trades: int = 10) -> DataFrame:
-    """Results that no limit excludes; a NaN is below no limit and passes."""
+def filtered(results: DataFrame, sharpe: float = 0.0, factor: float = 1.0, drawdown: float = 0.3, trades: int = 10, test: Callable[[DataFrame], Column] | None = None) -> DataFrame:
+    """Results that no limit excludes; a NaN is below no limit and passes. A caller's own test gives one more
+    condition."""
+    if test is not None:
+        results = results.where(test(results))
     below = lambda c, v: ~F.isnan(c) & (F.col(c) < v)
     above = ~F.isnan("max_drawdown") & (F.col("max_drawdown") > drawdown)
     return results.where(~below("sharpe", sharpe) & ~below("profit_factor", factor) & ~above & (F.col("n") >= trades))

@@ -7,7 +7,7 @@ from statistics import NormalDist
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewright.functions import scores
+from tidewright.functions import scores, sizers
 from tidewright.operators import overfitting, reconcile, runs, screening, timeseries, trades
 from tidewright.queries import BARS, RESULTS, TRADES, query, rounded
 from tidewright.sources import market
@@ -386,6 +386,33 @@ def stops_and_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     ))
 
 
+@query(f"""WITH i AS (SELECT *, {_PRICE} AS price FROM lineitem), s AS (SELECT *, 100000 * 0.5::DOUBLE / price AS cap, price * (1 - l_discount) AS stop FROM i)
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN stop = price THEN 0 ELSE floor(least(100000 * 0.02::DOUBLE / abs(price - stop), cap) * 1000) / 1000 END AS fixed, floor(least(least(greatest((0.6::DOUBLE - 0.4::DOUBLE / (1 + l_linenumber)) * 0.5, 0), 1) * 100000 / price, cap) * 1000) / 1000 AS kelly,
+ CASE WHEN l_tax = 0 THEN 0 ELSE floor(least(100000 * 0.01::DOUBLE / (price * l_tax * 2), 100000 * 0.25::DOUBLE / price) * 100) / 100 END AS ranged FROM s""")
+def sized_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three sizers over the same prices."""
+    items = market.table(spark, sf_dir, "lineitem").withColumn("price", F.col("l_extendedprice") / F.col("l_quantity"))
+    price, equity = F.col("price"), F.lit(100_000.0)
+    own = {
+        "fixed": sizers.FixedFraction(0.02, price * (1 - F.col("l_discount"))), "kelly": sizers.Kelly(F.lit(0.6), (1 + F.col("l_linenumber")).cast("double")),
+        "ranged": sizers.TrueRange(0.01, price * F.col("l_tax"), 2.0, sizers.Limits(0.25, 3.0, 2)),
+    }
+    return items.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", *[s.size(equity, price).alias(name) for name, s in own.items()])
+
+
+@query(RESULTS + " SELECT run_id, round(sharpe, 6) + 0.0 AS sharpe FROM r WHERE NOT sharpe < -9 AND NOT profit_factor < 0 AND NOT max_drawdown > 1 AND n >= 10 AND run_id % 2 = 0")
+def own_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A metric filter with a condition of the caller's."""
+    return rounded(screening.filtered(trades.run_results(market.trades(spark, sf_dir)), -9.0, 0.0, 1.0, test=lambda df: df["run_id"] % 2 == 0).select("run_id", "sharpe"))
+
+
+@query(TRADES + " SELECT CAST(year(l_shipdate) - 1996 AS INTEGER) AS \"window\", count(*) AS n, round(sum(net_pnl), 4) + 0.0 AS net FROM t WHERE year(l_shipdate) BETWEEN 1996 AND 1998 GROUP BY ALL")
+def trades_of_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = market.trades(spark, sf_dir)
+    windows = [own.where(F.year(F.timestamp_millis("exit_time")) == year) for year in (1996, 1997, 1998)]
+    return rounded(runs.trades_of_windows(windows).groupBy("window").agg(F.count(F.lit(1)).alias("n"), F.sum("net_pnl").alias("net")), 4)
+
+
 @query("""WITH l AS (SELECT user_id AS position_id, event_id AS seq, epoch_us(ts) // 1000 AS time, CASE event_type WHEN 'click' THEN 'OPEN' WHEN 'view' THEN 'CLOSE' END AS event, value AS price FROM events WHERE event_type IN ('click', 'view')),
 p AS (SELECT *, lag(event) OVER w AS before, lag(time) OVER w AS t0, lag(price) OVER w AS p0 FROM l WINDOW w AS (PARTITION BY position_id ORDER BY time, seq))
 SELECT position_id, t0 AS entry_time, time AS exit_time, p0 AS entry_price, price AS exit_price FROM p WHERE event = 'CLOSE' AND before = 'OPEN'""")
