@@ -79,6 +79,16 @@ def partition_replacement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read[0].unionByName(read[1]).select("symbol", "interval", "open_time", "close")
 
 
+@query("SELECT o_orderkey AS sweep_id, o_custkey % 10 AS run_id, CASE WHEN o_custkey % 10 = 7 THEN o_totalprice * 2 ELSE o_totalprice END AS sharpe FROM orders WHERE o_custkey % 10 <> 7 OR o_orderkey % 2 = 0")
+def replaced_sweeps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sweep rows of ten runs are written; those of one are then replaced by others in one step."""
+    path = scratch(spark, "sweeps")
+    rows = market.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("sweep_id"), (F.col("o_custkey") % 10).alias("run_id"), F.col("o_totalprice").alias("sharpe"))
+    market.replace_partitions(rows, path, ["run_id"])
+    market.replace_partitions(rows.where("run_id = 7 AND sweep_id % 2 = 0").withColumn("sharpe", F.col("sharpe") * 2), path, ["run_id"])
+    return spark.read.parquet(path).select("sweep_id", F.col("run_id").cast("long").alias("run_id"), "sharpe")
+
+
 @query("SELECT CAST(user_id AS VARCHAR) AS run_id, event_type AS event, CAST(event_id AS VARCHAR) AS id, CAST(CAST(json_extract(props, '$.k') AS BIGINT) AS VARCHAR) AS k FROM events WHERE event_type = 'error'")
 def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events are written as a log of JSON lines, a folder a run, and those of one kind read again."""
