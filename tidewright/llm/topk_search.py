@@ -18,9 +18,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewright.llm.common import partitions_for
+
 SCALE, MOST = 256, 1.7976931348623157e308
 #: Components and vectors of a shard at most, about; queries that pass one index; segments of a dimension.
-SHARD_VALUES, SHARD_ROWS, GROUP_QUERIES, SEGMENTS = 4_000_000, 65536, 16384, 16
+SHARD_VALUES, SHARD_ROWS, LEAST_ROWS, GROUP_QUERIES, SEGMENTS = 4_000_000, 65536, 4096, 16384, 16
 #: A query's segments end when at most this share of a shard may still be in its top k.
 FEW = 1 / 16
 
@@ -138,7 +140,8 @@ def search(df: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id"
 
     every, asked = usable(df), usable(queries).groupBy("id").agg(F.min("vec").alias("vec"))
     n, width = every.agg(F.count(F.lit(1)), F.max(F.size("vec"))).first()
-    shards = max(1, -(-n // max(1, min(SHARD_ROWS, SHARD_VALUES // max(1, width or 1)))))
+    # As many as vectors ask for; of few vectors more, so that all tasks have some, but not too few each.
+    shards = max(1, -(-n // max(1, min(SHARD_ROWS, SHARD_VALUES // max(1, width or 1)))), min(partitions_for(df), -(-n // LEAST_ROWS)))
     groups = max(1, -(-asked.count() // GROUP_QUERIES))
     # Rows are dealt by place, not by id: one id that repeats cannot fill a shard. Only queries go to all shards.
     shard = F.pmod(F.xxhash64("id", F.monotonically_increasing_id()), F.lit(shards)).cast("int")
