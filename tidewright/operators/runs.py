@@ -218,7 +218,8 @@ def shares(rows: DataFrame, column: str) -> DataFrame:
 
 def stagnation(generations: DataFrame, patience: int, by: str = "generation", key: str = "search") -> DataFrame:
     """Per generation of a search: for how many generations right before it nothing was worse, and whether
-    the best of the last `patience` is no better than all before (of twice as many at least)."""
+    the best of the last `patience` is no better than all before (of twice as many at least). What a row
+    looks back on are its search's bests so far, a number for each of the generations that it was given."""
     w = Window.partitionBy(key).orderBy(by)
     rows = generations.withColumn("__n", F.row_number().over(w))
     recent, before = F.max("best").over(w.rowsBetween(-(patience - 1), 0)), F.max("best").over(w.rowsBetween(Window.unboundedPreceding, -patience))
