@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewright.llm import crf_quality, exact_dedup, jaccard_join, language_id, lm_scoring, mixing, sentencepiece_codec, suffix_dedup, topk_search, warc
+from tidewright.llm import crf_quality, exact_dedup, jaccard_join, language_id, lm_scoring, mixing, prefix_trie, sentencepiece_codec, suffix_dedup, topk_search, warc
 from tidewright.llm.common import documents, shared_folder, write_table
 
 #: Where the public vocabulary files are; a parameter of the operators.
@@ -92,6 +92,29 @@ r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DES
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
+
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+# crc32 of the decimal digits of an id: a byte is mixed in, then eight times one bit leaves.
+_CRC = """xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+    lambda c, b: list_reduce(list_prepend(xor(c, b), [CAST(0 AS BIGINT), 0, 0, 0, 0, 0, 0, 0]), lambda x, y: xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384 ELSE 0 END))), 4294967295)"""
+OP11_SQL = f"""
+WITH f AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT conv_id, list({{'role': role, 'text': text}} ORDER BY turn NULLS FIRST, sha256(concat(octet_length(encode(role)), ':', role, text))) AS turns FROM f GROUP BY conv_id),
+g AS (SELECT conv_id, turns, {_CRC} % 6 AS h FROM o),
+r AS (SELECT g.conv_id, CASE WHEN h = 0 THEN g.turns ELSE coalesce(b.turns[1:h], []) || g.turns[h + 1:] END AS s
+      FROM g LEFT JOIN o b ON b.conv_id = g.conv_id - g.conv_id % 100),
+p AS (SELECT conv_id, d, CASE WHEN d = 0 THEN [] ELSE s[1:d] END AS k, len(s) = d AS ended FROM (SELECT *, unnest(range(len(s) + 1)) AS d FROM r)),
+n AS (SELECT d, k, min(conv_id) AS conv_id, count(*) AS n_convs, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE ended) AS ends FROM p GROUP BY d, k),
+c AS (SELECT d - 1 AS d, CASE WHEN d = 1 THEN [] ELSE k[1:d - 1] END AS k, count(*) AS n_children FROM n WHERE d > 0 GROUP BY ALL),
+m AS (SELECT n.*, coalesce(c.n_children, 0) AS n_children, coalesce((n.n_convs - 1) * length(n.k[n.d].text), 0) AS own FROM n LEFT JOIN c ON n.d = c.d AND n.k = c.k),
+s AS (SELECT a AS d, CASE WHEN a = 0 THEN [] ELSE k[1:a] END AS k, count(*) FILTER (WHERE n_children = 0) AS n_leaves, sum(own) AS saved FROM (SELECT *, unnest(range(d + 1)) AS a FROM m) GROUP BY ALL)
+SELECT m.conv_id, CAST(m.d AS BIGINT) AS depth, u.conv_id AS parent_conv_id, m.n_convs, m.n_children, s.n_leaves, CAST(s.saved AS BIGINT) AS saved_tokens, sha256(coalesce(m.ends, '')) AS ends_sha256
+FROM m JOIN s ON m.d = s.d AND m.k = s.k LEFT JOIN n u ON u.d = m.d - 1 AND u.k = CASE WHEN m.d <= 1 THEN [] ELSE m.k[1:m.d - 1] END
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_crf_quality": op1_crf_quality,
     "op2_sentencepiece": op2_sentencepiece,
@@ -103,5 +126,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc": op8_warc,
     "op9_lm_scoring": op9_lm_scoring,
     "op10_topk_search": op10_topk_search,
+    "op11_prefix_trie": op11_prefix_trie,
 }
-ORACLE_SQL = {"op5_exact_dedup": OP5_SQL, "op8_warc": OP8_SQL, "op10_topk_search": OP10_SQL}
+ORACLE_SQL = {"op5_exact_dedup": OP5_SQL, "op8_warc": OP8_SQL, "op10_topk_search": OP10_SQL, "op11_prefix_trie": OP11_SQL}
