@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewright.llm import crf_quality, exact_dedup, jaccard_join, language_id, lm_scoring, mixing, prefix_trie, sentencepiece_codec, suffix_dedup, topk_search, warc
+from tidewright.llm import crf_quality, exact_dedup, jaccard_join, language_id, lm_scoring, mixing, prefix_trie, sentencepiece_codec, simhash_join, suffix_dedup, topk_search, warc
 from tidewright.llm.common import documents, shared_folder, write_table
 
 #: Where the public vocabulary files are; a parameter of the operators.
@@ -115,6 +115,11 @@ SELECT m.conv_id, CAST(m.d AS BIGINT) AS depth, u.conv_id AS parent_conv_id, m.n
 FROM m JOIN s ON m.d = s.d AND m.k = s.k LEFT JOIN n u ON u.d = m.d - 1 AND u.k = CASE WHEN m.d <= 1 THEN [] ELSE m.k[1:m.d - 1] END
 """
 
+
+def op13_simhash_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_join.simhash_join(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_crf_quality": op1_crf_quality,
     "op2_sentencepiece": op2_sentencepiece,
@@ -127,5 +132,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_lm_scoring": op9_lm_scoring,
     "op10_topk_search": op10_topk_search,
     "op11_prefix_trie": op11_prefix_trie,
+    "op13_simhash_join": op13_simhash_join,
 }
 ORACLE_SQL = {"op5_exact_dedup": OP5_SQL, "op8_warc": OP8_SQL, "op10_topk_search": OP10_SQL, "op11_prefix_trie": OP11_SQL}
