@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewright.llm import crf_quality, exact_dedup, jaccard_join, language_id, lm_scoring, mixing, prefix_trie, sentencepiece_codec, simhash_join, suffix_dedup, topk_search, warc
+from tidewright.llm import crf_quality, exact_dedup, jaccard_join, language_id, lm_scoring, mixing, prefix_trie, sentencepiece_codec, simhash_join, suffix_dedup, topk_search, warc, whitening
 from tidewright.llm.common import documents, shared_folder, write_table
 
 #: Where the public vocabulary files are; a parameter of the operators.
@@ -116,6 +116,10 @@ FROM m JOIN s ON m.d = s.d AND m.k = s.k LEFT JOIN n u ON u.d = m.d - 1 AND u.k
 """
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op13_simhash_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_join.simhash_join(documents(spark, sf_dir))
 
@@ -132,6 +136,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_lm_scoring": op9_lm_scoring,
     "op10_topk_search": op10_topk_search,
     "op11_prefix_trie": op11_prefix_trie,
+    "op12_whitening": op12_whitening,
     "op13_simhash_join": op13_simhash_join,
 }
 ORACLE_SQL = {"op5_exact_dedup": OP5_SQL, "op8_warc": OP8_SQL, "op10_topk_search": OP10_SQL, "op11_prefix_trie": OP11_SQL}
