@@ -28,8 +28,10 @@ from tidewright.llm.common import partitions_for, write_table
 from tidewright.llm.components import components
 
 SEED, BITS = 42, 64
-#: Bytes of text hashed at a time; fingerprints of a shard; of a node; pairs of nodes compared at a time.
+#: Bytes of text hashed at a time; fingerprints of a shard; of a node; pairs of nodes compared at a time; bits in
+#: which a shard that is not dealt out again may differ.
 PIECE, SHARD, FAN, PAIRS = 1 << 20, 8192, 8, 1 << 14
+FEW_BITS = 20
 GAP = re.compile(rb"[\x20\x09-\x0D]")
 
 
@@ -205,7 +207,7 @@ def _dealt(rows: DataFrame, masks: Column) -> DataFrame:
 def near_links(distinct: DataFrame, most: int = 3, shard: int = SHARD) -> DataFrame:
     """Links a, b between distinct fingerprints (fp long) of at most `most` differing bits: enough of them to
     join all that such links join. A shard's links are a forest. Shards of over `shard` fingerprints are
-    dealt out again until none is: at last a shard has but one fingerprint."""
+    dealt out again, until they differ in FEW_BITS at most and so are of 2 ** FEW_BITS at most."""
     n, blocks = distinct.count(), most + 1
     first = next(w for w in range(BITS) if n <= (shard // 2) << w or w == BITS // blocks)
     whole = _parts(list(range(BITS - 1, -1, -1)), blocks)
@@ -217,14 +219,14 @@ def near_links(distinct: DataFrame, most: int = 3, shard: int = SHARD) -> DataFr
     while True:
         open_ = write_table(open_, "shards")
         hot = open_.groupBy("shard").count().where(F.col("count") > shard).select("shard")
-        if not hot.limit(1).count():
+        if all(BITS - m.bit_count() <= FEW_BITS for m in after) or not hot.limit(1).count():
             ready.append(open_.select("fp", "shard"))
             break
         ready.append(open_.join(hot, "shard", "left_anti").select("fp", "shard"))
         table = F.create_map(*(x for m, to in after.items() for x in (signed(m), F.array(*(signed(t) for t in to)))))
         open_ = _dealt(open_.join(hot, "shard"), F.element_at(table, F.col("mask")))
         rest = lambda m: [b for b in range(BITS - 1, -1, -1) if not m >> b & 1]
-        after = {t: [t | _mask(part) for part in _parts(rest(t), blocks) if part] or [t] for to in after.values() for t in to}
+        after = {t: [t | _mask(part) for part in _parts(rest(t), blocks)] for to in after.values() for t in to}
     rows = functools.reduce(DataFrame.unionByName, ready)
     # A task of pandas gets many shards, of a bounded size together.
     buckets = max(partitions_for(distinct), -(-n * blocks // (4 * shard)))
