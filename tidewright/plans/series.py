@@ -15,14 +15,48 @@ x AS (SELECT *, row_number() OVER w AS i, greatest(close - lag(close) OVER w, 0)
       greatest(high - low, coalesce(abs(high - lag(close) OVER w), 0), coalesce(abs(low - lag(close) OVER w), 0)) AS tr FROM k WINDOW w AS (PARTITION BY symbol ORDER BY open_time))"""
 
 
-def _smooth(name: str, value: str, n: int, first: int, alpha: str) -> str:
+def _smooth(name: str, value: str, n: int, first: int, alpha: str, of: str = "x") -> str:
     """A recursion begun at bar number `first` with the mean of the n values up to it."""
     return (
-        f"{name} AS (SELECT symbol, CAST({first} AS BIGINT) AS i, avg({value}) AS y FROM x WHERE i > {first - n} AND i <= {first} GROUP BY symbol HAVING count(*) = {n} "
-        f"UNION ALL SELECT x.symbol, x.i, y + {alpha} * (x.{value} - y) FROM {name} JOIN x ON x.symbol = {name}.symbol AND x.i = {name}.i + 1)"
+        f"{name} AS (SELECT symbol, CAST({first} AS BIGINT) AS i, avg({value}) AS y FROM {of} WHERE i > {first - n} AND i <= {first} GROUP BY symbol HAVING count(*) = {n} "
+        f"UNION ALL SELECT s.symbol, s.i, {name}.y + {alpha} * (s.{value} - {name}.y) FROM {name} JOIN {of} s ON s.symbol = {name}.symbol AND s.i = {name}.i + 1)"
     )
 
 
+_ALL = NUMBERED.replace(
+    "tr FROM k",
+    """tr, CASE WHEN high - lag(high) OVER w > greatest(lag(low) OVER w - low, 0) THEN high - lag(high) OVER w ELSE 0 END AS rise, CASE WHEN lag(low) OVER w - low > greatest(high - lag(high) OVER w, 0) THEN lag(low) OVER w - low ELSE 0 END AS fall,
+      lag(close) OVER w AS was, abs(close - lag(close) OVER w) AS step, abs(close - lag(close, 10) OVER w) AS move10, abs(close - lag(close, 14) OVER w) AS move14 FROM k""",
+)
+_PARTS = [
+    _smooth("e1", "close", 14, 14, "(2 / 15)"), _smooth("e2", "y", 14, 27, "(2 / 15)", "e1"), _smooth("e3", "y", 14, 40, "(2 / 15)", "e2"),
+    _smooth("up", "gain", 14, 15, "(1 / 14)"), _smooth("dn", "loss", 14, 15, "(1 / 14)"), _smooth("av14", "tr", 14, 14, "(1 / 14)"), _smooth("fa", "close", 12, 12, "(2 / 13)"), _smooth("sl", "close", 26, 26, "(2 / 27)"),
+    "mc AS (SELECT symbol, i, fa.y - sl.y AS y FROM fa JOIN sl USING (symbol, i))", _smooth("sg", "y", 9, 34, "(2 / 10)", "mc"),
+    _smooth("pl", "rise", 14, 15, "(1 / 14)"), _smooth("mi", "fall", 14, 15, "(1 / 14)"),
+    "dx AS (SELECT symbol, i, CASE WHEN pl.y + mi.y = 0 THEN 0 ELSE 100 * abs(pl.y - mi.y) / (pl.y + mi.y) END AS y FROM pl JOIN mi USING (symbol, i))", _smooth("ad", "y", 14, 28, "(1 / 14)", "dx"),
+    _smooth("md", "close", 20, 20, "(2 / 21)"), _smooth("wd", "tr", 20, 20, "(2 / 21)"),
+    """p AS (SELECT *, CASE WHEN sum(step) OVER w10 > 0 THEN move10 / sum(step) OVER w10 ELSE 0 END AS k10, CASE WHEN sum(step) OVER w14 > 0 THEN move14 / sum(step) OVER w14 ELSE 0 END AS k14, (max(high) OVER a8 - min(low) OVER a8) / 8 AS n1, (max(high) OVER b8 - min(low) OVER b8) / 8 AS n2, (max(high) OVER w16 - min(low) OVER w16) / 16 AS n3
+     FROM x WINDOW w10 AS (PARTITION BY symbol ORDER BY i ROWS 9 PRECEDING), w14 AS (PARTITION BY symbol ORDER BY i ROWS 13 PRECEDING), a8 AS (PARTITION BY symbol ORDER BY i ROWS BETWEEN 15 PRECEDING AND 8 PRECEDING), b8 AS (PARTITION BY symbol ORDER BY i ROWS 7 PRECEDING), w16 AS (PARTITION BY symbol ORDER BY i ROWS 15 PRECEDING))""",
+    """q AS (SELECT *, pow(k10 * (2 / 3 - 2 / 31) + 2 / 31, 2) AS ak, k14 * 2 / 15 AS av, pow(k14 * (2 / 15 - 2 / 29) + 2 / 29, 2) AS ar, greatest(0.01, exp(-4.6 * (CASE WHEN n1 > 0 AND n2 > 0 AND n3 > 0 THEN greatest(1, least(2, log2((n1 + n2) / n3))) ELSE 1 END - 1))) AS af FROM p)""",
+    "ka AS (SELECT symbol, i, was + ak * (close - was) AS y FROM q WHERE i = 11 UNION ALL SELECT q.symbol, q.i, y + ak * (close - y) FROM ka JOIN q ON q.symbol = ka.symbol AND q.i = ka.i + 1)",
+    "vi AS (SELECT symbol, i, was + av * (close - was) AS y FROM q WHERE i = 15 UNION ALL SELECT q.symbol, q.i, y + av * (close - y) FROM vi JOIN q ON q.symbol = vi.symbol AND q.i = vi.i + 1)",
+    "fr AS (SELECT symbol, i, close AS y FROM q WHERE i = 16 UNION ALL SELECT q.symbol, q.i, y + af * (close - y) FROM fr JOIN q ON q.symbol = fr.symbol AND q.i = fr.i + 1)",
+    "rs AS (SELECT symbol, CAST(15 AS BIGINT) AS i, avg(gain) AS g, avg(loss) AS l FROM x WHERE i BETWEEN 2 AND 15 GROUP BY symbol HAVING count(*) = 14 UNION ALL SELECT q.symbol, q.i, g * (1 - ar) + gain * ar, l * (1 - ar) + loss * ar FROM rs JOIN q ON q.symbol = rs.symbol AND q.i = rs.i + 1)",
+]
+
+
+@query(
+    _ALL + ", " + ", ".join(_PARTS)
+    + """ SELECT x.symbol, open_time, round(e1.y, 6) AS ema, round(2 * e1.y - e2.y, 6) AS dema, round(3 * e1.y - 3 * e2.y + e3.y, 6) AS tema, round(CASE WHEN up.y + dn.y = 0 THEN 50 ELSE 100 * up.y / (up.y + dn.y) END, 6) AS rsi,
+ round(mc.y, 6) + 0.0 AS macd, round(sg.y, 6) + 0.0 AS macd_signal, round(mc.y - sg.y, 6) + 0.0 AS macd_histogram, round(av14.y, 6) AS atr, round(ad.y, 6) AS adx, round(md.y + 2 * wd.y, 6) AS kc_upper, round(md.y, 6) AS kc_middle, round(md.y - 2 * wd.y, 6) + 0.0 AS kc_lower,
+ round(ka.y, 6) AS kama, round(vi.y, 6) AS vidya, round(fr.y, 6) AS frama, round(CASE WHEN l = 0 THEN 100 ELSE 100 - 100 / (1 + g / l) END, 6) AS adaptive_rsi FROM x """
+    + " ".join(f"LEFT JOIN {n} USING (symbol, i)" for n in ("e1", "e2", "e3", "up", "dn", "mc", "sg", "av14", "ad", "md", "wd", "ka", "vi", "fr", "rs"))
+)
+def recursive_indicators(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All that recurs, against recursive SQL."""
+    return rounded(indicators.with_recursive_indicators(market.klines(spark, sf_dir)).drop("open", "high", "low", "close", "volume", "close_time"))
+
+
 @query(
     NUMBERED + ", " + ", ".join([_smooth("e14", "close", 14, 14, "(2 / 15)"), _smooth("e5", "close", 5, 5, "(2 / 6)"), _smooth("up", "gain", 14, 15, "(1 / 14)"), _smooth("dn", "loss", 14, 15, "(1 / 14)"), _smooth("a14", "tr", 14, 14, "(1 / 14)"), _smooth("fa", "close", 12, 12, "(2 / 13)"), _smooth("sl", "close", 26, 26, "(2 / 27)")])
     + """ SELECT x.symbol, open_time, round(e14.y, 6) AS ema, round(CASE WHEN up.y + dn.y = 0 THEN 50 ELSE 100 * up.y / (up.y + dn.y) END, 6) AS rsi, round(a14.y, 6) AS atr, round(fa.y - sl.y, 6) + 0.0 AS macd FROM x

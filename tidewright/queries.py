@@ -166,10 +166,6 @@ def window_indicators(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(indicators.with_window_indicators(market.klines(spark, sf_dir)).drop("open", "high", "low", "close", "volume", "close_time"))
 
 
-@query()
-def recursive_indicators(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return indicators.with_recursive_indicators(market.klines(spark, sf_dir))
-
 
 @query()
 def sweep_simulation(spark: SparkSession, sf_dir: str) -> DataFrame:
