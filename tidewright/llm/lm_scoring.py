@@ -3,8 +3,10 @@
 The model predicts a token from the two before it: the vectors of these, each times a diagonal
 matrix of its place, add up to a predicted vector, whose product with a token's vector and a bias
 give the token's score (Mnih and Hinton 2007). It is trained by noise-contrastive estimation
-against unigram noise (Mnih and Teh 2012) in numpy: each task goes over all training tokens of
-its partition, and parameters are averaged, weighted by tokens. As a score is a sum over the two
+against unigram noise (Mnih and Teh 2012) in numpy. Training rows are dealt by a hash of id and text into
+shards, as many as there are SHARD_TOKENS in all, and ROUNDS portions of each: in a round every shard goes on
+from the model so far over its next portion, in the order of the hash, and what they have learnt is
+averaged, each number weighted by the squared gradients it has had. So nothing depends on how the table is cut. As a score is a sum over the two
 places, the normaliser of all contexts is one matrix product, so that every token's log-probability
 is exactly normalised.
 
@@ -26,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import portions, split_of, write_table
+from tidewright.llm.common import portions, release, split_of, write_table
 
 #: Symbols of the first step, bins among them, and words of all bins together; dimensions of both steps.
 SYMBOLS, BINS, MEMBERS, DIMENSION, INNER = 1024, 64, 65_536, 24, 8
@@ -34,6 +36,8 @@ SYMBOLS, BINS, MEMBERS, DIMENSION, INNER = 1024, 64, 65_536, 24, 8
 NOISE, INNER_NOISE, BATCH, INNER_BATCH, RATE = 64, 3, 4096, 32_768, 0.08
 #: Most frequent words that tasks have at hand, and their bytes together.
 HEAD, HEAD_BYTES = 200_000, 8_000_000
+#: Training tokens of a shard, rounds, and bytes of text that are trained on at a time.
+SHARD_TOKENS, ROUNDS, TRAIN_BYTES = 8_000_000, 4, 2_000_000
 #: Parameters that are averaged in one row.
 CHUNK = 1 << 16
 RARE, END = 0, 1
@@ -146,17 +150,19 @@ class LogBilinear:
     def parts(self) -> list:
         return [self.r, self.place, self.q, self.b]
 
-    def train(self, ids, seed: int, noise_words: int = NOISE, batch: int = BATCH, rate: float = RATE) -> None:  # noqa: ANN001
-        """One pass over triples ids[i - 2], ids[i - 1], ids[i] by noise-contrastive estimation with
-        AdaGrad. A batch shares its noise words."""
+    def train(self, ids, seed: int, targets=None, noise_words: int = NOISE, batch: int = BATCH, rate: float = RATE) -> None:  # noqa: ANN001
+        """One pass over triples ids[i - 2], ids[i - 1], ids[i], i of targets (all from 2 on), by noise-contrastive
+        estimation with AdaGrad. A batch shares its noise words."""
         import numpy as np
 
+        targets = np.arange(2, len(ids)) if targets is None else targets
+
         rng, (k, d) = np.random.default_rng(seed), self.r.shape
         log_noise = np.log(noise_words * self.noise)
 
-        for start in range(2, len(ids), batch):
-            w = ids[start : start + batch]
-            c1, c2 = ids[start - 1 : start - 1 + len(w)], ids[start - 2 : start - 2 + len(w)]
+        for start in range(0, len(targets), batch):
+            at = targets[start : start + batch]
+            w, c1, c2 = ids[at], ids[at - 1], ids[at - 2]
             drawn = rng.choice(k, noise_words, p=self.noise)
             r1, r2, qw, qn = self.r[c1], self.r[c2], self.q[w], self.q[drawn]
             guess = r1 * self.place[0] + r2 * self.place[1]
@@ -261,17 +267,26 @@ class Model:
 
         return np.concatenate([x.ravel() for x in self.parts()])
 
-    def set_flat(self, flat) -> Model:  # noqa: ANN001
-        at = 0
-        for x in self.parts():
-            x.flat[:], at = flat[at : at + x.size], at + x.size
+    def set_flat(self, flat, grown=None) -> Model:  # noqa: ANN001
+        for parts, values in ((self.parts(), flat), (self.outer.grown + self.within.grown, grown)):
+            at = 0
+            for x in parts if values is not None else ():
+                x.flat[:], at = values[at : at + x.size], at + x.size
         return self
 
-    def train(self, at, seed: int) -> None:  # noqa: ANN001
+    def grown(self):  # noqa: ANN201
+        """AdaGrad's sums of squared gradients, as long as flat()."""
+        import numpy as np
+
+        return np.concatenate([x.ravel() for x in self.outer.grown + self.within.grown])
+
+    def train(self, at, first, last, seed: int) -> None:  # noqa: ANN001
+        """On the words and ends of texts (of token_numbers()); the two ends before a text are context alone."""
         import numpy as np
 
         symbols, members = self.lexicon.symbols_of(at), self.lexicon.members_of(at)
-        self.outer.train(symbols, seed)
+        own = np.arange(len(at)) >= np.repeat(first, np.diff(np.append(0, last)))
+        self.outer.train(symbols, seed, np.flatnonzero(own))
         some = np.flatnonzero(members >= 0)
         self.within.train(symbols[some - 1], members[some], seed)
 
@@ -315,67 +330,89 @@ def token_numbers(texts: list[bytes], number: dict[bytes, int]):  # noqa: ANN201
 
 
 def averaged(rows: DataFrame) -> DataFrame:
-    """Means of rows (chunk, n, x: 4-byte floats) by chunk, weighted by n: sums stream through their tasks,
-    first over shares of a chunk's rows, then over these. No more than two rows are held."""
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
-
-        def out(chunk: int, n: int, x) -> pa.RecordBatch:  # noqa: ANN001
-            return pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([n], pa.int64()), pa.array([x.tobytes()], pa.binary())], names=["chunk", "n", "x"])
-
-        at, n, x = None, 0, None
-        for batch in batches:
-            for chunk, m, data in zip(*batch.columns, strict=True):
-                own = np.frombuffer(data.as_buffer(), np.float64)
-                if chunk.as_py() != at:
-                    if at is not None:
-                        yield out(at, n, x)
-                    at, n, x = chunk.as_py(), 0, np.zeros(len(own))
-                n, x = n + m.as_py(), x + own
-        if at is not None:
-            yield out(at, n, x)
-
-    kinds = "chunk int, n long, x binary"
-    parts = rows.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    share = F.pmod(F.xxhash64("task"), F.lit(64))
-    some = rows.withColumn("share", share).repartition(int(parts), "chunk", "share").sortWithinPartitions("chunk", "share").select("chunk", "n", "x").mapInArrow(add, kinds)
-    return some.repartition(int(parts), "chunk").sortWithinPartitions("chunk").mapInArrow(add, kinds)
-
-
-def train_model(texts: DataFrame, lexicon: Lexicon, text_col: str = "text", dimension: int = DIMENSION, inner: int = INNER) -> Model:
-    """The model after one pass over all rows of texts. Each task trains on its own rows; the averages
-    weighted by tokens are taken in Spark, and what reaches the driver is one model."""
-    shared = texts.sparkSession.sparkContext.broadcast(lexicon)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
-
-        lexicon_ = shared.value
-        model, tokens = Model(lexicon_, dimension, inner), 0
-        for batch in batches:
-            texts_, at = batch.column(0).to_pylist(), 0
-            while at < len(texts_):
-                end, size = at, 0
-                while end < len(texts_) and (end == at or size + len(texts_[end]) < 2_000_000):
-                    size += len(texts_[end])
-                    end += 1
-                numbers, first, last, _ = token_numbers(texts_[at:end], lexicon_.number)
-                model.train(numbers, seed=tokens)
-                tokens += int((last - first).sum())
-                at = end
-        if tokens:
-            flat = model.flat() * tokens
-            chunks = range(0, len(flat), CHUNK)
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(chunks)), pa.int32()), pa.array([tokens] * len(chunks), pa.int64()), pa.array([flat[c : c + CHUNK].tobytes() for c in chunks], pa.binary())], names=["chunk", "n", "x"])
-
+    """Sums of rows (shard, chunk, n, x: 4-byte floats) by chunk: they stream through their tasks,
+    first over shares of a chunk's rows, then over these, in order. No more than two rows are held."""
+
+    def adding(kind: str):  # noqa: ANN202
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            import numpy as np
+
+            def out(key: tuple, n: int, x) -> pa.RecordBatch:  # noqa: ANN001
+                return pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int32()), pa.array([key[1]], pa.int32()), pa.array([n], pa.int64()), pa.array([x.tobytes()], pa.binary())], names=["chunk", "share", "n", "x"])
+
+            at, n, x = None, 0, None
+            for batch in batches:
+                for chunk, share, m, data in zip(*batch.columns, strict=True):
+                    own, key = np.frombuffer(data.as_buffer(), kind), (chunk.as_py(), share.as_py() if kind == "f4" else 0)
+                    if key != at:
+                        if at is not None:
+                            yield out(at, n, x)
+                        at, n, x = key, 0, np.zeros(len(own))
+                    n, x = n + m.as_py(), x + own
+            if at is not None:
+                yield out(at, n, x)
+
+        return add
+
+    kinds, parts = "chunk int, share int, n long, x binary", int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    some = rows.withColumn("share", F.pmod("shard", F.lit(64)).cast("int")).repartition(parts, "chunk", "share").sortWithinPartitions("chunk", "share", "shard").select("chunk", "share", "n", "x").mapInArrow(adding("f4"), kinds)
+    return some.repartition(parts, "chunk").sortWithinPartitions("chunk", "share").mapInArrow(adding("f8"), kinds)
+
+
+def train_model(texts: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text_col: str = "text", dimension: int = DIMENSION, inner: int = INNER, rounds: int = ROUNDS, shard_tokens: int = SHARD_TOKENS) -> Model:
+    """The model after one pass over all rows of texts, whose tokens the lexicon has counted, in rounds. What reaches the driver of
+    a round is one model."""
     import numpy as np
 
-    some = texts.select(F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("t"))
-    rows = some.mapInArrow(run, "chunk int, n long, x binary").withColumn("task", F.spark_partition_id())
-    found = sorted(averaged(rows).collect())
+    spark = texts.sparkSession
+    shards, lexicon_ = max(1, -(-lexicon.total // shard_tokens)), spark.sparkContext.broadcast(lexicon)
     model = Model(lexicon, dimension, inner)
-    return model.set_flat(np.concatenate([np.frombuffer(r["x"], float) / r["n"] for r in found])) if found else model
+    some = texts.select(F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("t"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("h"))
+    dealt = some.select(F.pmod("h", F.lit(shards)).alias("shard"), "h", "t")
+
+    for k in range(rounds):
+        start = spark.sparkContext.broadcast((model.flat(), model.grown()))
+
+        def run(batches: Iterator[pa.RecordBatch], start=start, k=k) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
+            def learnt(shard: int, model: Model) -> pa.RecordBatch:
+                # A number counts by what the shard's gradients know of it: words that a shard lacks are left to others.
+                weight = model.grown() - start.value[1]
+                flat = np.concatenate([weight * (model.flat() - start.value[0]), weight]).astype("f4")
+                chunks = range(0, len(flat), CHUNK)
+                return pa.RecordBatch.from_arrays([pa.array([shard] * len(chunks), pa.int64()), pa.array(range(len(chunks)), pa.int32()), pa.array([1] * len(chunks), pa.int64()), pa.array([flat[c : c + CHUNK].tobytes() for c in chunks], pa.binary())], names=["shard", "chunk", "n", "x"])
+
+            at, own, seen, held, size = None, None, 0, [], 0
+
+            def train() -> None:
+                nonlocal seen, held, size
+                numbers, first, last, _ = token_numbers(held, lexicon_.value.number)
+                own.train(numbers, first, last, seed=seen + k)
+                seen, held, size = seen + int((last - first).sum()), [], 0
+
+            for batch in batches:
+                for shard, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                    if shard != at:
+                        if at is not None:
+                            train()
+                            yield learnt(at, own)
+                        at, own, seen = shard, Model(lexicon_.value, dimension, inner).set_flat(*start.value), 0
+                    held.append(text.as_py())
+                    size += len(held[-1])
+                    if size >= TRAIN_BYTES:
+                        train()
+            if at is not None:
+                if held:
+                    train()
+                yield learnt(at, own)
+
+        portion = dealt.where(F.pmod(F.shiftright("h", 32), F.lit(rounds)) == k).repartition(shards, "shard").sortWithinPartitions("shard", "h").select("shard", "t")
+        found = sorted(averaged(portion.mapInArrow(run, "shard long, chunk int, n long, x binary")).collect())
+        if found:
+            moved, weight = np.split(np.concatenate([np.frombuffer(r["x"], float) for r in found]), 2)
+            model.set_flat(model.flat() + moved / np.where(weight > 0, weight, 1), model.grown() + weight / found[0]["n"])
+        start.destroy()
+        release(spark)
+    return model
 
 
 _models: dict[str, Model] = {}
@@ -395,7 +432,7 @@ def score_texts(df: DataFrame, training: DataFrame, id_col: str = "doc_id", text
     total, kinds = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     ends = counts.where(F.col("word") == F.lit(ENDS)).agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
     lexicon = Lexicon(most_frequent(counts, head, HEAD_BYTES), ends, total, kinds, **sizes)
-    model = train_model(training, lexicon, text_col, dimension, inner)
+    model = train_model(training, lexicon, id_col, text_col, dimension, inner)
     shared, name = spark.sparkContext.broadcast((lexicon, model.flat())), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
