@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewright.operators.screening import Staircase
 
 def elites(scored: DataFrame, k: int, key: str = "run_id") -> DataFrame:
     """The k rows of the highest score, ties by key: each task sends k rows at most."""
@@ -17,25 +18,38 @@ def pareto_ranks(rows: DataFrame, objectives: list[str], by: str = "generation",
     """by, key and pareto_rank: 0 for rows of a population that none dominates, 1 for those that only rank 0
     dominates, and so on (all objectives maximised).
 
-    A population, the rows of one value of `by`, is one task's, and its size is set by the search that
-    bred it. A rank is one more than the highest among a row's dominators, which all have a larger sum."""
+    A population's rows stream through its task from the largest first objective on, so that a row's
+    dominators come before it. What is held of each front is its Staircase; the first front that has no dominator of
+    a row is found by halving, as fronts before one with a dominator have one too. Rows equal in all objectives share
+    a rank; NaN and null compare with nothing, so such rows have rank 0."""
     kinds = dict(rows.dtypes)
-    own = rows.select(by, key, *[F.col(c).cast("double").alias(f"o{i}") for i, c in enumerate(objectives)])
+    values = [f"o{i}" for i in range(len(objectives))]
+    own = rows.select(by, key, *[F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))).alias(v) for v, c in zip(values, objectives, strict=True)])
 
-    def peel(table):  # noqa: ANN001, ANN202
-        import numpy as np
-
-        x = table.iloc[:, 2:].to_numpy()
-        order = np.argsort(-x.sum(1), kind="stable")
-        rank = np.zeros(len(x), np.int32)
-        for at, i in enumerate(order):
-            before = order[:at]
-            over = before[(x[before] >= x[i]).all(1) & (x[before] > x[i]).any(1)]
-            if len(over):
-                rank[i] = rank[over].max() + 1
-        return table.iloc[:, :2].assign(pareto_rank=rank)
-
-    return own.groupBy(by).applyInPandas(peel, f"`{by}` {kinds[by]}, `{key}` {kinds[key]}, pareto_rank int")
+    def rank(batches):  # noqa: ANN001, ANN202
+        now, fronts, last = None, [], (None, 0)
+        for batch in batches:
+            out = []
+            for group, *x in zip(batch[by], *(batch[v].tolist() for v in values), strict=True):
+                if group != now:
+                    now, fronts, last = group, [], (None, 0)
+                if any(v != v for v in x):
+                    out.append(0)
+                    continue
+                if x != last[0]:
+                    low, high = 0, len(fronts)
+                    while low < high:
+                        middle = (low + high) // 2
+                        low, high = (middle + 1, high) if fronts[middle].dominates(x[1:]) else (low, middle)
+                    if low == len(fronts):
+                        fronts.append(Staircase())
+                    fronts[low].add(x[1:])
+                    last = (x, low)
+                out.append(last[1])
+            yield batch[[by, key]].assign(pareto_rank=out)
+
+    ordered = own.repartition(by).sortWithinPartitions(by, *[F.desc(v) for v in values])
+    return ordered.mapInPandas(rank, f"`{by}` {kinds[by]}, `{key}` {kinds[key]}, pareto_rank int")
 
 
 def diverse(scored: DataFrame, features: list[str], k: int = 5, distance: float = 0.15, by: str = "generation", key: str = "run_id") -> DataFrame:

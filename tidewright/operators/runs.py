@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewright.functions import scores
+from tidewright.operators.folds import Step, array_fold
+from tidewright.operators.selection import percentiles
 
 #: Flags of the filters for overfitting: true, false, or null where a filter was not asked for.
 FLAGS = ("passed_dsr", "passed_wfa", "passed_cv")
@@ -203,10 +205,11 @@ def regime_gate(windows: DataFrame, min_sharpe: float = 0.5, key: str = "run_id"
 
 def generation_stats(scored: DataFrame, by: str = "generation") -> DataFrame:
     """Per generation of scores: best, mean, worst, median, population deviation, and how many are 0."""
-    return scored.groupBy(by).agg(
-        F.count(F.lit(1)).alias("n"), F.max("score").alias("best"), F.avg("score").alias("mean"), F.min("score").alias("worst"), F.median("score").alias("median"),
+    rows = scored.groupBy(by).agg(
+        F.count(F.lit(1)).alias("n"), F.max("score").alias("best"), F.avg("score").alias("mean"), F.min("score").alias("worst"),
         F.stddev_pop("score").alias("deviation"), F.count_if(F.col("score") <= 0).alias("zeros"),
     )
+    return rows.join(percentiles(scored, [by], "score", {"median": 0.5}), by)
 
 
 def shares(rows: DataFrame, column: str) -> DataFrame:
@@ -218,32 +221,50 @@ def shares(rows: DataFrame, column: str) -> DataFrame:
 
 def stagnation(generations: DataFrame, patience: int, by: str = "generation", key: str = "search") -> DataFrame:
     """Per generation of a search: for how many generations right before it nothing was worse, and whether
-    the best of the last `patience` is no better than all before (of twice as many at least). What a row
-    looks back on are its search's bests so far, a number for each of the generations that it was given."""
+    the best of the last `patience` is no better than all before (of twice as many at least). A search's
+    generations stream by; what is held are those that a later one may yet find to be the last that was worse."""
     w = Window.partitionBy(key).orderBy(by)
-    rows = generations.withColumn("__n", F.row_number().over(w))
     recent, before = F.max("best").over(w.rowsBetween(-(patience - 1), 0)), F.max("best").over(w.rowsBetween(Window.unboundedPreceding, -patience))
-    rows = rows.withColumn("converged", F.when(F.col("__n") >= 2 * patience, recent <= before).otherwise(False))
-    # A generation's streak ends at the last one before with a lower best: found from the ordered bests so far.
-    so_far = F.collect_list(F.struct("__n", "best")).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    last_worse = F.aggregate(so_far, F.lit(0), lambda a, x: F.when(x["best"] < F.col("best"), x["__n"]).otherwise(a))
-    return rows.withColumn("stagnant", F.col("__n") - 1 - last_worse).drop("__n")
+    rows = generations.withColumn("converged", F.when(F.row_number().over(w) >= 2 * patience, recent <= before).otherwise(False))
+
+    def start() -> Step:
+        stack: list[tuple[float, int]] = []  # bests that rise, with their places
+        seen = 0
+
+        def step(x: dict) -> dict:
+            import numpy as np
+
+            nonlocal seen
+            out = np.zeros(len(x["__best"]), np.int64)
+            for i, best in enumerate(x["__best"].tolist()):
+                while stack and not stack[-1][0] < best:
+                    stack.pop()
+                out[i] = seen - (stack[-1][1] if stack else 0)
+                seen += 1
+                stack.append((best, seen))
+            return {"stagnant": out}
+
+        return step
+
+    return array_fold(rows.withColumn("__best", F.col("best").cast("double")), [key], [by], start, ["__best"], "stagnant int").drop("__best")
 
 
 def seed_summary(found: DataFrame, group: str = "group_id") -> DataFrame:
     """Groups of alike strategies over all seeds, ranked by median Sharpe ratio: its spread, the number of
-    seeds, and the strategy with the highest score."""
+    seeds, how many of its runs failed (no Sharpe ratio), and the strategy with the highest score."""
     rows = found.groupBy(group).agg(
-        F.count(F.lit(1)).alias("n"), F.countDistinct("seed").alias("seeds"), F.avg("sharpe").alias("mean"), F.median("sharpe").alias("median"), F.min("sharpe").alias("low"), F.max("sharpe").alias("high"),
+        F.count(F.lit(1)).alias("n"), F.countDistinct("seed").alias("seeds"), F.avg("sharpe").alias("mean"), F.min("sharpe").alias("low"), F.max("sharpe").alias("high"), F.count_if(F.col("sharpe").isNull()).alias("failed"),
         F.coalesce(F.stddev_samp("sharpe"), F.lit(0.0)).alias("deviation"), F.max_by("strategy", F.struct("score", -F.col("strategy"))).alias("representative"),
     )
-    return rows.orderBy(F.desc("median"), group)
+    return rows.join(percentiles(found, [group], "sharpe", {"median": 0.5}), group).orderBy(F.desc("median"), group)
 
 
 def monte_carlo(samples: DataFrame, value: str = "sharpe") -> DataFrame:
     """One row: mean, median, population deviation, 5th and 95th percentile, and the shares of 1, 2, 3 or more."""
     more = [F.avg((F.col(value) >= k).cast("double")).alias(f"share_{k}") for k in (1, 2, 3)]
-    return samples.agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"), F.median(value).alias("median"), F.stddev_pop(value).alias("deviation"), F.percentile(value, 0.05).alias("p5"), F.percentile(value, 0.95).alias("p95"), *more)
+    ranks = percentiles(samples, [], value, {"median": 0.5, "p5": 0.05, "p95": 0.95})
+    row = samples.agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("deviation"), *more)
+    return row.withColumn("__k", F.lit(0)).join(ranks.withColumn("__k", F.lit(0)), "__k").drop("__k")  # a row each
 
 
 def best_sweep(sweeps: DataFrame, key: str = "run_id") -> DataFrame:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidewright.operators.scans import numbered
 
 def grid(spark: SparkSession, sweep: dict[str, list[float]]) -> DataFrame:
     """A row per combination, and one without columns' values for an empty sweep. Made by exploding
@@ -28,15 +30,10 @@ def filtered(results: DataFrame, sharpe: float = 0.0, factor: float = 1.0, drawd
 
 
 def ranked(results: DataFrame, key: str = "run_id") -> DataFrame:
-    """A rank by Sharpe ratio, ties in order of the key: numbered within ranges of a sort, so that no
-    task has all rows."""
-    ordered = results.repartitionByRange(F.desc("sharpe"), F.col(key)).select(key, "sharpe", F.spark_partition_id().alias("__part"))
-    within = F.row_number().over(Window.partitionBy("__part").orderBy(F.desc("sharpe"), key))
-    numbered = ordered.withColumn("__n", within)
-    sizes = numbered.groupBy("__part").agg(F.count(F.lit(1)).alias("__size"))
-    before = F.coalesce(F.sum("__size").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = sizes.select("__part", before.alias("__start"))  # a row per partition of the sort
-    return numbered.join(starts, "__part").select(key, "sharpe", (F.col("__start") + F.col("__n")).alias("rank"))
+    """A rank by Sharpe ratio, ties in order of the key: numbered within ranges of a sort, which is written, so
+    that no task has all rows and results are computed once."""
+    ordered = results.select(key, "sharpe").withColumn("__k", F.lit(0))
+    return numbered(ordered, ["__k"], [F.desc("sharpe"), F.col(key)]).select(key, "sharpe", (F.col("__row") + 1).alias("rank"))
 
 
 def pareto_front(results: DataFrame, objectives: list[str], key: str = "run_id") -> DataFrame:
@@ -62,14 +59,50 @@ def pareto_front(results: DataFrame, objectives: list[str], key: str = "run_id")
     return left.select(key)
 
 
+class Staircase:
+    """Of points that come by falling first objective, those of the others that no other equals or beats. Of two others
+    they are steps: kept by rising first of the two, the second falls, so one search finds a dominator. Of
+    more than two all points are compared."""
+
+    def __init__(self) -> None:
+        self.xs: list[float] = []
+        self.ys: list[float] = []
+        self.points: list[list[float]] = []
+
+    def dominates(self, rest: list[float]) -> bool:
+        """Whether a point is as large in all objectives."""
+        if len(rest) > 2:
+            return any(all(p >= v for p, v in zip(point, rest, strict=True)) for point in self.points)
+        x, y = (*rest, 0.0, 0.0)[:2]
+        at = bisect.bisect_left(self.xs, x)
+        return at < len(self.xs) and self.ys[at] >= y
+
+    def add(self, rest: list[float]) -> None:
+        """A point that none here dominates; those that it equals or beats go."""
+        if len(rest) > 2:
+            self.points = [p for p in self.points if any(v > w for v, w in zip(p, rest, strict=True))] + [rest]
+            return
+        x, y = (*rest, 0.0, 0.0)[:2]
+        end = bisect.bisect_right(self.xs, x)
+        start = end
+        while start and self.ys[start - 1] <= y:
+            start -= 1
+        self.xs[start:end], self.ys[start:end] = [x], [y]
+
+
 def _undominated(rows):  # noqa: ANN001, ANN202
     import numpy as np
 
     x = rows.iloc[:, 1:].to_numpy()
-    order = np.argsort(-x.sum(1), kind="stable")  # a dominating row has the larger sum
-    kept: list[int] = []
-    for i in order:
-        if not kept or not ((x[kept] >= x[i]).all(1) & (x[kept] > x[i]).any(1)).any():
+    whole = ~np.isnan(x).any(1)  # NaN compares with nothing
+    order = np.flatnonzero(whole)[np.lexsort(-x[whole].T[::-1])]
+    front, kept, last, held = Staircase(), np.flatnonzero(~whole).tolist(), None, False
+    for i, point in zip(order.tolist(), x[order].tolist(), strict=True):
+        if point != last:
+            last, held = point, not front.dominates(point[1:])
+            if held:
+                front.add(point[1:])
+        if held:
             kept.append(i)
     return rows.iloc[sorted(kept)]
 

@@ -11,13 +11,13 @@ from tidewright.queries import RESULTS, query, rounded
 from tidewright.sources import market
 
 
-@query(YEARLY.replace("WITH t", "WITH RECURSIVE t") + """, o AS MATERIALIZED (SELECT year AS generation, run_id, sharpe AS a, 1 - max_drawdown AS b, profit_factor AS c FROM y WHERE run_id < 40),
+@query(YEARLY.replace("WITH t", "WITH RECURSIVE t") + """, o AS MATERIALIZED (SELECT year AS generation, run_id, sharpe AS a, 1 - max_drawdown AS b, profit_factor AS c FROM y),
 ed AS MATERIALIZED (SELECT u.generation, u.run_id AS better, v.run_id FROM o u JOIN o v ON u.generation = v.generation AND u.a >= v.a AND u.b >= v.b AND u.c >= v.c AND (u.a > v.a OR u.b > v.b OR u.c > v.c)),
 h AS (SELECT generation, run_id, 0 AS depth FROM o UNION SELECT ed.generation, ed.run_id, depth + 1 FROM h JOIN ed ON ed.generation = h.generation AND ed.better = h.run_id)
 SELECT generation, run_id, max(depth) AS pareto_rank FROM h GROUP BY ALL""")
 def pareto_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fronts within each year's population of the first forty runs: a population's size is part of a search."""
-    rows = yearly(spark, sf_dir).where("run_id < 40").select(F.col("year").alias("generation"), "run_id", "sharpe", (1 - F.col("max_drawdown")).alias("kept"), "profit_factor")
+    """Fronts within each year's population of all runs."""
+    rows = yearly(spark, sf_dir).select(F.col("year").alias("generation"), "run_id", "sharpe", (1 - F.col("max_drawdown")).alias("kept"), "profit_factor")
     return ranking.pareto_ranks(rows, ["sharpe", "kept", "profit_factor"])
 
 

@@ -240,7 +240,7 @@ def search_stagnation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(YEARLY + f""", q AS (SELECT *, {_FIT} AS score, run_id % 7 AS group_id FROM y)
-SELECT group_id, count(*) AS n, count(DISTINCT year) AS seeds, round(avg(sharpe), 6) + 0.0 AS mean, round(median(sharpe), 6) + 0.0 AS median, round(min(sharpe), 6) AS low, round(max(sharpe), 6) AS high, round(stddev_samp(sharpe), 6) AS deviation,
+SELECT group_id, count(*) AS n, count(DISTINCT year) AS seeds, round(avg(sharpe), 6) + 0.0 AS mean, round(median(sharpe), 6) + 0.0 AS median, round(min(sharpe), 6) AS low, round(max(sharpe), 6) AS high, round(stddev_samp(sharpe), 6) AS deviation, count(*) FILTER (sharpe IS NULL) AS failed,
  arg_max(run_id, (score, -run_id)) AS representative FROM q GROUP BY 1""")
 def seed_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _scored(spark, sf_dir).select((F.col("run_id") % 7).alias("group_id"), F.col("year").alias("seed"), F.col("run_id").alias("strategy"), "sharpe", "score")
