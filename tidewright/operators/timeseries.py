@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewright.operators.prefixes import carried
+
 MINUTE = 60_000
 #: Rows of a full day by interval.
 PER_DAY = {"1s": 86400, "5s": 17280, "1m": 1440, "5m": 288, "15m": 96, "1h": 24, "4h": 6}
@@ -27,9 +29,10 @@ def resample(bars: DataFrame, period: int, browse: bool = False) -> DataFrame:
 
 def gaps(bars: DataFrame, max_minutes: int = 5) -> DataFrame:
     """Neighbouring bars further apart than max_minutes: symbol, gap_start, gap_end, minutes."""
-    before = F.lag("open_time").over(Window.partitionBy("symbol").orderBy("open_time"))
+    lag = lambda w: F.max("open_time").over(w.rowsBetween(-1, -1))
+    rows = carried(bars.select("symbol", "open_time"), ["symbol"], ["open_time"], lambda w: [{"__here": lag(w)}], {"__last": F.max("open_time")}, lambda w: [{"__before": F.max("__last").over(w)}])
     apart = F.col("open_time") - F.col("gap_start")
-    return bars.select("symbol", "open_time", before.alias("gap_start")).where(apart > max_minutes * MINUTE).select("symbol", "gap_start", F.col("open_time").alias("gap_end"), F.expr(f"(open_time - gap_start) div {MINUTE}").alias("minutes"))
+    return rows.select("symbol", "open_time", F.coalesce("__here", "__before").alias("gap_start")).where(apart > max_minutes * MINUTE).select("symbol", "gap_start", F.col("open_time").alias("gap_end"), F.expr(f"(open_time - gap_start) div {MINUTE}").alias("minutes"))
 
 
 def violations(bars: DataFrame) -> DataFrame:
@@ -83,9 +86,10 @@ def event_counts(events: DataFrame) -> DataFrame:
 def latest_closed(primary: DataFrame, higher: DataFrame, value: Column, name: str) -> DataFrame:
     """As-of join: each primary bar with `value` of the latest higher bar that closed no later.
 
-    Both tables are put in one order by close time; the value is carried on by a window. Nothing is
-    joined, so that there is no row count to grow, and a bar of equal time counts as closed."""
+    Both tables are put in one order by close time; the value is carried on within spans of time and from
+    span to span. No bar is joined with another, so there is no row count to grow, and one of equal time counts as closed."""
     left = primary.select("symbol", F.col("close_time").alias("__t"), F.lit(1).alias("__side"), F.struct(*primary.columns).alias("__row"), F.lit(None).cast("double").alias("__v"))
     right = higher.select("symbol", F.col("close_time").alias("__t"), F.lit(0).alias("__side"), F.lit(None).cast(dict(left.dtypes)["__row"]).alias("__row"), value.cast("double").alias("__v"))
-    w = Window.partitionBy("symbol").orderBy("__t", "__side").rowsBetween(Window.unboundedPreceding, 0)
-    return left.unionByName(right).withColumn(name, F.last("__v", ignorenulls=True).over(w)).where("__side = 1").select("__row.*", name)
+    last = F.max_by("__v", F.when(F.col("__v").isNotNull(), F.struct("__t", "__side")))
+    rows = carried(left.unionByName(right), ["symbol"], ["__t", "__side"], lambda w: [{"__here": F.last("__v", ignorenulls=True).over(w)}], {"__last": last}, lambda w: [{"__before": F.last("__last", ignorenulls=True).over(w)}])
+    return rows.where("__side = 1").withColumn(name, F.coalesce("__here", "__before")).select("__row.*", name)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewright.operators.prefixes import carried, longest_runs
 from tidewright.sources.market import TRADE_ORDER
 
 START = 100_000.0
@@ -18,10 +19,12 @@ def _by(order: list[str]):  # noqa: ANN202
 
 def equity_curve(trades: DataFrame, start: float = START, order: list[str] = TRADE_ORDER) -> DataFrame:
     """trades with equity after each, its running peak (start included) and drawdown from that."""
-    sofar = _by(order).rowsBetween(Window.unboundedPreceding, 0)
-    rows = trades.withColumn("equity", F.sum("net_pnl").over(sofar) + start)
-    peak = F.greatest(F.lit(start), F.max("equity").over(sofar))
-    return rows.withColumn("peak", peak).withColumn("drawdown", (F.col("peak") - F.col("equity")) / F.col("peak"))
+    rows = carried(
+        trades, ["run_id"], order, lambda w: [{"__sum": F.sum("net_pnl").over(w)}, {"__top": F.max("__sum").over(w)}],
+        {"__total": F.sum("net_pnl"), "__peak": F.max("__top")}, lambda w: [{"__start": F.coalesce(F.sum("__total").over(w), F.lit(0.0)) + start}, {"__before": F.greatest(F.lit(float(start)), F.max(F.col("__start") + F.col("__peak")).over(w))}],
+    )
+    rows = rows.withColumns({"equity": F.col("__start") + F.col("__sum"), "peak": F.greatest(F.col("__before"), F.col("__start") + F.col("__top"))})
+    return rows.drop("__sum", "__top", "__start", "__before").withColumn("drawdown", (F.col("peak") - F.col("equity")) / F.col("peak"))
 
 
 def equity_points(trades: DataFrame, start: float = START, order: list[str] = TRADE_ORDER) -> DataFrame:
@@ -42,12 +45,7 @@ def max_drawdown(trades: DataFrame, start: float = START, order: list[str] = TRA
 
 def streaks(trades: DataFrame, order: list[str] = TRADE_ORDER) -> DataFrame:
     """Per run the longest runs of wins and of losses; a trade of zero breaks both."""
-    sign = F.signum("net_pnl").cast("int")
-    rows = trades.withColumn("sign", sign)
-    island = F.row_number().over(_by(order)) - F.row_number().over(Window.partitionBy("run_id", "sign").orderBy(*order))
-    runs = rows.withColumn("island", island).groupBy("run_id", "sign", "island").agg(F.count(F.lit(1)).alias("n"))
-    most = lambda s: F.coalesce(F.max(F.when(F.col("sign") == s, F.col("n"))), F.lit(0))
-    return runs.groupBy("run_id").agg(most(1).alias("max_wins"), most(-1).alias("max_losses"))
+    return longest_runs(trades, "run_id", order, F.signum("net_pnl").cast("int"))
 
 
 def monthly_returns(trades: DataFrame, start: float = START) -> DataFrame:
