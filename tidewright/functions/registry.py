@@ -18,18 +18,21 @@ log = logging.getLogger(__name__)
 @dataclass
 class Indicator:
     """columns gives the outputs as columns of a bar's window; fold_step a recursion over arrays (see
-    operators.folds) whose outputs are columns of doubles. One of the two is there at least."""
+    operators.folds) whose outputs are columns of doubles; recurrence one in chunks (operators.scans), of whose columns
+    sources names that of each output. One of the three is there at least."""
 
     name: str
     outputs: tuple[str, ...]
     columns: Callable[..., dict[str, Column]] | None = None
     fold_step: Callable[[dict], Callable[[dict], dict]] | None = None
+    recurrence: Callable[[dict], object] | None = None
+    sources: dict[str, str] = field(default_factory=dict)
     defaults: dict = field(default_factory=dict)
     primary: str | None = None
     derived: tuple[str, ...] = ()
 
     def __post_init__(self) -> None:
-        if self.columns is None and self.fold_step is None:
+        if self.columns is None and self.fold_step is None and self.recurrence is None:
             raise ValueError(f"{self.name}: neither columns nor a fold")
         if not self.outputs or self.primary is not None and self.primary not in self.outputs:
             raise ValueError(f"{self.name}: no such output")
@@ -43,6 +46,10 @@ class Indicator:
 _known: dict[str, Indicator] = {}
 
 
+def names() -> list[str]:
+    return sorted(_known)
+
+
 def register(spec: Indicator) -> Indicator:
     """A later registration takes the place of an earlier one."""
     _known[spec.name.upper()] = spec
@@ -81,6 +88,7 @@ DERIVED: dict[str, Callable[[Column, Column, Column, Column], Column]] = {
 def add(bars: DataFrame, name: str, alias: str | None = None, **parameters) -> DataFrame:  # noqa: ANN003
     """bars with the outputs of a registered indicator as alias_output, the bare one as alias, and derived ones."""
     from tidewright.operators.folds import array_fold
+    from tidewright.operators.scans import scan
 
     spec, alias = known(name), alias or name.lower()
     if unknown := set(parameters) - set(spec.defaults):
@@ -89,6 +97,9 @@ def add(bars: DataFrame, name: str, alias: str | None = None, **parameters) -> D
     if spec.columns is not None:
         found = spec.columns(**chosen)
         out = bars.withColumns({f"{alias}_{o}": found[o] for o in spec.outputs})
+    elif spec.recurrence is not None:
+        made = scan(bars.withColumnsRenamed({c: f"__bar_{c}" for c in bars.columns if c in spec.sources.values()}), ["symbol"], ["open_time"], spec.recurrence(chosen))
+        out = made.select(*[F.col(f"__bar_{c}" if f"__bar_{c}" in made.columns else c).alias(c) for c in bars.columns], *[F.col(c).alias(f"{alias}_{o}") for o, c in spec.sources.items()])
     else:
         made = array_fold(bars, ["symbol"], ["open_time"], lambda: spec.fold_step(chosen), ["open", "high", "low", "close", "volume"], ", ".join(f"{o} double" for o in spec.outputs))
         out = made.withColumnsRenamed({o: f"{alias}_{o}" for o in spec.outputs})

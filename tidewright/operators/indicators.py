@@ -108,7 +108,7 @@ def _divided(a, b):  # noqa: ANN001, ANN202
 
 
 class WindowIndicators(Recurrence):
-    """All indicators of finite look-back at their default periods, and two running sums: OBV, and VWAP, which
+    """All indicators of finite look-back, at their default periods but for those given, and two running sums: OBV, and VWAP, which
     starts anew each UTC day. State: OBV, the last bar's day, its sums of price times volume and of volume."""
 
     inputs = ["open_time", "high", "low", "close", "volume"]
@@ -116,7 +116,11 @@ class WindowIndicators(Recurrence):
         "sma", "wma", "roc", "willr", "cci", "bb_upper", "bb_middle", "bb_lower", "bb_percent", "bb_width", "dc_upper", "dc_middle", "dc_lower", "dc_position",
         "ich_conversion", "ich_base", "ich_span_a", "ich_span_b", "obv", "vwap", "volsma", "mfi", "stoch_k", "stoch_d",
     ]
-    schema, lookback = ", ".join(f"{n} double" for n in names), 51
+    schema = ", ".join(f"{n} double" for n in names)
+
+    def __init__(self, stoch: int = 14, smooth: int = 3, mfi: int = 14) -> None:
+        self.stoch, self.smooth, self.mfi = stoch, smooth, mfi
+        self.lookback = max(51, stoch + 2 * smooth, mfi + 1)
 
     def neutral(self):  # noqa: ANN201
         import numpy as np
@@ -145,10 +149,10 @@ class WindowIndicators(Recurrence):
         deviation = np.where(flat(price, 20), 0.0, _windows(price, 20, lambda w: np.abs(w - w.mean(1)[:, None]).mean(1)))
         width = top[20] - bottom[20]
         middle = {n: (top[n] + bottom[n]) / 2 for n in (9, 26, 52)}
-        raw = _divided((close - bottom[14]) * 100, top[14] - bottom[14])
-        k = average(raw, 3)
+        raw_top, raw_bottom = _rolling(high, self.stoch, np.maximum), _rolling(low, self.stoch, np.minimum)
+        k = average(_divided((close - raw_bottom) * 100, raw_top - raw_bottom), self.smooth)
         sign = np.sign(np.diff(price, prepend=np.nan))
-        gain, loss = (_windows(np.where(np.isnan(sign), np.nan, np.where(sign == s, price * volume, 0.0)), 14, lambda w: w.sum(1)) for s in (1, -1))
+        gain, loss = (_windows(np.where(np.isnan(sign), np.nan, np.where(sign == s, price * volume, 0.0)), self.mfi, lambda w: w.sum(1)) for s in (1, -1))
         running, amounts, totals, after = self._sums(x, halo, state)
         with np.errstate(invalid="ignore", divide="ignore"):
             found = {
@@ -157,7 +161,7 @@ class WindowIndicators(Recurrence):
                 "bb_upper": upper, "bb_middle": mean, "bb_lower": lower, "bb_percent": np.where(np.isnan(mean), np.nan, np.where(spread > 0, (close - lower) / (upper - lower), 0.5)), "bb_width": np.where(np.isnan(mean), np.nan, np.where(mean > 0, (upper - lower) / mean, 0.0)),
                 "dc_upper": top[20], "dc_middle": (top[20] + bottom[20]) / 2, "dc_lower": bottom[20], "dc_position": np.where(np.isnan(width), np.nan, np.where(width > 0, (close - bottom[20]) / width, 0.5)),
                 "ich_conversion": middle[9], "ich_base": middle[26], "ich_span_a": (middle[9] + middle[26]) / 2, "ich_span_b": middle[52],
-                "volsma": average(volume, 20), "mfi": np.where(gain + loss == 0, 50.0, gain * 100 / (gain + loss)), "stoch_k": k, "stoch_d": average(k, 3),
+                "volsma": average(volume, 20), "mfi": np.where(gain + loss == 0, 50.0, gain * 100 / (gain + loss)), "stoch_k": k, "stoch_d": average(k, self.smooth),
             }
         return {n: v[halo:] for n, v in found.items()} | {"obv": running, "vwap": _divided(amounts, totals)}, after
 
@@ -526,5 +530,41 @@ def _channel(period: int) -> dict[str, Column]:
     return {k: found[f"dc_{k}"] for k in ("upper", "middle", "lower")}
 
 
-registry.register(registry.Indicator("EMA", ("value",), fold_step=lambda p: (lambda one: lambda x: {"value": one(x["close"])})(ema(p["period"])), defaults={"period": 14}))
-registry.register(registry.Indicator("FRAMA", ("value",), fold_step=lambda p: (lambda one: lambda x: {"value": one(x["high"], x["low"], x["close"])})(Frama(p["period"])), defaults={"period": 16}))
+@registry.indicator("CCI", ("value",), defaults={"period": 20})
+def _cci(period: int) -> dict[str, Column]:
+    return {"value": cci(period)}
+
+
+@registry.indicator("ROC", ("value",), defaults={"period": 10})
+def _roc(period: int) -> dict[str, Column]:
+    return {"value": roc(period)}
+
+
+@registry.indicator("WILLR", ("value",), defaults={"period": 14})
+def _willr(period: int) -> dict[str, Column]:
+    return {"value": willr(period)}
+
+
+@registry.indicator("VOLSMA", ("value",), defaults={"period": 20})
+def _volsma(period: int) -> dict[str, Column]:
+    return {"value": sma(period, "volume")}
+
+
+@registry.indicator("ICHIMOKU", ("conversion", "base", "span_a", "span_b"), defaults={"conversion": 9, "base": 26, "span": 52})
+def _ichimoku(conversion: int, base: int, span: int) -> dict[str, Column]:
+    return {k.removeprefix("ich_"): c for k, c in ichimoku(conversion, base, span).items()}
+
+
+def _in_chunks(name: str, columns: dict[str, str], recurrence: Callable[[dict], Recurrence], defaults: dict, primary: str | None = None) -> None:
+    registry.register(registry.Indicator(name, tuple(columns), recurrence=recurrence, sources=columns, defaults=defaults, primary=primary))
+
+
+for _name, _column in (("EMA", "ema"), ("DEMA", "dema"), ("TEMA", "tema"), ("RSI", "rsi"), ("ATR", "atr"), ("ADX", "adx"), ("KAMA", "kama"), ("VIDYA", "vidya"), ("FRAMA", "frama")):
+    _in_chunks(_name, {"value": _column}, lambda p, c=_column: RecursiveIndicators({c: p["period"]}), {"period": PERIODS[_column]})
+_in_chunks("ADAPTIVE_RSI", {"value": "adaptive_rsi"}, lambda p: RecursiveIndicators({"adaptive_rsi": p["period"], "adaptive_alpha": p["alpha"]}), {"period": 14, "alpha": 0.5})
+_in_chunks("MACD", {"macd": "macd", "signal": "macd_signal", "histogram": "macd_histogram"}, lambda p: RecursiveIndicators({f"macd_{k}": v for k, v in p.items()}), {"fast": 12, "slow": 26, "signal": 9})
+_in_chunks("KC", {"upper": "kc_upper", "middle": "kc_middle", "lower": "kc_lower"}, lambda p: RecursiveIndicators({"kc": p["period"], "kc_width": p["width"]}), {"period": 20, "width": 2.0}, "middle")
+_in_chunks("STOCH", {"k": "stoch_k", "d": "stoch_d"}, lambda p: WindowIndicators(stoch=p["period"], smooth=p["smooth"]), {"period": 14, "smooth": 3})
+_in_chunks("MFI", {"value": "mfi"}, lambda p: WindowIndicators(mfi=p["period"]), {"period": 14})
+for _name in ("OBV", "VWAP"):
+    _in_chunks(_name, {"value": _name.lower()}, lambda p: WindowIndicators(), {})

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewright.operators.folds import Step, array_fold
+from tidewright.operators.prefixes import carried
 from tidewright.operators.trades import START, equity_curve
 from tidewright.sources.market import TRADE_ORDER
 
@@ -108,3 +109,19 @@ def portfolio_breaker(states: DataFrame, limits: dict[str, float], cooldown_hour
         return step
 
     return array_fold(states, [key], [time], start, [time, *names], "state string, size_scale double, reason string")
+
+
+def trailing_stops(rows: DataFrame, k: float = 2.0, key: str = "position_id", time: str = "open_time") -> DataFrame:
+    """rows (close, atr and direction of each bar of a position) with `stop`, which only ever comes nearer: of a long
+    position the highest close - k * atr since its entry, of a short one the lowest close + k * atr; and `stopped`: whether
+    the close is at or beyond the stop of the bars before. A position's bars are cut by time, see prefixes."""
+    long = F.col("direction") == "LONG"
+    level = F.when(long, F.col("close") - F.col("atr") * k).otherwise(-(F.col("close") + F.col("atr") * k))
+    best = carried(
+        rows.withColumn("__level", level), [key], [time], lambda w: [{"__here": F.max("__level").over(w), "__prior": F.max("__level").over(w.rowsBetween(Window.unboundedPreceding, -1))}],
+        {"__best": F.max("__level")}, lambda w: [{"__before": F.max("__best").over(w)}],
+    )
+    both = best.withColumns({"__stop": F.greatest("__here", "__before"), "__last": F.greatest("__prior", "__before")})
+    price = F.when(long, F.col("close")).otherwise(-F.col("close"))
+    out = both.withColumns({"stop": F.when(long, F.col("__stop")).otherwise(-F.col("__stop")), "stopped": F.coalesce(price <= F.col("__last"), F.lit(False))})
+    return out.drop("__level", "__here", "__prior", "__before", "__stop", "__last")

@@ -100,6 +100,15 @@ def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return market.read_events(spark, path, "error").select("run_id", "event", F.col("data")["id"].alias("id"), F.col("data")["k"].alias("k"))
 
 
+@query("SELECT DISTINCT CAST(user_id % 50 AS VARCHAR) AS run_id FROM events")
+def run_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The runs of a log that is written, from the list of its files."""
+    path, events = scratch(spark, "listing"), market.table(spark, sf_dir, "events")
+    rows = events.select(F.col("event_id").cast("string").alias("ts"), F.col("event_type").alias("event"), (F.col("user_id") % 50).cast("string").alias("run_id"))
+    market.write_events(rows.repartition("run_id"), path)
+    return market.list_runs(spark, path)
+
+
 @query("SELECT CAST(user_id AS VARCHAR) AS run_id, count(*) AS n, epoch_us(min(ts)) // 1000 AS first, epoch_us(max(ts)) // 1000 AS last, count(DISTINCT event_type) AS kinds FROM events GROUP BY ALL")
 def run_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = market.table(spark, sf_dir, "events")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewright.operators import risk
-from tidewright.queries import TRADES, query, rounded
+from tidewright.queries import BARS, TRADES, query, rounded
 from tidewright.sources import market
 from tidewright.sources.scratch import scratch
 from tidewright.streaming import live
@@ -63,3 +63,14 @@ def portfolio_breakers(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = market.table(spark, sf_dir, "lineitem")
     rows = items.groupBy(F.col("l_returnflag").alias("portfolio"), market.epoch_ms(items, "l_shipdate").alias("time")).agg((F.sum("l_extendedprice") / 1e6).alias("exposure"), (F.avg("l_discount") * 2).alias("drawdown"))
     return risk.portfolio_breaker(rows, {"drawdown": 0.15, "exposure": 1.0}, 48.0).drop("exposure", "drawdown")
+
+
+@query(BARS + """, p AS (SELECT *, symbol || '-' || open_time // 1814400000 AS position_id, CASE WHEN open_time // 1814400000 % 2 = 0 THEN 'LONG' ELSE 'SHORT' END AS direction FROM k),
+l AS (SELECT *, CASE WHEN direction = 'LONG' THEN close - 2 * (high - low) ELSE -(close + 2 * (high - low)) END AS level FROM p),
+s AS (SELECT *, max(level) OVER (PARTITION BY position_id ORDER BY open_time) AS best, max(level) OVER (PARTITION BY position_id ORDER BY open_time ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prior FROM l)
+SELECT position_id, open_time, round(CASE WHEN direction = 'LONG' THEN best ELSE -best END, 6) + 0.0 AS stop, coalesce(CASE WHEN direction = 'LONG' THEN close ELSE -close END <= prior, false) AS stopped FROM s""")
+def trailing_stops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Positions of three weeks, long and short by turns; a bar's range stands for its ATR."""
+    turn = F.floor(F.col("open_time") / 1_814_400_000)
+    rows = market.klines(spark, sf_dir).withColumns({"position_id": F.concat("symbol", F.lit("-"), turn.cast("string")), "direction": F.when(turn % 2 == 0, "LONG").otherwise("SHORT"), "atr": F.col("high") - F.col("low")})
+    return rounded(risk.trailing_stops(rows).select("position_id", "open_time", "stop", "stopped"))

@@ -121,3 +121,19 @@ SELECT symbol, open_time, round(CASE WHEN n = 10 THEN m END, 6) AS bb, round(CAS
 def registered_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An indicator by name: its bare output is the middle, and others are derived from its bands."""
     return rounded(registry.add(market.klines(spark, sf_dir), "BBANDS", "bb", period=10).select("symbol", "open_time", "bb", "bb_upper", "bb_percent_b", "bb_bandwidth"))
+
+
+@query(
+    NUMBERED + ", " + ", ".join([_smooth("md", "close", 10, 10, "(2 / 11)"), _smooth("wd", "tr", 10, 10, "(2 / 11)"), _smooth("up", "gain", 7, 8, "(1 / 7)"), _smooth("dn", "loss", 7, 8, "(1 / 7)")])
+    + """, s AS (SELECT symbol, i, CASE WHEN i >= 5 THEN (close - min(low) OVER w) * 100 / nullif(max(high) OVER w - min(low) OVER w, 0) END AS raw, CASE WHEN i >= 9 THEN (max(high) OVER c + min(low) OVER c) / 2 END AS conversion FROM x
+ WINDOW w AS (PARTITION BY symbol ORDER BY i ROWS 4 PRECEDING), c AS (PARTITION BY symbol ORDER BY i ROWS 8 PRECEDING)),
+k AS (SELECT *, CASE WHEN count(raw) OVER w = 2 THEN avg(raw) OVER w END AS k FROM s WINDOW w AS (PARTITION BY symbol ORDER BY i ROWS 1 PRECEDING))
+SELECT x.symbol, open_time, round(md.y, 6) AS kc, round(md.y + 1.5 * wd.y, 6) AS kc_upper, round(CASE WHEN up.y + dn.y = 0 THEN 50 ELSE 100 * up.y / (up.y + dn.y) END, 6) AS rsi, round(k.k, 6) + 0.0 AS stoch, round(k.conversion, 6) AS ichimoku
+FROM x LEFT JOIN md USING (symbol, i) LEFT JOIN wd USING (symbol, i) LEFT JOIN up USING (symbol, i) LEFT JOIN dn USING (symbol, i) LEFT JOIN k USING (symbol, i)""".replace("k AS (SELECT *", "kk AS (SELECT *").replace("LEFT JOIN k USING", "LEFT JOIN kk USING").replace("k.k,", "kk.k,").replace("k.conversion,", "kk.conversion,")
+)
+def registered_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Indicators by name at periods of their own; a bare name is the middle of a channel, else the first output."""
+    bars = market.klines(spark, sf_dir)
+    for name, how in (("KC", {"period": 10, "width": 1.5}), ("RSI", {"period": 7}), ("STOCH", {"period": 5, "smooth": 2}), ("ICHIMOKU", {})):
+        bars = registry.add(bars, name, **how)
+    return rounded(bars.select("symbol", "open_time", "kc", "kc_upper", "rsi", "stoch", "ichimoku"))
