@@ -98,7 +98,9 @@ def add(bars: DataFrame, name: str, alias: str | None = None, **parameters) -> D
         found = spec.columns(**chosen)
         out = bars.withColumns({f"{alias}_{o}": found[o] for o in spec.outputs})
     elif spec.recurrence is not None:
-        made = scan(bars.withColumnsRenamed({c: f"__bar_{c}" for c in bars.columns if c in spec.sources.values()}), ["symbol"], ["open_time"], spec.recurrence(chosen))
+        recurrence = spec.recurrence(chosen)
+        added = {x.split()[0] for x in recurrence.schema.split(", ")}
+        made = scan(bars.withColumnsRenamed({c: f"__bar_{c}" for c in bars.columns if c in added}), ["symbol"], ["open_time"], recurrence)
         out = made.select(*[F.col(f"__bar_{c}" if f"__bar_{c}" in made.columns else c).alias(c) for c in bars.columns], *[F.col(c).alias(f"{alias}_{o}") for o, c in spec.sources.items()])
     else:
         made = array_fold(bars, ["symbol"], ["open_time"], lambda: spec.fold_step(chosen), ["open", "high", "low", "close", "volume"], ", ".join(f"{o} double" for o in spec.outputs))
