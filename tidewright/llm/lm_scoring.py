@@ -158,30 +158,34 @@ class LogBilinear:
         targets = np.arange(2, len(ids)) if targets is None else targets
 
         rng, (k, d) = np.random.default_rng(seed), self.r.shape
-        log_noise = np.log(noise_words * self.noise)
+        log_noise = np.log(noise_words * self.noise).astype("f4")
+        # The pass is in 4-byte floats; what it has moved is added to the model at its end.
+        r, place, q, b = parts = [x.astype("f4") for x in self.parts()]
+        grown = [x.astype("f4") for x in self.grown]
 
         for start in range(0, len(targets), batch):
             at = targets[start : start + batch]
             w, c1, c2 = ids[at], ids[at - 1], ids[at - 2]
             drawn = rng.choice(k, noise_words, p=self.noise)
-            r1, r2, qw, qn = self.r[c1], self.r[c2], self.q[w], self.q[drawn]
-            guess = r1 * self.place[0] + r2 * self.place[1]
-            true = (guess * qw).sum(1) + self.b[w] - log_noise[w]
+            r1, r2, qw, qn = r[c1], r[c2], q[w], q[drawn]
+            guess = r1 * place[0] + r2 * place[1]
+            true = np.einsum("nd,nd->n", guess, qw) + b[w] - log_noise[w]
             up = -1 / (1 + np.exp(np.clip(true, -30, 30)))
-            # The batch's tokens by its noise words are most of the work: in 4-byte floats, in place.
-            small, qn = guess.astype("f4"), qn.astype("f4")
-            down = small @ -qn.T
-            down -= (self.b[drawn] - log_noise[drawn]).astype("f4")
+            # The batch's tokens by its noise words are most of the work, and done in place.
+            down = guess @ -qn.T
+            down -= b[drawn] - log_noise[drawn]
             np.exp(np.clip(down, -30, 30, out=down), out=down)
             down += 1
             np.reciprocal(down, out=down)
             back = up[:, None] * qw + down @ qn
             gq = spread(w, up[:, None] * guess, k)
-            np.add.at(gq, drawn, down.T @ small)
+            np.add.at(gq, drawn, down.T @ guess)
             gb = np.bincount(w, up, k) + np.bincount(drawn, down.sum(0), k)
-            gr = spread(c1, back * self.place[0], k) + spread(c2, back * self.place[1], k)
-            gp = np.stack([(back * r1).sum(0), (back * r2).sum(0)])
-            step(self.parts(), (gr, gp, gq, gb), self.grown, len(w), rate)
+            gr = spread(c1, back * place[0], k) + spread(c2, back * place[1], k)
+            gp = np.stack([np.einsum("nd,nd->d", back, x) for x in (r1, r2)])
+            step(parts, (gr, gp, gq, gb), grown, len(w), rate)
+        for x, y in zip(self.parts() + self.grown, parts + grown, strict=True):
+            x[:] = y
 
     def tables(self):  # noqa: ANN201
         """First and second place's scores [context, token], and the log normaliser [first, second]."""
