@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewright.operators import catalog, timeseries
 from tidewright.queries import BARS, BROKEN, broken_bars, query, rounded
-from tidewright.sources import market
+from tidewright.sources import lines, market
 from tidewright.sources.scratch import scratch
 from tidewright.streaming import bars as stream
 from tidewright.streaming import live, messages
@@ -249,3 +249,41 @@ def feed_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     rates = messages.funding_rates(feed).select(*row("funding", F.col("rate"), F.col("mark_price")))
     books = messages.book_depth(feed).select(*row("book", F.col("bids")[0]["price"], F.col("asks")[0]["price"]))
     return rounded(prices.unionByName(rates).unionByName(books))
+
+
+@query(BARS + f""" SELECT symbol, open_time, open, high, low, close, volume, close_time, CASE WHEN open_time // 3600000 % 2 = 0 THEN 0 ELSE volume * 2 END AS quote_volume, CAST(CASE WHEN open_time // 3600000 % 2 = 0 THEN 0 ELSE volume END AS BIGINT) AS trade_count
+FROM k WHERE open_time BETWEEN {FROM} AND {TO}""")
+def zipped_candles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candles written as zipped CSV files of a symbol and month, with header lines, and read between two times."""
+    path = scratch(spark, "months")
+    bars = market.klines(spark, sf_dir)
+    short = F.concat_ws(",", "open_time", "open", "high", "low", "close", "volume", "close_time")
+    line = F.when(F.col("open_time") / market.HOUR % 2 == 0, short).otherwise(F.concat_ws(",", short, F.col("volume") * 2, F.col("volume").cast("long")))
+    rows = bars.select(F.concat("symbol", F.lit("-1h-"), F.date_format(F.timestamp_millis("open_time"), "yyyy-MM"), F.lit(".csv.zip")).alias("file"), line.alias("line"), "open_time")
+    heads = rows.select("file").distinct().select("file", F.lit("open_time,open,high").alias("line"), F.lit(-1).cast("long").alias("open_time"))
+    lines.write_lines(rows.unionByName(heads), path, ["open_time"], packed=True)
+    found = lines.zipped_klines(spark, path, FROM, TO)
+    return found.select(F.regexp_extract("file", r"([^/-]+)-1h-", 1).alias("symbol"), *[c for c in found.columns if c != "file"])
+
+
+@query(FUNDING + f" SELECT symbol, open_time AS funding_time, round((close - open) / open / 100, 6) + 0.0 AS rate, 0.0::DOUBLE AS mark_price FROM k WHERE open_time BETWEEN {FROM} AND {TO}")
+def zipped_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Funding rates in zipped CSV files, without mark prices."""
+    path = scratch(spark, "rates")
+    rows = market.funding(spark, sf_dir).select(F.concat("symbol", F.lit("-funding.csv.zip")).alias("file"), F.concat_ws(",", "funding_time", "rate").alias("line"), "funding_time")
+    lines.write_lines(rows, path, ["funding_time"], packed=True)
+    found = lines.zipped_funding(spark, path, FROM, TO)
+    return rounded(found.select(F.regexp_extract("file", r"([^/-]+)-funding", 1).alias("symbol"), "funding_time", "rate", "mark_price"))
+
+
+@query("SELECT event_type AS log, event_id, round(value, 6) AS value, CAST(CASE WHEN event_id % 5 < 3 THEN 0 ELSE 1 END AS INTEGER) AS part FROM events")
+def tailed_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Logs of ticks that grow while they are followed: the second run reads from the bytes at which the first stopped."""
+    path = scratch(spark, "logs")
+    order = F.when(F.col("event_id") % 5 < 3, 0).otherwise(1)
+    rows = market.ticks(spark, sf_dir).select(F.concat("symbol", F.lit(".log")).alias("file"), F.to_json(F.struct("event_id", "price")).alias("line"), order.alias("part"), "event_id")
+    for part in range(2):
+        lines.write_lines(rows.where(F.col("part") <= part), f"{path}/in", ["part", "event_id"])
+        live.go_on(lines.log_tail(spark, f"{path}/in").withColumn("part", F.lit(part)), f"{path}/out", f"{path}/checkpoint", None).awaitTermination()
+    found = spark.read.parquet(f"{path}/out").select(F.regexp_extract("file", r"([^/]+)\.log$", 1).alias("log"), F.from_json("line", "event_id long, price double").alias("x"), "part")
+    return found.select("log", F.col("x.event_id").alias("event_id"), F.round("x.price", 6).alias("value"), "part")

@@ -3,7 +3,8 @@ closed trades; logs that are followed; queries that go on where they stopped."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import time
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -99,3 +100,17 @@ def go_on(stream: DataFrame, path: str, checkpoint: str, seconds: int | None = 6
     None once with all that there is."""
     writer = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append")
     return (writer.trigger(availableNow=True) if seconds is None else writer.trigger(processingTime=f"{seconds} seconds")).start()
+
+
+def follow_until(stream: Callable[[], DataFrame], path: str, checkpoint: str, terminal: str, seconds: float = 1.0, polls: int | None = None, pause: Callable[[float], None] = time.sleep) -> bool:
+    """Take what a stream has every so many seconds, until a row that the condition `terminal` holds for has been
+    written, and say whether one was; without, polls end the wait. It may begin again at the same checkpoint."""
+    made = 0
+    while True:
+        go_on(stream(), path, checkpoint, None).awaitTermination()
+        made += 1
+        if SparkSession.active().read.parquet(path).where(terminal).limit(1).count():
+            return True
+        if made == polls:
+            return False
+        pause(seconds)
