@@ -8,6 +8,7 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewright.operators.scans import numbered, written
 
 def walk_forward_windows(spark: SparkSession, start: str, end: str, train: int = 270, test: int = 90, step: int = 30, touching: bool = False, least: int = 0) -> DataFrame:
     """Windows of `train` and `test` days every `step` days as long as the test fits before end. Dates
@@ -103,3 +104,58 @@ def bootstrap_sharpe(returns: DataFrame, key: str = "run_id", resamples: int = 1
             yield pd.DataFrame(out, columns=[key, "low", "high", "passed"])
 
     return returns.select(key, "returns").repartition(parts, key).mapInPandas(run, f"`{key}` {kind}, low double, high double, passed boolean")
+
+
+#: Returns of a run that one task resamples.
+RUN_ROWS = 100_000
+
+
+def bootstrap_rows(rows: DataFrame, value: str, order: list[str], key: str = "run_id", resamples: int = 10_000, level: float = 0.95, seed: int = 42, min_sharpe: float = 1.0, chunk: int = RUN_ROWS) -> DataFrame:
+    """bootstrap_sharpe of each key's values, a row for each, in total order; nulls take no part.
+
+    A run of more than `chunk` values is cut into chunks. How many of a resample's draws fall into each is
+    multinomial: halves of the chunks split a number of draws by a binomial with a seed of their own, so that each chunk
+    finds its numbers alone, and all of a resample add up to n. A chunk draws its own and gives sums and sums of
+    squares of differences from the run's mean, which are added up for each resample."""
+    own = rows.select(key, *order, F.col(value).cast("double").alias("__x"))
+    counts = written(own.groupBy(key).agg(F.count("__x").alias("__n"), F.avg("__x").alias("__mean")), "counts")
+    large = counts.where(F.col("__n") > chunk)
+    hot = bool(large.limit(1).count())
+    few = own.join(large.select(key), key, "left_anti") if hot else own
+    small = bootstrap_sharpe(few.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct(*order, F.col("__x").alias("x")))), lambda r: r["x"]).alias("returns")), key, resamples, level, seed, min_sharpe)
+    if not hot:
+        return small
+    kind, parts = dict(rows.dtypes)[key], int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def draw(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pandas as pd
+
+        for batch in batches:
+            for name, at, n, mean, values in zip(batch[key], batch["__chunk"], batch["__n"], batch["__mean"], batch["xs"], strict=True):
+                x, low, high = np.asarray(values, float) - mean, 0, -(-n // chunk)
+                wanted = np.full(resamples, n)
+                while high - low > 1:
+                    middle, end = (low + high) // 2, min(n, high * chunk)
+                    left = np.random.default_rng([seed, low, high]).binomial(wanted, (middle - low) * chunk / (end - low * chunk))
+                    low, high, wanted = (low, middle, left) if at < middle else (middle, high, wanted - left)
+                rng, sums, squares, done = np.random.default_rng([seed, at]), np.zeros(resamples), np.zeros(resamples), 0
+                while done < resamples:  # a few million draws at a time
+                    some = slice(done, done + max(1, 4_000_000 // chunk))
+                    starts, any_ = np.cumsum(wanted[some]) - wanted[some], wanted[some] > 0
+                    drawn = x[rng.integers(0, len(x), int(wanted[some].sum()), dtype=np.uint32)]
+                    if len(drawn):
+                        sums[some][any_] = np.add.reduceat(drawn, starts[any_])
+                        squares[some][any_] = np.add.reduceat(drawn * drawn, starts[any_])
+                    done = some.stop
+                yield pd.DataFrame({key: [name] * resamples, "__r": np.arange(resamples), "__s": sums, "__q": squares})
+
+    cut = numbered(own.where("__x IS NOT NULL").join(large.select(key), key, "left_semi"), [key], order).withColumn("__chunk", F.floor(F.col("__row") / chunk))
+    arrays = cut.groupBy(key, "__chunk").agg(F.transform(F.array_sort(F.collect_list(F.struct("__row", "__x"))), lambda r: r["__x"]).alias("xs")).join(large, key)
+    drawn = arrays.repartition(parts, key, "__chunk").mapInPandas(draw, f"`{key}` {kind}, __r long, __s double, __q double")
+    each = drawn.groupBy(key, "__r").agg(F.sum("__s").alias("s"), F.sum("__q").alias("q")).join(large, key)
+    n = F.col("__n")
+    dev = F.sqrt(F.greatest(F.lit(0.0), (F.col("q") - F.col("s") * F.col("s") / n) / (n - 1)))
+    ratio = F.when(dev < 1e-10, 0.0).otherwise((F.col("__mean") + F.col("s") / n) / F.when(dev >= 1e-10, dev) * F.sqrt(n))
+    ends = each.groupBy(key).agg(F.percentile(ratio, (1 - level) / 2).alias("low"), F.percentile(ratio, (1 + level) / 2).alias("high"))
+    return small.unionByName(ends.withColumn("passed", F.col("low") >= min_sharpe))

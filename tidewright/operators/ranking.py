@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewright.operators.scans import written
 from tidewright.operators.screening import Staircase
 
+
 def elites(scored: DataFrame, k: int, key: str = "run_id") -> DataFrame:
     """The k rows of the highest score, ties by key: each task sends k rows at most."""
     return scored.orderBy(F.desc("score"), key).limit(k)
@@ -79,6 +81,63 @@ def diverse(scored: DataFrame, features: list[str], k: int = 5, distance: float
     return sorted_.mapInPandas(choose, f"`{by}` {kinds[by]}, `{key}` {kinds[key]}, score double, place int")
 
 
+#: Rows of a block of groups_of_near, which the driver decides.
+BLOCK = 4096
+
+
+def groups_of_near(scored: DataFrame, features: list[str], kinds: list[str] = (), distance: float = 0.15, key: str = "run_id", block: int = BLOCK) -> DataFrame:
+    """key, score and founder. Rows are taken by falling score, ties by key: one joins the first founder that is nearer than
+    `distance`, and founds a group of its own where none is. A distance is the mean over features (numbers scaled to
+    0..1) of their differences and over kinds of whether they differ; one with a null or NaN feature is near nothing.
+
+    The founders are the first maximal independent set in that order. A round takes the next `block` undecided rows,
+    finds the founders among them, and sends these to all undecided rows, each of which joins the first that is near: no
+    founder of a later round comes before it. So a round decides a block and all that is near to it, and no pairs are made."""
+    types = dict(scored.dtypes)
+    x = F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))) for c in features])
+    left = written(scored.select(key, F.col("score").cast("double").alias("score"), x.alias("x"), F.array(*[F.col(c).cast("string") for c in kinds]).alias("k")), "undecided")
+    parts, done = len(features) + len(kinds), None
+    while head := left.orderBy(F.desc("score"), key).limit(block).collect():
+        names, numbers, words = _founders([(r[key], r["x"], r["k"]) for r in head], parts, distance)
+
+        def place(batches, names=names, numbers=numbers, words=words):  # noqa: ANN001, ANN202
+            import numpy as np
+
+            for b in batches:
+                xs = np.array(b["x"].tolist(), float).reshape(len(b), -1)
+                ks = np.array(b["k"].tolist(), object).reshape(len(b), -1)
+                found, open_ = np.full(len(b), None, object), np.arange(len(b))
+                own = b[key].tolist()
+                founds = {name: i for i, name in enumerate(names)}
+                for i, name in enumerate(names):
+                    near = (np.abs(xs[open_] - numbers[i]).sum(1) + (ks[open_] != words[i]).sum(1)) / parts < distance
+                    found[open_[near]] = name
+                    open_ = open_[~near]
+                for j in open_.tolist():  # a founder without all its features is not even near itself
+                    found[j] = own[j] if own[j] in founds else None
+                yield b[[key, "score", "x", "k"]].assign(founder=found)
+
+        table = written(left.mapInPandas(place, f"`{key}` {types[key]}, score double, x array<double>, k array<string>, founder {types[key]}"), "placed")
+        more = table.where("founder IS NOT NULL").select(key, "score", "founder")
+        done = more if done is None else done.unionByName(more)
+        left = table.where("founder IS NULL").drop("founder")
+    return done if done is not None else left.select(key, "score", F.col(key).alias("founder"))
+
+
+def _founders(rows: list[tuple], parts: int, distance: float) -> tuple:
+    """Names, features and kinds of the rows, in order, that no founder before them is near to."""
+    import numpy as np
+
+    xs = np.array([r[1] for r in rows], float).reshape(len(rows), -1)
+    ks = np.array([r[2] for r in rows], object).reshape(len(rows), -1)
+    free, chosen = np.ones(len(rows), bool), []
+    for i in range(len(rows)):
+        if free[i]:
+            chosen.append(i)
+            free[i + 1 :] &= ~((np.abs(xs[i + 1 :] - xs[i]).sum(1) + (ks[i + 1 :] != ks[i]).sum(1)) / parts < distance)
+    return [rows[i][0] for i in chosen], xs[chosen], ks[chosen]
+
+
 #: Weights of a gene's parts (indicator, condition, threshold, parameters) and of a chromosome's (genes,
 #: direction, stop, target); fixed values, as is the range of thresholds of unknown indicators.
 GENE_WEIGHTS, CHROMOSOME_WEIGHTS, THRESHOLD_RANGE = (2.0, 1.0, 1.0, 1.0), (3.0, 1.0, 0.5, 0.5), 100.0

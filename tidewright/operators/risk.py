@@ -37,9 +37,10 @@ def drawdown_scale(drawdown: Column, scale_at: float, stop_at: float) -> Column:
 ACTIVE, HALTED, COOLDOWN = "ACTIVE", "HALTED", "COOLDOWN"
 
 
-def strategy_breaker(states: DataFrame, max_drawdown: float = 0.15, max_daily_loss: float = 0.02, max_streak: int = 10, cooldown_hours: float = 24.0, order: list[str] = TRADE_ORDER) -> DataFrame:
+def strategy_breaker(states: DataFrame, max_drawdown: float = 0.15, max_daily_loss: float = 0.02, max_streak: int = 10, cooldown_hours: float = 24.0, order: list[str] = TRADE_ORDER, max_positions: int | None = None) -> DataFrame:
     """daily_state()'s rows with the state after each trade and the rule that halted the strategy, if one
-    did then. Rules are looked at in order: drawdown, loss of the day, streak of losses. A halted strategy
+    did then. Rules are looked at in order: drawdown, loss of the day, streak of losses, and, where max_positions
+    is given, the column `positions` of those that are open. A halted strategy
     looks at none until cooldown_hours have passed (0: for good), and then at all again."""
 
     def start() -> Step:
@@ -50,9 +51,10 @@ def strategy_breaker(states: DataFrame, max_drawdown: float = 0.15, max_daily_lo
 
             nonlocal halted_at
             lost = -x["daily_pnl"] / np.where(x["day_start_equity"] > 0, x["day_start_equity"], np.inf)
-            broken = np.select([x["drawdown"] >= max_drawdown, (x["daily_pnl"] < 0) & (lost >= max_daily_loss), x["loss_streak"] >= max_streak], [1, 2, 3], 0)
+            many = x["positions"] >= max_positions if max_positions is not None else np.zeros(len(lost), bool)
+            broken = np.select([x["drawdown"] >= max_drawdown, (x["daily_pnl"] < 0) & (lost >= max_daily_loss), x["loss_streak"] >= max_streak, many], [1, 2, 3, 4], 0)
             times, state, reason = x["exit_time"], np.full(len(broken), ACTIVE, object), np.full(len(broken), None, object)
-            names = (None, "drawdown", "daily_loss", "consecutive_losses")
+            names = (None, "drawdown", "daily_loss", "consecutive_losses", "position_count")
             at = 0
             while at < len(times):
                 if halted_at is not None:
@@ -73,7 +75,7 @@ def strategy_breaker(states: DataFrame, max_drawdown: float = 0.15, max_daily_lo
 
         return step
 
-    return array_fold(states, ["run_id"], list(order), start, ["exit_time", "drawdown", "daily_pnl", "day_start_equity", "loss_streak"], "state string, reason string")
+    return array_fold(states, ["run_id"], list(order), start, ["exit_time", "drawdown", "daily_pnl", "day_start_equity", "loss_streak", *(["positions"] if max_positions is not None else [])], "state string, reason string")
 
 
 def portfolio_breaker(states: DataFrame, limits: dict[str, float], cooldown_hours: float = 24.0, cooldown_scale: float = 0.5, key: str = "portfolio", time: str = "time") -> DataFrame:

@@ -10,7 +10,7 @@ from tidewright.queries import BARS, BROKEN, broken_bars, query, rounded
 from tidewright.sources import lines, market
 from tidewright.sources.scratch import scratch
 from tidewright.streaming import bars as stream
-from tidewright.streaming import live, messages
+from tidewright.streaming import live, messages, timers
 
 DAY = 86_400_000
 FROM, TO = 1_704_326_400_000, 1_705_276_800_000  # four and fifteen days after the first tick's day
@@ -287,3 +287,29 @@ def tailed_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
         live.go_on(lines.log_tail(spark, f"{path}/in").withColumn("part", F.lit(part)), f"{path}/out", f"{path}/checkpoint", None).awaitTermination()
     found = spark.read.parquet(f"{path}/out").select(F.regexp_extract("file", r"([^/]+)\.log$", 1).alias("log"), F.from_json("line", "event_id long, price double").alias("x"), "part")
     return found.select("log", F.col("x.event_id").alias("event_id"), F.round("x.price", 6).alias("value"), "part")
+
+
+def _ranges(x: dict) -> dict:
+    """The mean of 14 true ranges, and the highest high and lowest low of 20 bars."""
+    import numpy as np
+    import pandas as pd
+
+    last = np.append(np.nan, x["close"][:-1])
+    true = np.fmax(x["high"] - x["low"], np.fmax(np.abs(x["high"] - last), np.abs(x["low"] - last)))
+    rolled = lambda v, n, how: getattr(pd.Series(v).rolling(n), how)().to_numpy()
+    return {"range14": rolled(true, 14, "mean"), "high20": rolled(x["high"], 20, "max"), "low20": rolled(x["low"], 20, "min")}
+
+
+@query(BARS + """, l AS (SELECT *, lag(close) OVER (PARTITION BY symbol ORDER BY open_time) AS last FROM k), r AS (SELECT *, greatest(high - low, abs(high - last), abs(low - last)) AS tr FROM l)
+SELECT symbol, open_time, round(CASE WHEN count(*) OVER a >= 14 THEN avg(tr) OVER a END, 6) AS range14, round(CASE WHEN count(*) OVER b >= 20 THEN max(high) OVER b END, 6) AS high20, round(CASE WHEN count(*) OVER b >= 20 THEN min(low) OVER b END, 6) AS low20 FROM r
+WINDOW a AS (PARTITION BY symbol ORDER BY open_time ROWS 13 PRECEDING), b AS (PARTITION BY symbol ORDER BY open_time ROWS 19 PRECEDING)""")
+def streamed_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A caller's own indicators over rolling bars of a stream, which goes on from its checkpoint."""
+    path = scratch(spark, "rolling")
+    bars = market.klines(spark, sf_dir).select("symbol", "open_time", *timers.OHLCV)
+    own = timers.with_timers(spark)
+    for part in (bars.where(F.col("open_time") < TO), bars.where(F.col("open_time") >= TO)):
+        part.write.mode("append").parquet(f"{path}/in")
+        source = own.readStream.schema(bars.schema).parquet(f"{path}/in")
+        live.go_on(timers.rolling_indicator(source, _ranges, ["range14", "high20", "low20"], 20), f"{path}/out", f"{path}/checkpoint", None).awaitTermination()
+    return rounded(spark.read.parquet(f"{path}/out"))

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewright.operators import ranking, trades
+from tidewright.operators.scans import written
+from tidewright.operators.selection import percentiles
 from tidewright.plans.results import YEARLY, yearly
 from tidewright.queries import RESULTS, query, rounded
 from tidewright.sources import market
@@ -37,6 +39,20 @@ def diverse_choices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.diverse(rows, ["f0", "f1"])
 
 
+@query("""WITH RECURSIVE p AS MATERIALIZED (SELECT c_custkey AS run_id, c_acctbal AS score, c_nationkey / 25 AS a, c_custkey % 37 / 37 AS b, c_mktsegment AS m, row_number() OVER (ORDER BY c_acctbal DESC, c_custkey) AS i FROM customer),
+g AS (SELECT CAST(1 AS BIGINT) AS i, [{'i': i, 'a': a, 'b': b, 'm': m}] AS taken FROM p WHERE i = 1
+ UNION ALL SELECT p.i, CASE WHEN len(list_filter(taken, lambda x: (abs(x.a - p.a) + abs(x.b - p.b) + CASE WHEN x.m = p.m THEN 0 ELSE 1 END) / 3 < 0.15)) = 0 THEN list_append(taken, {'i': p.i, 'a': p.a, 'b': p.b, 'm': p.m}) ELSE taken END FROM g JOIN p ON p.i = g.i + 1),
+f AS (SELECT unnest(arg_max(taken, i)) AS t FROM g),
+s AS (SELECT p.run_id, p.score, min(t.i) AS i FROM p JOIN f ON (abs(t.a - p.a) + abs(t.b - p.b) + CASE WHEN t.m = p.m THEN 0 ELSE 1 END) / 3 < 0.15 GROUP BY ALL)
+SELECT p.run_id AS founder, count(*) AS n, round(median(s.score), 4) + 0.0 AS median_score FROM s JOIN p USING (i) GROUP BY p.run_id""")
+def similarity_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers in groups around the first of each by balance, with the median of each group."""
+    rows = market.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("run_id"), F.col("c_acctbal").alias("score"), (F.col("c_nationkey") / 25).alias("a"), (F.col("c_custkey") % 37 / 37).alias("b"), "c_mktsegment")
+    groups = written(ranking.groups_of_near(rows, ["a", "b"], ["c_mktsegment"], block=64), "groups")
+    middle = percentiles(groups, ["founder"], "score", {"median_score": 0.5})
+    return rounded(groups.groupBy("founder").agg(F.count(F.lit(1)).alias("n")).join(middle, "founder"), 4)
+
+
 #: Ranges of the parameters of indicators that stand for return flags.
 PARAMETERS = {"A": {"discount": (0.0, 0.1)}, "N": {"discount": (0.0, 0.1), "tax": (0.0, 0.08)}}
 

@@ -9,7 +9,7 @@ from tidewright.operators import risk
 from tidewright.queries import BARS, TRADES, query, rounded
 from tidewright.sources import market
 from tidewright.sources.scratch import scratch
-from tidewright.streaming import live
+from tidewright.streaming import live, timers
 
 _O = "ORDER BY exit_time, order_id, line, part_id"
 STATES = TRADES + f""", z AS (SELECT *, exit_time // 86400000 AS day, sum((net_pnl >= 0)::INT) OVER (PARTITION BY run_id {_O} ROWS UNBOUNDED PRECEDING) AS g, row_number() OVER (PARTITION BY run_id {_O}) AS i FROM d),
@@ -74,3 +74,29 @@ def trailing_stops(spark: SparkSession, sf_dir: str) -> DataFrame:
     turn = F.floor(F.col("open_time") / 1_814_400_000)
     rows = market.klines(spark, sf_dir).withColumns({"position_id": F.concat("symbol", F.lit("-"), turn.cast("string")), "direction": F.when(turn % 2 == 0, "LONG").otherwise("SHORT"), "atr": F.col("high") - F.col("low")})
     return rounded(risk.trailing_stops(rows).select("position_id", "open_time", "stop", "stopped"))
+
+
+COUNTED = BREAKER.replace("'consecutive_losses' END AS rule", "'consecutive_losses' WHEN line >= 7 THEN 'position_count' END AS rule")
+
+
+@query(COUNTED)
+def position_breakers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With the rule on open positions; a trade's line number stands for how many there are."""
+    rows = risk.daily_state(market.trades(spark, sf_dir)).withColumn("positions", F.col("line"))
+    return risk.strategy_breaker(rows, 0.3, 0.02, 4, 720.0, max_positions=7).select("run_id", "order_id", "line", "part_id", "state", "reason")
+
+
+@query(COUNTED.rsplit("SELECT m.run_id", 1)[0] + """SELECT run_id, i AS seq, exit_time AS time, CASE WHEN halted IS NULL THEN 'ACTIVE' ELSE 'HALTED' END AS state, reason FROM m JOIN b USING (run_id, i)
+UNION ALL SELECT run_id, 0, halted + 2592000000, 'ACTIVE', 'cooldown' FROM m WHERE reason IS NOT NULL AND halted + 2592000000 < (SELECT max(exit_time) - 43200000 FROM b)""")
+def timed_breakers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same over a stream in two runs, with a row (seq 0) for each halt that ends, by a trade or by the watermark."""
+    path = scratch(spark, "timed")
+    by = risk.Window.partitionBy("run_id").orderBy(*market.TRADE_ORDER)
+    rows = market.trades(spark, sf_dir).withColumn("seq", F.row_number().over(by).cast("long")).select("run_id", "seq", "exit_time", "net_pnl", F.col("line").cast("long").alias("positions"))
+    own = timers.with_timers(spark)
+    for part in (F.col("exit_time") < 800_000_000_000, F.col("exit_time") >= 800_000_000_000):
+        rows.where(part).write.mode("append").parquet(f"{path}/in")
+        source = own.readStream.schema(rows.schema).parquet(f"{path}/in")
+        found = timers.timed_breaker(source, max_drawdown=0.3, max_streak=4, max_positions=7, cooldown_hours=720.0, delay="12 hours")
+        live.go_on(found, f"{path}/out", f"{path}/checkpoint", None).awaitTermination()
+    return spark.read.parquet(f"{path}/out").fillna(0, ["seq"])

@@ -286,7 +286,7 @@ def purged_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bootstrap_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per run the interval of its Sharpe ratio from the return of each trade."""
     own = market.trades(spark, sf_dir).withColumn("return", F.try_divide("net_pnl", "notional"))
-    return overfitting.bootstrap_sharpe(own.groupBy("run_id").agg(F.transform(F.array_sort(F.collect_list(F.struct(*market.TRADE_ORDER, "return"))), lambda x: x["return"]).alias("returns")))
+    return overfitting.bootstrap_rows(own, "return", market.TRADE_ORDER)
 
 
 E_MAX_100 = scores.expected_maximum(100)
