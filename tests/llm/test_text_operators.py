@@ -188,6 +188,18 @@ def test_suffix_dedup_where_shards_share_no_window(spark, monkeypatch):
     assert len(got) == 60 and all(r.n_removed == 0 and r.n_spans == 0 for r in got)
 
 
+def test_segments_that_polynomials_confuse_are_told_apart():
+    word = b"O"
+    for _ in range(9):  # a Thue-Morse word of 512 bytes and its complement: equal under any polynomial modulo 2**64
+        word += word.translate(bytes.maketrans(b"O^", b"^O"))
+    both = np.frombuffer(word + word.translate(bytes.maketrans(b"O^", b"^O")), np.uint8)
+    poly = suffix_dedup.hasher(both)
+    starts, ends = np.array([0, 512]), np.array([512, 1024])
+    assert len(set(poly(starts, ends).tolist())) == 1
+    one, two = suffix_dedup.digests(both, starts, ends)
+    assert one[0] != one[1] and two[0] != two[1]
+
+
 def test_suffix_array_and_prefixes():
     import numpy as np
 

@@ -5,8 +5,8 @@ grams of GRAM bytes. Equal windows name equal anchors at equal places, so all wi
 by their anchors. Consecutive windows that name the same place form a segment, of the bytes that
 they cover.
 
-1. Each document's segments are found, with a digest of each. Segments of equal bytes are counted,
-   and kept once; anchors all of whose segments are equal are done.
+1. Each document's segments are found, with the first 128 bits of each one's SHA-256. Segments of equal bytes are
+   counted by these, and kept once; anchors all of whose segments are equal are done.
 2. The other anchors' different segments are dealt into shards by anchor. In a shard, a suffix array is
    made by Larsson and Sadakane's refinement (ranks of twice the depth from pairs of ranks, for
    unsorted groups only), and common prefixes of neighbours by Kasai's algorithm, in numpy, with
@@ -35,31 +35,43 @@ PORTION = 2_000_000
 MERGE_WINDOWS = 200_000
 #: Never in UTF-8: stands between segments, so that no window reaches across.
 STOP = 0xFF
-PLACE_BITS = 30
+#: Bits of a place in a text: a binary value of Spark has less than 2**31 bytes.
+PLACE_BITS = 31
 
-_powers: dict[int, tuple] = {}
+_powers: list[tuple] = []
 
 
-def powers(n: int, k: int):  # noqa: ANN201
-    """Powers of the k-th odd multiplier and of its inverse modulo 2**64, n or more of each."""
+def powers(n: int):  # noqa: ANN201
+    """Powers of an odd multiplier and of its inverse modulo 2**64, n or more of each."""
     import numpy as np
 
-    if k not in _powers or len(_powers[k][0]) < n:
-        base = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)[k]
-        _powers[k] = tuple(np.cumprod(np.append(np.uint64(1), np.full(max(n, PORTION) + 64, x, np.uint64))) for x in (base, pow(base, -1, 2**64)))
-    return _powers[k]
+    if not _powers or len(_powers[0][0]) < n:
+        base = 0x9E3779B97F4A7C15
+        _powers[:] = [tuple(np.cumprod(np.append(np.uint64(1), np.full(max(n, PORTION) + 64, x, np.uint64))) for x in (base, pow(base, -1, 2**64)))]
+    return _powers[0]
 
 
-def hasher(data, k: int):  # noqa: ANN001, ANN201
-    """A function of starts and ends that gives the 64-bit polynomial hashes of data between them."""
+def hasher(data):  # noqa: ANN001, ANN201
+    """A function of starts and ends that gives the 64-bit polynomial hashes of data between them, by which anchors are chosen."""
     import numpy as np
 
-    up, down = powers(len(data) + 1, k)
-    values = mixed(np.arange(256, dtype=np.uint64), 31 + k)
+    up, down = powers(len(data) + 1)
+    values = mixed(np.arange(256, dtype=np.uint64), 31)
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values[data] * up[: len(data)])])
     return lambda a, b: (sums[b] - sums[a]) * down[a]
 
 
+def digests(data, first, past):  # noqa: ANN001, ANN201
+    """The first 16 bytes of the SHA-256 of data[first[i]:past[i]], as two numbers each."""
+    import hashlib
+
+    import numpy as np
+
+    text = memoryview(np.ascontiguousarray(data))
+    found = b"".join([hashlib.sha256(text[a:b]).digest()[:16] for a, b in zip(first.tolist(), past.tolist(), strict=True)])
+    return np.frombuffer(found, np.uint64).reshape(-1, 2).T
+
+
 def segments(data, ends, length: int = LENGTH, gram: int = GRAM):  # noqa: ANN001, ANN201
     """Segments of all documents data[ends[i]:ends[i+1]]: anchor hash, two digests, document, first
     and last window (from the document's start), and whether the windows repeat one another."""
@@ -68,9 +80,8 @@ def segments(data, ends, length: int = LENGTH, gram: int = GRAM):  # noqa: ANN00
     n, u64 = len(data), np.uint64
     if n < length:
         return [np.zeros(0, np.int64)] * 7
-    one, two = hasher(data, 0), hasher(data, 1)
     places = np.arange(n - gram + 1)
-    grams = mixed(one(slice(0, n - gram + 1), slice(gram, n + 1)))
+    grams = mixed(hasher(data)(slice(0, n - gram + 1), slice(gram, n + 1)))
     width = length - gram + 1
     low = u64((1 << PLACE_BITS) - 1)
     least = np.full(-(-len(grams) // width) * width, ~u64(0))
@@ -87,14 +98,13 @@ def segments(data, ends, length: int = LENGTH, gram: int = GRAM):  # noqa: ANN00
     same = np.append(False, (anchor[1:] == anchor[:-1]) & valid[1:] & valid[:-1])
     first = np.flatnonzero(valid & ~same)
     last = np.flatnonzero(valid & ~np.append(same[1:], False))
-    size = (last - first + length).astype(u64)
-    d1, d2 = (mixed(f(first, last + length) + mixed(size, 3 + k), 5 + k) for k, f in enumerate((one, two)))
     # In a run of one byte each window is a segment, all equal: the run becomes one row.
-    single = first == last
-    run = np.append(False, single[1:] & single[:-1] & (d1[1:] == d1[:-1]) & (d2[1:] == d2[:-1]) & (first[1:] == last[:-1] + 1))[: len(first)]
+    single, changes = first == last, np.cumsum(np.append(False, data[1:] != data[:-1]))
+    run = np.append(False, single[1:] & single[:-1] & (first[1:] == last[:-1] + 1) & (changes[first[1:] + length - 1] == changes[first[:-1]]))[: len(first)]
     head = np.flatnonzero(~run)
+    first, past = first[head], last[head] + length
     last = last[np.append(head[1:], len(run)) - 1] if len(run) else last
-    first, d1, d2 = first[head], d1[head], d2[head]
+    d1, d2 = digests(data, first, past)
     doc = np.searchsorted(ends, first, side="right") - 1
     self_repeated = np.append(run[1:], False)[head]
     return grams[anchor[first]].view(np.int64), d1.view(np.int64), d2.view(np.int64), doc, first - ends[doc], last - ends[doc], self_repeated
@@ -263,8 +273,7 @@ def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             for k in np.flatnonzero(hot):
                 valid[starts[k] : starts[k] + counts[k]] = True
             spot = sa[valid[sa] & ~again[sa]]
-            one, two = (hasher(text, k)(spot, spot + length) for k in range(2))
-            one, two = mixed(one, 41), mixed(two, 42)
+            one, two = digests(text, spot, spot + length)
             mine = np.searchsorted(starts, spot, side="right") - 1
             packed = np.stack([one, two, rid[mine].astype(np.uint64), (first[mine] + spot - starts[mine]).astype(np.uint64)], 1)[np.argsort(one)]
             cuts = np.searchsorted(packed[:, 0], np.array([k * (2**64 // parts) for k in range(1, parts)], np.uint64))
