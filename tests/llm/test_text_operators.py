@@ -189,6 +189,8 @@ def test_suffix_dedup_where_shards_share_no_window(spark, monkeypatch):
 
 
 def test_segments_that_polynomials_confuse_are_told_apart():
+    import numpy as np
+
     word = b"O"
     for _ in range(9):  # a Thue-Morse word of 512 bytes and its complement: equal under any polynomial modulo 2**64
         word += word.translate(bytes.maketrans(b"O^", b"^O"))
