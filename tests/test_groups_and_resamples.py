@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import time
 
 import numpy as np
 import pytest
@@ -52,3 +53,23 @@ def test_chunks_of_a_run_give_the_interval_of_the_whole(spark):
     assert (got[3].low, got[3].high) == (0.0, 0.0) and got[4].low == float("-inf") and not got[4].passed
     again = {r.run_id: r for r in overfitting.bootstrap_rows(df.repartition(7), "r", ["at"], chunk=100).collect()}
     assert np.isclose(again[1].low, got[1].low, rtol=1e-9)
+
+
+def test_runs_of_one_length_share_their_draws(spark):
+    rng, n = np.random.default_rng(5), 300
+    first = np.arange(n) == 0
+    odd = [rng.normal(0, 0.03, n), np.full(n, 0.1), np.where(first, 1e6, rng.normal(1, 1, n)), np.where(first, 1.0, 0.3), np.where(first, np.nan, rng.normal(size=n)), rng.integers(0, 3, n) * 1.0, rng.normal(0, 1e-11, n)]
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(odd)] + [(90, odd[0][:5].tolist()), (91, [None, *odd[0][:7].tolist(), None])], "run_id long, returns array<double>")
+    got = {r.run_id: (r.low, r.high) for r in overfitting.bootstrap_sharpe(df).collect()}
+    for name, x in [*enumerate(odd), (90, odd[0][:5]), (91, odd[0][:7])]:
+        drawn = x[np.random.default_rng(42).integers(0, len(x), (10_000, len(x)))]
+        dev = drawn.std(1, ddof=1)
+        want = np.quantile(np.where(dev < 1e-10, 0.0, drawn.mean(1) / np.where(dev < 1e-10, 1.0, dev) * len(x) ** 0.5), [0.025, 0.975])
+        assert np.allclose(np.array(got[name], float), want, rtol=1e-9, atol=0, equal_nan=True)
+    # 128 runs take the draws of one: far less than 128 times its seconds.
+    spent = []
+    for m in (1, 128):
+        began = time.process_time()
+        overfitting._intervals(rng.normal(0, 1, (m, n)), 10_000, 0.95, 42)
+        spent.append(time.process_time() - began)
+    assert spent[1] < 40 * spent[0]

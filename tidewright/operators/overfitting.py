@@ -75,35 +75,73 @@ def fold_summary(folds: DataFrame) -> DataFrame:
     return row.withColumn("robust", (F.col("mean") > 0.5) & (F.col("dev") < 1.0))
 
 
+#: Tasks that runs of one length are dealt to at most, and runs that are resampled together.
+SHARES, TOGETHER = 32, 128
+
+
+def _intervals(x, resamples: int, level: float, seed: int):  # noqa: ANN001, ANN202
+    """Low and high ends for each row of x, runs of one length. Draws depend on seed and length alone, so these rows share them: how
+    often each place was drawn, times values and their squares, gives all their sums. Where a sum of squares cancels
+    or is not finite, the drawn values themselves are taken."""
+    import numpy as np
+
+    m, n = x.shape
+    with np.errstate(all="ignore"):
+        centre = x.mean(1)
+        apart = x - centre[:, None]
+        both = np.concatenate([apart, apart * apart]).T
+        equal = x.max(1) == x.min(1)
+        rng, ratios, at = np.random.default_rng(seed), np.empty((m, resamples)), 0
+        while at < resamples:  # a few million draws at a time
+            some = min(resamples - at, max(1, 2_000_000 // n))
+            places = rng.integers(0, n, (some, n)) + np.arange(some)[:, None] * n
+            times = np.bincount(places.ravel(), minlength=some * n).reshape(some, n)
+            sums = times.astype(float) @ both
+            s, q = sums[:, :m].T, sums[:, m:].T
+            square = q - s * s / n
+            found = (centre[:, None] + s / n) / np.sqrt(square / (n - 1)) * n**0.5
+            found[np.sqrt(square / (n - 1)) < 1e-10] = 0.0
+            for i in np.flatnonzero(~(square > 1e-4 * q).all(1) & ~equal):
+                rows = np.flatnonzero(~(square[i] > 1e-4 * q[i]))
+                drawn = np.broadcast_to(x[i], (len(rows), n)).ravel().repeat(times[rows].ravel()).reshape(len(rows), n)
+                dev = drawn.std(1, ddof=1)
+                found[i, rows] = np.where(dev < 1e-10, 0.0, drawn.mean(1) / np.where(dev < 1e-10, 1.0, dev) * n**0.5)
+            found[equal] = 0.0
+            ratios[:, at : at + some] = found
+            at += some
+        return np.quantile(ratios, [(1 - level) / 2, (1 + level) / 2], axis=1)
+
+
 def bootstrap_sharpe(returns: DataFrame, key: str = "run_id", resamples: int = 10_000, level: float = 0.95, seed: int = 42, min_sharpe: float = 1.0) -> DataFrame:
     """Per row of (key, returns array) the interval of the Sharpe ratio over resamples drawn with
     replacement; without bounds for fewer than five returns. passed says that low is min_sharpe at least.
-    Runs are dealt out again, as their arrays are small and the resampling is long."""
+    Runs are dealt out again, as their arrays are small and the resampling is long: by their lengths, as runs of one length
+    have the same draws, which a task makes once; a common length is SHARES tasks' work."""
     kind, parts = dict(returns.dtypes)[key], int(returns.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pandas as pd
 
+        def found(names: list, held: list):  # noqa: ANN202
+            low, high = _intervals(np.stack(held), resamples, level, seed) if len(held[0]) >= 5 else (np.full(len(held), -np.inf), np.full(len(held), np.inf))
+            return pd.DataFrame({key: names, "low": low, "high": high, "passed": (low >= min_sharpe)})
+
+        names, held = [], []
         for batch in batches:
-            out = []
             for name, own in zip(batch[key], batch["returns"], strict=True):
-                x = np.asarray([v for v in own if v is not None], float)
-                if len(x) < 5:
-                    out.append((name, float("-inf"), float("inf"), False))
-                    continue
-                rng, found, at = np.random.default_rng(seed), [], 0
-                while at < resamples:  # a few million draws at a time
-                    some = min(resamples - at, max(1, 2_000_000 // len(x)))
-                    drawn = x[rng.integers(0, len(x), (some, len(x)))]
-                    dev = drawn.std(1, ddof=1)
-                    found.append(np.where(dev < 1e-10, 0.0, drawn.mean(1) / np.where(dev < 1e-10, 1.0, dev) * len(x) ** 0.5))
-                    at += some
-                low, high = np.quantile(np.concatenate(found), [(1 - level) / 2, (1 + level) / 2])
-                out.append((name, float(low), float(high), bool(low >= min_sharpe)))
-            yield pd.DataFrame(out, columns=[key, "low", "high", "passed"])
-
-    return returns.select(key, "returns").repartition(parts, key).mapInPandas(run, f"`{key}` {kind}, low double, high double, passed boolean")
+                x = np.asarray(own, float)
+                if held and (len(x) != len(held[0]) or len(held) >= TOGETHER or len(held) * len(x) > 2_000_000):
+                    yield found(names, held)
+                    names, held = [], []
+                names.append(name)
+                held.append(x)
+        if held:
+            yield found(names, held)
+
+    rows = returns.select(key, F.array_compact("returns").alias("returns")).withColumn("__n", F.size("returns"))
+    dealt = rows.repartition(parts, "__n", F.pmod(F.xxhash64(key), F.lit(SHARES))).sortWithinPartitions("__n").select(key, "returns")
+    return dealt.mapInPandas(run, f"`{key}` {kind}, low double, high double, passed boolean")
 
 
 #: Returns of a run that one task resamples.
@@ -122,7 +160,7 @@ def bootstrap_rows(rows: DataFrame, value: str, order: list[str], key: str = "ru
     large = counts.where(F.col("__n") > chunk)
     hot = bool(large.limit(1).count())
     few = own.join(large.select(key), key, "left_anti") if hot else own
-    small = bootstrap_sharpe(few.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct(*order, F.col("__x").alias("x")))), lambda r: r["x"]).alias("returns")), key, resamples, level, seed, min_sharpe)
+    small = bootstrap_sharpe(few.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct(*order, F.col("__x").alias("x")))), lambda r: r["x"]).alias("returns")), key, resamples, level, seed, min_sharpe)
     if not hot:
         return small
     kind, parts = dict(rows.dtypes)[key], int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
