@@ -84,13 +84,23 @@ def replace_partitions(df: DataFrame, path: str, by: list[str]) -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
 
 
-def write_events(rows: DataFrame, path: str) -> None:
-    """Add rows (ts, event, run_id, strategy, data) to an event log of JSON lines, a folder for each run."""
-    rows.write.mode("append").partitionBy("run_id").json(path)
+def run_group(groups: int) -> Column:
+    """Which of so many groups of an event log a run_id is in."""
+    return (F.crc32(F.col("run_id").cast("string").cast("binary")) % groups).cast("int")
+
+
+def write_events(rows: DataFrame, path: str, groups: int | None = None) -> None:
+    """Add rows (ts, event, run_id, strategy, data) to an event log of JSON lines, a folder for each run. A folder and a file
+    cost milliseconds: for many runs, `groups` gives a folder for each run_group() instead, with the run in each line, and
+    a run's rows of one write in one file."""
+    if groups:
+        rows.withColumn("run_group", run_group(groups)).repartition("run_group").write.mode("append").partitionBy("run_group").json(path)
+    else:
+        rows.write.mode("append").partitionBy("run_id").json(path)
 
 
 def list_runs(spark: SparkSession, path: str) -> DataFrame:
-    """The runs that an event log holds, in order: names of its folders, from the list of its files. No file is opened."""
+    """The runs that an event log with a folder for each holds, in order: names of its folders, from the list of its files. No file is opened."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json*").load(path).select("path")
     name = F.url_decode(F.replace(F.regexp_extract("path", r"/run_id=([^/]*)/[^/]*$", 1), F.lit("+"), F.lit("%2B")))
     return files.select(name.alias("run_id")).where("run_id <> ''").distinct().orderBy("run_id")
@@ -100,8 +110,8 @@ EVENT = "ts string, event string, run_id string, strategy string, data map<strin
 
 
 def read_events(spark: SparkSession, path: str, event: str | None = None) -> DataFrame:
-    """Rows of an event log of JSON lines; lines that are no JSON are left out."""
-    rows = spark.read.schema(EVENT + ", _corrupt_record string").json(path)
+    """Rows of an event log of JSON lines, in folders of runs or of groups; lines that are no JSON are left out."""
+    rows = spark.read.schema(EVENT + ", _corrupt_record string").json(path).drop("run_group")
     rows = rows.where(F.col("_corrupt_record").isNull() & F.col("event").isNotNull()).drop("_corrupt_record")
     return (rows if event is None else rows.where(F.col("event") == event)).orderBy("ts")
 
