@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+import random
 
+from tidewright.operators import prefixes
 from tidewright.sources import market
 
 
@@ -17,3 +19,24 @@ def test_a_log_of_many_runs_has_few_folders(spark, tmp_path):
     got = market.read_events(spark, f"file://{tmp_path}/log")
     assert got.columns == rows.columns and got.count() == 903 and {r.run_id for r in got.collect()} == {f"r {i}" for i in range(300)}
     assert market.read_events(spark, f"file://{tmp_path}/log", "fill").count() == 300 + (3 if 5 % 3 == 0 else 0)
+
+
+def test_streaks_sort_their_rows_once(spark):
+    rng = random.Random(3)
+    rows = [(k, None if rng.random() < 0.02 else rng.randrange(400), i, rng.choice([-1, -1, 0, 1, 1, 1, None])) for k in range(12) for i in range(rng.choice([1, 2, 300]))]
+    df = spark.createDataFrame(rows, "k long, t long, i long, s int")
+    found = prefixes.longest_runs(df, "k", ["t", "i"], df["s"], span=25)
+    want = {}
+    for k in range(12):
+        best, last, n = {1: 0, -1: 0}, 7, 0
+        for s in [r[3] for r in sorted((r for r in rows if r[0] == k), key=lambda r: (r[1] is not None, r[1] or 0, r[2]))]:
+            n = n + 1 if s == last else 1
+            last = s
+            if s in best:
+                best[s] = max(best[s], n)
+        want[k] = (best[1], best[-1])
+    assert {r.k: (r.max_wins, r.max_losses) for r in found.collect()} == want
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("Window [") >= 1
+    initial = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    assert initial.count("Sort [") == 1, initial

@@ -35,12 +35,16 @@ def longest_runs(df: DataFrame, key: str, order: list[str], sign: Column, span:
     longest runs, its first and its last one; a fold over the parts joins those that meet."""
     part = F.coalesce(F.floor(F.col(order[0]) / span), F.lit(-(2**62)))
     rows = df.select(F.col(key), part.alias("__part"), sign.alias("__sign"), *[c for c in order if c != key])
-    at = F.row_number().over(Window.partitionBy(key, "__part").orderBy(*order))
-    rows = rows.withColumn("__at", at).withColumn("__island", F.col("__at") - F.row_number().over(Window.partitionBy(key, "__part", "__sign").orderBy(*order)))
-    islands = rows.groupBy(key, "__part", "__sign", "__island").agg(F.count(F.lit(1)).alias("__n"), F.min("__at").alias("__first"))
-    run = F.struct(F.col("__sign").alias("sign"), F.col("__n").alias("n"))
-    most = lambda s: F.coalesce(F.max(F.when(F.col("__sign") == s, F.col("__n"))), F.lit(0))
-    parts = islands.groupBy(key, "__part").agg(F.min_by(run, "__first").alias("head"), F.max_by(run, "__first").alias("tail"), (F.count(F.lit(1)) == 1).alias("whole"), most(1).alias("wins"), most(-1).alias("losses"))
+    # One sort for all: where a run begins, how long it is so far, and where the second one begins.
+    by = Window.partitionBy(key, "__part").orderBy(*order)
+    rows = rows.withColumns({"__at": F.row_number().over(by).cast("long"), "__new": (F.row_number().over(by) == 1) | ~F.lag("__sign").over(by).eqNullSafe(F.col("__sign"))})
+    rows = rows.withColumn("__n", F.col("__at") + 1 - F.max(F.when(F.col("__new"), F.col("__at"))).over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    run = lambda n: F.struct(F.col("__sign").alias("sign"), n.alias("n"))
+    most = lambda s: F.coalesce(F.max(F.when(F.col("__sign") == s, F.col("__n"))), F.lit(0).cast("long"))
+    parts = rows.groupBy(key, "__part").agg(
+        F.min_by("__sign", "__at").alias("first"), F.coalesce(F.min(F.when(F.col("__new") & (F.col("__at") > 1), F.col("__at"))) - 1, F.count(F.lit(1))).alias("n"),
+        F.max_by(run(F.col("__n")), "__at").alias("tail"), (F.count_if("__new") == 1).alias("whole"), most(1).alias("wins"), most(-1).alias("losses"),
+    ).withColumn("head", F.struct(F.col("first").alias("sign"), "n"))
     each = parts.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("__part", "head", "tail", "whole", "wins", "losses"))).alias("parts"))
 
     def follow(state: Column, x: Column) -> Column:
