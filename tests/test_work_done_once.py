@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import random
+import statistics
 
-from tidewright.operators import prefixes
+from tidewright.operators import prefixes, runs
 from tidewright.sources import market
 
 
@@ -40,3 +41,21 @@ def test_streaks_sort_their_rows_once(spark):
     assert plan.count("Window [") >= 1
     initial = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
     assert initial.count("Sort [") == 1, initial
+
+
+def test_summaries_compute_their_input_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(len(batch))
+            yield batch
+
+    rows = [(i % 3, i % 5, i, (i * 37 % 101) / 10, float(i % 11)) for i in range(300)]
+    df = spark.createDataFrame(rows, "group_id long, seed long, strategy long, sharpe double, score double")
+    got = {r.group_id: r.median for r in runs.seed_summary(df.mapInPandas(count, df.schema)).collect()}
+    assert got == {g: statistics.median([r[3] for r in rows if r[0] == g]) for g in range(3)} and seen.value == len(rows)
+    for f in (lambda d: runs.monte_carlo(d), lambda d: runs.generation_stats(d, "group_id")):
+        before = seen.value
+        f(df.mapInPandas(count, df.schema)).collect()
+        assert seen.value - before == len(rows)

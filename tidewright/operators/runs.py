@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidewright.functions import scores
 from tidewright.operators.folds import Step, array_fold
+from tidewright.operators.scans import written
 from tidewright.operators.selection import percentiles
 
 #: Flags of the filters for overfitting: true, false, or null where a filter was not asked for.
@@ -205,6 +206,7 @@ def regime_gate(windows: DataFrame, min_sharpe: float = 0.5, key: str = "run_id"
 
 def generation_stats(scored: DataFrame, by: str = "generation") -> DataFrame:
     """Per generation of scores: best, mean, worst, median, population deviation, and how many are 0."""
+    scored = written(scored.select(by, "score"), "scored")
     rows = scored.groupBy(by).agg(
         F.count(F.lit(1)).alias("n"), F.max("score").alias("best"), F.avg("score").alias("mean"), F.min("score").alias("worst"),
         F.stddev_pop("score").alias("deviation"), F.count_if(F.col("score") <= 0).alias("zeros"),
@@ -251,7 +253,9 @@ def stagnation(generations: DataFrame, patience: int, by: str = "generation", ke
 
 def seed_summary(found: DataFrame, group: str = "group_id") -> DataFrame:
     """Groups of alike strategies over all seeds, ranked by median Sharpe ratio: its spread, the number of
-    seeds, how many of its runs failed (no Sharpe ratio), and the strategy with the highest score."""
+    seeds, how many of its runs failed (no Sharpe ratio), and the strategy with the highest score. What was found is
+    computed once and written."""
+    found = written(found.select(group, "seed", "strategy", "sharpe", "score"), "found")
     rows = found.groupBy(group).agg(
         F.count(F.lit(1)).alias("n"), F.countDistinct("seed").alias("seeds"), F.avg("sharpe").alias("mean"), F.min("sharpe").alias("low"), F.max("sharpe").alias("high"), F.count_if(F.col("sharpe").isNull()).alias("failed"),
         F.coalesce(F.stddev_samp("sharpe"), F.lit(0.0)).alias("deviation"), F.max_by("strategy", F.struct("score", -F.col("strategy"))).alias("representative"),
@@ -261,6 +265,7 @@ def seed_summary(found: DataFrame, group: str = "group_id") -> DataFrame:
 
 def monte_carlo(samples: DataFrame, value: str = "sharpe") -> DataFrame:
     """One row: mean, median, population deviation, 5th and 95th percentile, and the shares of 1, 2, 3 or more."""
+    samples = written(samples.select(value), "samples")
     more = [F.avg((F.col(value) >= k).cast("double")).alias(f"share_{k}") for k in (1, 2, 3)]
     ranks = percentiles(samples, [], value, {"median": 0.5, "p5": 0.05, "p95": 0.95})
     row = samples.agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("deviation"), *more)

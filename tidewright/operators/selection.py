@@ -23,7 +23,8 @@ def percentiles(df: DataFrame, by: list[str], value: str, wanted: dict[str, floa
     """by and, under each name, the percentile 0..1 of value, interpolated between neighbours. Nulls and NaN take no part; a
     group without others has nulls. Infinite values count as the largest doubles. All groups and ranks go through a round together."""
     held = F.greatest(F.lit(-LARGEST), F.least(F.lit(LARGEST), F.col(value).cast("double")))
-    rows = df.select(*by, F.when(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")), held).alias("__v"))
+    # Written, as each round reads the values and they may be long to compute.
+    rows = written(df.select(*by, F.when(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")), held).alias("__v")), "values")
     counts = written(rows.groupBy(*by).agg(F.count("__v").alias("__n"), F.min("__v").alias("__low"), F.max("__v").alias("__high")), "counts")
     large = counts.where(F.col("__n") > buffer)
     direct = [F.percentile("__v", p).alias(name) for name, p in wanted.items()]
