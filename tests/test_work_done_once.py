@@ -8,6 +8,7 @@ import statistics
 
 from tidewright.operators import prefixes, runs
 from tidewright.sources import market
+from tidewright.streaming import live
 
 
 def test_a_log_of_many_runs_has_few_folders(spark, tmp_path):
@@ -59,3 +60,14 @@ def test_summaries_compute_their_input_once(spark):
         before = seen.value
         f(df.mapInPandas(count, df.schema)).collect()
         assert seen.value - before == len(rows)
+
+
+def test_breaker_takes_columns_along(spark, tmp_path):
+    schema = "run_id long, seq long, exit_time long, net_pnl double, note string, n int"
+    batches = [[(1, 2, 86_400_000, -9_000.0, "b", 2), (1, 1, 0, 5.0, "a", 1), (2, 1, 0, 1.0, None, 5)], [(1, 2, 86_400_000, -9_000.0, "again", 9), (1, 3, 86_400_001, 1.0, "c", 3), (1, 3, 86_400_001, 1.0, "c", 3)], [(1, 1, 0, 5.0, "late", 9)]]
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/in")
+        found = live.live_breaker(spark.readStream.schema(schema).parquet(f"file://{tmp_path}/in"), keep=["note", "n"])
+        live.go_on(found, f"file://{tmp_path}/out", f"file://{tmp_path}/at", None).awaitTermination()
+    got = sorted((r.run_id, r.seq, r.state, r.reason, r.note, r.n) for r in spark.read.parquet(f"file://{tmp_path}/out").collect())
+    assert got == [(1, 1, "ACTIVE", None, "a", 1), (1, 2, "HALTED", "daily_loss", "b", 2), (1, 3, "HALTED", None, "c", 3), (2, 1, "ACTIVE", None, None, 5)]

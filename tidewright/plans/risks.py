@@ -48,8 +48,8 @@ def streamed_breakers(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = market.trades(spark, sf_dir).withColumn("seq", F.row_number().over(by).cast("long")).select("run_id", "seq", "exit_time", "net_pnl", "order_id", "line", "part_id")
     rows.write.parquet(f"{path}/in")
     source = spark.readStream.schema(rows.schema).parquet(f"{path}/in")
-    live.go_on(live.live_breaker(source, max_drawdown=0.3, max_streak=4, cooldown_hours=720.0), f"{path}/out", f"{path}/checkpoint", None).awaitTermination()
-    return spark.read.parquet(f"{path}/out").join(spark.read.parquet(f"{path}/in"), ["run_id", "seq"]).select("run_id", "order_id", "line", "part_id", "state", "reason")
+    live.go_on(live.live_breaker(source, max_drawdown=0.3, max_streak=4, cooldown_hours=720.0, keep=["order_id", "line", "part_id"]), f"{path}/out", f"{path}/checkpoint", None).awaitTermination()
+    return spark.read.parquet(f"{path}/out").select("run_id", "order_id", "line", "part_id", "state", "reason")
 
 
 @query("""WITH RECURSIVE p AS (SELECT l_returnflag AS portfolio, epoch_ms(l_shipdate) AS time, sum(l_extendedprice) / 1e6 AS exposure, avg(l_discount) * 2 AS drawdown FROM lineitem GROUP BY ALL),

@@ -45,22 +45,28 @@ def live_crossings(bars: DataFrame, fast: int = 5, slow: int = 20) -> DataFrame:
     )
 
 
-def live_breaker(trades: DataFrame, start: float = 100_000.0, max_drawdown: float = 0.15, max_daily_loss: float = 0.02, max_streak: int = 10, cooldown_hours: float = 24.0) -> DataFrame:
+def live_breaker(trades: DataFrame, start: float = 100_000.0, max_drawdown: float = 0.15, max_daily_loss: float = 0.02, max_streak: int = 10, cooldown_hours: float = 24.0, keep: list[str] | None = None) -> DataFrame:
     """run_id, seq and state (ACTIVE or HALTED) after each closed trade (run_id, seq, exit_time, net_pnl) of a
     stream, and the rule that halted a run just then. The rules are those of operators.risk; a run's
-    state are eight numbers."""
+    state are eight numbers. Columns of trades named in `keep` go along, so that results need no join with them."""
+    kept = keep or []
 
     def step(key: tuple, frames: Iterator, state: GroupState) -> Iterator:
+        import numpy as np
         import pandas as pd
 
         last, equity, peak, streak, day, daily, began, halted = state.get if state.exists else (-1, start, start, 0, -1, 0.0, start, -1)
-        out = []
-        for seq, time, pnl in pd.concat(list(frames)).sort_values("seq")[["seq", "exit_time", "net_pnl"]].itertuples(index=False):
-            if seq <= last:
-                continue
+        held, states, reasons = list(frames), [], []
+        rows = held[0] if len(held) == 1 else pd.concat(held)
+        seqs, columns = rows["seq"].to_numpy(), ["seq", "exit_time", "net_pnl", *kept]
+        at = np.argsort(seqs, kind="stable")
+        # A place is taken once, and none of those before.
+        at = at[(seqs[at] > last) & np.append(True, np.diff(seqs[at]) != 0)]
+        values = {c: rows[c].to_numpy()[at] for c in columns}
+        for time, pnl in zip(values["exit_time"].tolist(), values["net_pnl"].tolist(), strict=True):
             if time // 86_400_000 != day:
                 day, daily, began = time // 86_400_000, 0.0, equity
-            last, equity, daily = seq, equity + pnl, daily + pnl
+            equity, daily = equity + pnl, daily + pnl
             streak, peak = (streak + 1 if pnl < 0 else 0), max(peak, equity)
             if halted >= 0 and cooldown_hours > 0 and time - halted >= cooldown_hours * 3_600_000:
                 halted = -1
@@ -73,12 +79,15 @@ def live_breaker(trades: DataFrame, start: float = 100_000.0, max_drawdown: floa
                 elif streak >= max_streak:
                     reason = "consecutive_losses"
                 halted = time if reason else -1
-            out.append((key[0], seq, "HALTED" if halted >= 0 else "ACTIVE", reason))
-        state.update((int(last), float(equity), float(peak), int(streak), int(day), float(daily), float(began), int(halted)))
-        yield pd.DataFrame(out, columns=["run_id", "seq", "state", "reason"])
-
-    return trades.select("run_id", "seq", "exit_time", "net_pnl").groupBy("run_id").applyInPandasWithState(
-        step, "run_id long, seq long, state string, reason string", "last long, equity double, peak double, streak long, day long, daily double, began double, halted long", "append", GroupStateTimeout.NoTimeout
+            states.append("HALTED" if halted >= 0 else "ACTIVE")
+            reasons.append(reason)
+        if states:
+            state.update((int(values["seq"][-1]), float(equity), float(peak), int(streak), int(day), float(daily), float(began), int(halted)))
+        yield pd.DataFrame({"run_id": np.full(len(at), key[0]), "seq": values["seq"], "state": np.array(states, object), "reason": np.array(reasons, object), **{c: values[c] for c in kept}})
+
+    kinds = dict(trades.dtypes)
+    return trades.select("run_id", "seq", "exit_time", "net_pnl", *kept).groupBy("run_id").applyInPandasWithState(
+        step, "run_id long, seq long, state string, reason string" + "".join(f", `{c}` {kinds[c]}" for c in kept), "last long, equity double, peak double, streak long, day long, daily double, began double, halted long", "append", GroupStateTimeout.NoTimeout
     )
 
 
