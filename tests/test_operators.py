@@ -209,3 +209,9 @@ def test_streams(spark, tmp_path):
     got = {(r.symbol, r.open_time): r.close for r in spark.table("streamed_bars").collect()}
     assert len(got) > 0.9 * len(want) and all(want[k] == v for k, v in got.items())
     assert spark.table("unique_ticks").count() == ticks.count()
+
+
+def test_holdout_loss_is_rounded_once(spark):
+    # -389.06114... is -389.06115 to six digits, and -389.0611 to four.
+    rows = {r.run_id: r.degradation for r in queries.QUERIES["holdout_loss"](spark, "/root/testdata/sf0.1").where("run_id IN (140, 417)").collect()}
+    assert rows == {140: -389.0611, 417: -147.6093}
