@@ -1,11 +1,12 @@
 """Operator 10, exact top-k search by inner product, over an impact-ordered index.
 
-Vectors are dealt into shards. In a shard's index each dimension has its postings in order of
-value, cut into segments of one quantised impact each. For a query, segments come score at a time:
-by descending impact of their values on the score, whatever the dimension. A vector's accumulator
-holds what its segments so far have added; what may still come is bounded by the impacts of the
-segments next in line. Work on a query stops when that bound proves all but a few vectors out of the top k;
-those few get their exact score.
+Vectors are dealt into shards. A shard's index has a list of vectors for each level of length, dimension
+and sign: those whose largest component is there, in order of its impact. The lists are cut into segments,
+each with the ends of every dimension's values and its greatest length, so that its impact on a query's score, the most
+that a vector in it may reach, is known without its vectors. For a batch of queries segments come score at a
+time: by descending impact, whatever the list. A segment is left out for the queries whose k best so far are
+beyond its impact, and the batch ends when that holds for all. Scores are whole numbers that floats hold exactly;
+what is too large for that is scored in Python's integers.
 
 A shard's index is made once in its task, and the queries stream past it.
 """
@@ -19,10 +20,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SCALE, MOST = 256, 1.7976931348623157e308
-#: Components and vectors of a shard at most, about; queries that pass one index; segments of a dimension.
-SHARD_VALUES, SHARD_ROWS, GROUP_QUERIES, SEGMENTS = 4_000_000, 65536, 16384, 16
-#: A query's segments end when at most this share of a shard may still be in its top k.
-FEW = 1 / 16
+#: Components and vectors of a shard at most, about; queries that pass one index; vectors of a segment; queries of a batch.
+SHARD_VALUES, SHARD_ROWS, GROUP_QUERIES, SEGMENT, BATCH = 16_000_000, 262144, 131072, 512, 512
+#: As long as shards are smaller than that, there are at most SHARDS of them and they have at least LEAST_ROWS vectors.
+SHARDS, LEAST_ROWS = 64, 16384
+#: Vectors of a length below this have inner products that floats hold exactly. Finds after which bars are set anew.
+TAME, FINDS = 2.0**26, 2_000_000
 
 
 def valid_vector(column: Column) -> Column:
@@ -49,80 +52,148 @@ def _matrix(column: pa.Array) -> object:
 
 
 class Index:
-    """The segments of one shard: x[row, dimension] whole numbers as floats."""
+    """The segments of one shard: x[row, dimension] whole numbers as floats, ids of the rows (their places, if not given)."""
 
-    def __init__(self, x, segments: int = SEGMENTS) -> None:  # noqa: ANN001
+    def __init__(self, x, ids=None) -> None:  # noqa: ANN001
         import numpy as np
 
-        self.x, (n, d) = x, x.shape
-        low, high = x.min(0), x.max(0)
-        level = np.minimum(((x - low) * (segments / np.maximum(high - low + 1, 1))).astype(np.int32), segments - 1)
-        self.postings, self.values, starts, owner = [], [], [], []
-        for j in range(d):
-            order = np.argsort(level[:, j], kind="stable").astype(np.int32)
-            cuts = np.searchsorted(level[order, j], np.arange(segments + 1))
-            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                if b > a:
-                    values = x[order[a:b], j]
-                    self.postings.append(order[a:b].astype(np.intp))
-                    self.values.append(values)
-                    starts.append((values.min(), values.max()))
-                    owner.append(j)
-        self.ends, self.owner = np.array(starts), np.array(owner)
+        ids = np.arange(len(x)) if ids is None else ids
+        length = _lengths(x)
+        tame = np.flatnonzero(length < TAME)
+        length, place = length[tame], np.abs(x[tame]).argmax(1)
+        top = x[tame, place]
+        level = np.floor(4 * np.log2(np.maximum(length, 1)))
+        # Equal vectors come in order of their ids, so that of equal scores the later ones are no finds.
+        order = np.lexsort((ids[tame], -np.abs(top), top < 0, place, -level))
+        self.rows, self.wild, self.source, self.ids = tame[order], np.flatnonzero(~(_lengths(x) < TAME)), x, ids
+        kept = x[self.rows]
+        self.x = kept.astype(np.float32) if np.abs(kept).max(initial=0) < 2**24 else kept
+        self.starts = np.arange(0, len(kept), SEGMENT)
+        if len(kept):
+            self.low, self.high = (f.reduceat(kept, self.starts).astype(float) for f in (np.minimum, np.maximum))
+            self.longest = np.maximum.reduceat(length[order], self.starts)
+        #: Products of a vector with a query so far.
+        self.products = 0
 
     def candidates(self, q, k: int):  # noqa: ANN001, ANN201
-        """Rows that may be among the k best of the shard for q: all of the k best are among them."""
+        """The rows of the shard that are the k best for q."""
         import numpy as np
 
-        x, n = self.x, len(self.x)
-        if n <= 4 * k or not _in_floats(x, q):
-            return np.arange(n)
-        both = self.ends * q[self.owner][:, None]
-        least, most = both.min(1), both.max(1)
-        d = x.shape[1]
-        floor = np.full(d, np.inf)
-        np.minimum.at(floor, self.owner, least)
-        gain = most - floor[self.owner]
-        # In order of impact a dimension's segments come one by one, so what a vector may still gain
-        # there is the impact of the dimension's next segment; gone is what each step takes off.
-        line = np.lexsort((-gain, self.owner))
-        same = np.append(self.owner[line][1:] == self.owner[line][:-1], False)
-        gone = np.empty(len(gain))
-        gone[line] = gain[line] - np.where(same, np.append(gain[line][1:], 0), 0)
-        order = np.lexsort((self.owner, -gain))
-        open_ = gone.sum() - np.cumsum(gone[order])
-        # Sums are of whole numbers far below 2**53, or else only rough: then a margin covers that.
-        open_ += 1e-9 * np.abs(gain).sum()
-        sums, postings, values = np.zeros(n), self.postings, self.values
-        for step, at in enumerate(order.tolist(), 1):
-            j = self.owner[at]
-            sums[postings[at]] += values[at] * q[j] - floor[j]
-            if step % 128 == 0 or step == len(order):
-                bar = np.partition(sums, n - k)[n - k] - open_[step - 1]
-                if np.count_nonzero(sums >= bar) <= max(k, n * FEW):
-                    break
-        return np.flatnonzero(sums >= bar)
-
-
-def _in_floats(x, q) -> bool:  # noqa: ANN001
-    """Whether all sums of products are whole numbers that floats hold exactly."""
+        return self.best(q[None], np.full(1, np.iinfo(np.int64).min), k)[1]
+
+    def best(self, qs, asked, k: int):  # noqa: ANN001, ANN201
+        """Places of queries, rows and scores: for each of the queries its k best rows, ties to the smaller id,
+        without those that have the query's own id, its place in asked."""
+        import numpy as np
+
+        tame = _lengths(qs) < TAME
+        found = []
+        # Queries with one largest component have the same segments of high impact.
+        near = np.flatnonzero(tame)
+        near = near[np.argsort(np.abs(qs[near]).argmax(1), kind="stable")]
+        for some in (near[a : a + BATCH] for a in range(0, len(near) if len(self.rows) else 0, BATCH)):
+            query, row, score = self._batch(qs[some], asked[some], k)
+            found.append((some[query], row, score))
+        for at in range(len(qs)) if len(self.wild) else np.flatnonzero(~tame).tolist():
+            rest = self.wild if tame[at] else np.arange(len(self.source))
+            rest = rest[self.ids[rest] != asked[at]]
+            found.append((np.full(len(rest), at), rest, _exact(self.source[rest].astype(float), qs[at])))
+        if not found:
+            return tuple(np.zeros(0, np.int64) for _ in range(3))
+        query, row, score = (np.concatenate(c) for c in zip(*found, strict=True))
+        kept = _first(query, score, self.ids[row], k)[0]
+        return query[kept], row[kept], score[kept]
+
+    def _batch(self, qs, asked, k: int):  # noqa: ANN001, ANN202
+        import numpy as np
+
+        lengths = _lengths(qs)
+        # No partial sum is beyond the product of two lengths.
+        single = self.x.dtype == np.float32 and self.longest.max() * lengths.max() < 2**24
+        kind = np.float32 if single else np.float64
+        scaled, n = qs.astype(kind), len(qs)
+        impacts = np.maximum(qs, 0) @ self.high.T + np.minimum(qs, 0) @ self.low.T
+        reach = lengths[:, None] * self.longest
+        impacts = np.minimum(impacts, reach) + 1e-9 * reach  # impacts are rounded, scores are not
+        most = impacts.max(0)
+        line = np.argsort(-most, kind="stable")
+        bar, bar_id = np.full(n, -np.inf), np.full(n, np.iinfo(np.int64).max)
+        held = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+
+        def set_bars() -> None:
+            query, row, score = (np.concatenate(c) for c in zip(*held, strict=True))
+            kept, last = _first(query, score, self.ids[row], k)
+            held[:] = [(query[kept], row[kept], score[kept])]
+            bar[query[last]], bar_id[query[last]] = score[last], self.ids[row[last]]
+
+        space, finds = np.empty(n * SEGMENT, kind), 0
+        for step, s in enumerate(line.tolist(), 1):
+            if most[s] < bar.min():
+                break
+            place = np.flatnonzero(impacts[:, s] >= bar)
+            if not len(place):
+                continue
+            a = int(self.starts[s])
+            rows = self.rows[a : a + SEGMENT]
+            ids = self.ids[rows]
+            sums = space[: len(place) * len(rows)].reshape(len(place), len(rows))
+            np.matmul(scaled if len(place) == n else scaled[place], self.x[a : a + SEGMENT].astype(kind, copy=False).T, out=sums)
+            self.products += sums.size
+            if step == 1:
+                head = np.where(ids == asked[place, None], -np.inf, sums)
+                if head.shape[1] >= k:
+                    bar[place] = np.partition(head, -k, axis=1)[:, -k]
+            some = np.flatnonzero(sums.max(1) >= bar[place])
+            hit = np.flatnonzero(sums[some] >= bar[place[some], None].astype(kind))
+            at, column = np.divmod(hit, len(rows))
+            query, score = place[some[at]], sums[some[at], column]
+            new = (ids[column] != asked[query]) & ((score > bar[query]) | (ids[column] < bar_id[query]))
+            held.append((query[new], rows[column[new]], score[new].astype(float)))
+            finds += int(new.sum())
+            if step & (step - 1) == 0 or finds > FINDS:
+                set_bars()
+                finds = 0
+        set_bars()
+        query, row, score = held[0]
+        return query, row, score.astype(np.int64)
+
+
+def _lengths(x):  # noqa: ANN001, ANN202
+    """Of the rows of x; infinite where squares are beyond the floats."""
+    import numpy as np
+
+    with np.errstate(over="ignore"):
+        return np.sqrt(np.einsum("ij,ij->i", x, x, dtype=float))
+
+
+def _first(query, score, ids, k: int):  # noqa: ANN001, ANN202
+    """Of finds those that are among the k best of their query; and those that are the k-th."""
     import numpy as np
 
-    return float(np.abs(x).max(initial=0)) < 2**52 and float(np.abs(x).max(initial=0)) * float(np.minimum(np.abs(q).max(initial=0), 2.0**52)) * max(1, x.shape[1]) < 2**52
+    # ~ turns the order of whole numbers, and unlike - does so for the least one too.
+    order = np.lexsort((ids, ~score if score.dtype.kind == "i" else -score, query))
+    query = query[order]
+    rank = np.arange(len(query)) - np.searchsorted(query, query)
+    return order[rank < k], order[rank == k - 1]
 
 
 def _exact(x, q):  # noqa: ANN001, ANN202
-    """Inner products as whole numbers: in floats where these are exact, else in Python's integers,
-    held at the ends of the long range."""
+    """Inner products as Python's integers, held at the ends of the long range."""
     import numpy as np
 
-    if _in_floats(x, q):
-        return (x @ q).astype(np.int64)
     whole = x.astype(object)
     sums = [sum(int(a) * int(b) for a, b in zip(row, q, strict=True)) for row in whole]
     return np.array([min(max(s, -(2**63)), 2**63 - 1) for s in sums], np.int64)
 
 
+def layout(n: int, queries: int, width: int) -> tuple[int, int]:
+    """Shards of n vectors and groups of queries. Each group reads all vectors and each shard all queries, so both are few:
+    up to SHARDS shards fill a cluster, and more only where one would be too large for a task."""
+    most = max(1, min(SHARD_ROWS, SHARD_VALUES // max(1, width)))
+    rows = min(most, max(LEAST_ROWS, -(-n // SHARDS)))
+    return max(1, -(-n // rows)), max(1, -(-queries // GROUP_QUERIES))
+
+
 def search(df: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """query_id, rank (from 1), vec_id and score: for each row of queries the k rows of df with the
     highest inner products of floor(256 * x), ties to the smaller id.
@@ -134,52 +205,47 @@ def search(df: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id"
     Other columns, whatever their names, are not read. An empty table of either gives an empty result.
     """
     def usable(rows: DataFrame) -> DataFrame:
-        return rows.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.transform(F.col(vec_col), lambda x: x.cast("double")).alias("vec")).where(valid_vector(F.col("vec")))
+        plain = dict(rows.dtypes)[vec_col] in ("array<float>", "array<double>")
+        vec = F.col(vec_col) if plain else F.transform(F.col(vec_col), lambda x: x.cast("double"))
+        return rows.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), vec.alias("vec")).where(valid_vector(F.col("vec")))
 
     every, asked = usable(df), usable(queries).groupBy("id").agg(F.min("vec").alias("vec"))
     n, width = every.agg(F.count(F.lit(1)), F.max(F.size("vec"))).first()
-    shards = max(1, -(-n // max(1, min(SHARD_ROWS, SHARD_VALUES // max(1, width or 1)))))
-    groups = max(1, -(-asked.count() // GROUP_QUERIES))
+    shards, groups = layout(n, queries.where(F.col(id_col).isNotNull()).count(), width or 1)
     # Rows are dealt by place, not by id: one id that repeats cannot fill a shard. Only queries go to all shards.
     shard = F.pmod(F.xxhash64("id", F.monotonically_increasing_id()), F.lit(shards)).cast("int")
-    items = every.select(shard.alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"), F.lit(0).alias("asks"), "id", "vec")
-    asks = asked.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int").alias("group"), F.lit(1).alias("asks"), "id", "vec")
-    rows = items.unionByName(asks).repartition(min(shards * groups, 100_000), "shard", "group").sortWithinPartitions("shard", "group", "asks")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    items = every.select(shard.alias("shard"), each(groups).alias("group"), F.lit(0).alias("asks"), "id", "vec")
+    asks = asked.select(each(shards).alias("shard"), F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int").alias("group"), F.lit(1).alias("asks"), "id", "vec")
+    rows = items.unionByName(asks).withColumn("tile", F.col("shard") * groups + F.col("group")).select("tile", "asks", "id", "vec")
+    # A tile, a shard for one group, is a task's: by hash some tasks would have several and others none.
+    rows = rows.repartitionById(min(shards * groups, 100_000), "tile").sortWithinPartitions("tile", "asks")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        at, parts, index, ids, repeats = None, [], None, None, 0
+        tile, parts, index = None, [], None
         for batch in batches:
-            place = [np.asarray(c) for c in batch.columns[:3]]
+            place = [np.asarray(c) for c in batch.columns[:2]]
             edges = [0, *(np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in place])) + 1).tolist(), batch.num_rows] if batch.num_rows else [0]
             for a, b in zip(edges, edges[1:]):  # noqa: B905
-                key, own = (int(place[0][a]), int(place[1][a])), batch.slice(a, b - a)
-                if key != at:
-                    at, parts, index = key, [], None
-                if place[2][a] == 0:
-                    parts.append((np.asarray(own.column(3)), _matrix(own.column(4))))
+                own, values = np.asarray(batch.column(2).slice(a, b - a)), _matrix(batch.column(3).slice(a, b - a))
+                if place[0][a] != tile:
+                    tile, parts, index = place[0][a], [], None
+                if place[1][a] == 0:
+                    parts.append((own, values.astype(np.float32) if np.abs(values).max() < 2**24 else values))
                     continue
                 if not parts and index is None:
                     continue  # a shard without rows
                 if index is None:
                     most = max(m.shape[1] for _, m in parts)
-                    index = Index(np.concatenate([np.pad(m, ((0, 0), (0, most - m.shape[1]))) for _, m in parts]))
-                    ids, parts = np.concatenate([i for i, _ in parts]), []
-                    repeats = len(ids) - len(np.unique(ids))
-                found, qs = [], _matrix(own.column(4))
+                    index = Index(np.concatenate([np.pad(m, ((0, 0), (0, most - m.shape[1]))) for _, m in parts]), np.concatenate([i for i, _ in parts]))
+                    parts = []
                 # What a query has beyond the shard's longest vector meets nothing there.
-                most = index.x.shape[1]
-                qs = np.pad(qs, ((0, 0), (0, max(0, most - qs.shape[1]))))[:, :most]
-                for query, q in zip(np.asarray(own.column(3)), qs, strict=True):
-                    # The query's own rows may be among the best: so many more are asked for.
-                    near = index.candidates(q, min(len(ids), k + 1 + repeats))
-                    near = near[ids[near] != query]
-                    score = _exact(index.x[near], q)
-                    best = np.lexsort((ids[near], -score))[:k]
-                    found.append((np.full(len(best), query), ids[near][best], score[best]))
-                columns = [np.concatenate(c).astype(np.int64) for c in zip(*found, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["query_id", "vec_id", "score"])
+                most = index.source.shape[1]
+                values = np.pad(values, ((0, 0), (0, max(0, most - values.shape[1]))))[:, :most]
+                query, row, score = index.best(values, own, k)
+                yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in (own[query], index.ids[row], score)], names=["query_id", "vec_id", "score"])
 
     found = rows.mapInArrow(run, "query_id long, vec_id long, score long")
     by = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
