@@ -58,3 +58,26 @@ def longest_runs(df: DataFrame, key: str, order: list[str], sign: Column, span:
     start = F.struct(F.lit(None).cast("int").alias("sign"), none.alias("n"), none.alias("wins"), none.alias("losses"))
     folded = each.select(key, F.aggregate("parts", start, follow).alias("s"))
     return folded.select(key, F.col("s.wins").alias("max_wins"), F.col("s.losses").alias("max_losses"))
+
+
+#: Rows of one key that a task takes in turn.
+LONGEST = 1_000_000
+
+
+def in_turn(rows: DataFrame, key: str) -> DataFrame:
+    """rows dealt out by key, and those of a key in the order in which they are read. Sums of floats over them then do
+    not depend on where files are split, and keys with equal rows have equal sums. A key with more than LONGEST rows, of
+    which a thousand at most are told apart, stays in as many parts as tasks read it, and its sums are those of the parts."""
+    placed, n, long = rows.withColumn("__at", F.monotonically_increasing_id()), rows.count(), []
+    if n > LONGEST:
+        counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("__n"))
+        long = [r[0] for r in counts.where(F.col("__n") > max(LONGEST, n // 1000)).select(key).collect()]
+    # In whole parts of the input: the upper bits are the number of the task that reads a row.
+    part = [F.when(F.col(key).isin(long), F.shiftright("__at", 33)).otherwise(-1)] if long else []
+    return placed.repartition(key, *part).sortWithinPartitions(key, "__at").drop("__at")
+
+
+def deviation(x: Column) -> Column:
+    """The sample's standard deviation, to the last digit as SQL has it for rows in one order: from the products of a value's
+    differences from the mean before and after it, which is how covar_samp goes on and stddev_samp does not."""
+    return F.sqrt(F.covar_samp(x, x))

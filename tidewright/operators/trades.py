@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewright.operators.prefixes import carried, longest_runs
+from tidewright.operators.prefixes import carried, deviation, in_turn, longest_runs
 from tidewright.sources.market import TRADE_ORDER
 
 START = 100_000.0
@@ -77,9 +77,10 @@ def moments(trades: DataFrame, value: Column | None = None) -> DataFrame:
 
 
 def ratios(trades: DataFrame) -> DataFrame:
-    """Sharpe and Sortino ratio of a run's trade returns times the root of their number."""
+    """Sharpe and Sortino ratio of a run's trade returns times the root of their number. Returns are summed in the
+    order in which they are read, so that runs of equal trades have equal ratios."""
     x = F.col("net_pnl") / F.col("notional")
-    rows = trades.groupBy("run_id").agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("dev"), F.stddev_samp(F.when(x < 0, x)).alias("down"), F.sum(x).alias("total_return"))
+    rows = in_turn(trades.select("run_id", "net_pnl", "notional"), "run_id").groupBy("run_id").agg(F.count(x).alias("n"), F.avg(x).alias("mean"), deviation(x).alias("dev"), deviation(F.when(x < 0, x)).alias("down"), F.sum(x).alias("total_return"))
     ratio = lambda by: F.when(F.col(by) > 1e-10, F.col("mean") / F.col(by) * F.sqrt("n")).otherwise(0.0)
     return rows.select("run_id", "n", ratio("dev").alias("sharpe"), ratio("down").alias("sortino"), "total_return")
 
