@@ -55,3 +55,10 @@ def test_a_long_key_stays_in_parts(spark, monkeypatch):
     assert sorted(map(tuple, placed.collect())) == sorted(map(tuple, rows.collect()))
     got = {r.run_id: r.total_return for r in placed.groupBy("run_id").agg(F.sum("x").alias("total_return")).where("run_id IN (1, 9)").collect()}
     assert got == {1: float(sum(i for i in range(9000) if i % 3)), 9: 9.0}
+
+
+def test_windows_of_equal_runs_are_counted_alike(spark, tmp_path):
+    folder = copies(spark, tmp_path)
+    rows = small_splits(spark, lambda: plans.QUERIES["rolling_consistency"](spark, folder).collect())
+    found = {r.run_id: (r.windows, r.profitable, r.sharpe_positive) for r in rows}
+    assert all(found[run + 100 * i] == found[run] for run in range(100) for i in range(COPIES))
