@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidewright.operators.prefixes import deviation, in_turn
 from tidewright.operators.scans import numbered
 
 def grid(spark: SparkSession, sweep: dict[str, list[float]]) -> DataFrame:
@@ -107,6 +108,11 @@ def _undominated(rows):  # noqa: ANN001, ANN202
     return rows.iloc[sorted(kept)]
 
 
+def returns_by_run(rows: DataFrame) -> DataFrame:
+    """Sharpe ratio and sum of each run's returns x, summed in the order in which they are read."""
+    return in_turn(rows.select("run_id", "x"), "run_id").groupBy("run_id").agg((F.avg("x") / deviation(F.col("x")) * F.sqrt(F.count("x"))).alias("sharpe"), F.sum("x").alias("total_return"))
+
+
 def degradation(screened: Column, validated: Column) -> Column:
     """(screened - validated) / |screened|; for zero the sign of what was lost."""
     return F.when(screened == 0, -F.signum(validated)).otherwise((screened - validated) / F.abs(F.when(screened != 0, screened)))

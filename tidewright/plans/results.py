@@ -273,7 +273,7 @@ p AS (SELECT a.run_id, (a.sharpe - b.sharpe) / abs(a.sharpe) AS x, (a.total_retu
 @query(PAIRS + " (SELECT run_id, 'sensitive' AS list FROM p WHERE x > 0.5 OR y > 0.5 ORDER BY x DESC, run_id LIMIT 20) UNION ALL (SELECT run_id, 'improved' FROM p WHERE x < 0 ORDER BY x, run_id LIMIT 20)")
 def sensitive_and_improved(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = market.table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("run_id"), (F.col("l_discount") - 0.05).alias("x"), "l_linestatus")
-    half = lambda g: own.where(F.col("l_linestatus") == g).groupBy("run_id").agg((F.avg("x") / F.stddev_samp("x") * F.sqrt(F.count("x"))).alias("sharpe"), F.sum("x").alias("total_return"))
+    half = lambda g: screening.returns_by_run(own.where(F.col("l_linestatus") == g))
     pairs = screening.consistency(half("F"), half("O"))
     return runs.most_sensitive(pairs).select("run_id", F.lit("sensitive").alias("list")).unionByName(runs.improved(pairs).select("run_id", F.lit("improved").alias("list")))
 
