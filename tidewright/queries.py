@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewright.functions import conditions, scores
@@ -34,6 +34,12 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select(*[(F.round(c, digits) + 0.0).alias(c) if t == "double" and c not in EXACT else F.col(c) for c, t in df.dtypes])
 
 
+def rounded_in_floats(column: Column, digits: int) -> Column:
+    """As SQL rounds a double: scaled, rounded to a whole number and scaled back. Beyond some 1e12 that changes the last digit."""
+    scaled = column * 10.0**digits
+    return F.when(F.abs(scaled) < float("inf"), F.round(scaled) / 10.0**digits).otherwise(column)
+
+
 BARS = """WITH k AS (
  SELECT event_type AS symbol, (epoch_us(ts) // 3600000000) * 3600000 AS open_time, arg_min(value, ts) AS open, max(value) AS high, min(value) AS low,
         arg_max(value, ts) AS close, CAST(count(*) AS DOUBLE) AS volume, (epoch_us(ts) // 3600000000) * 3600000 + 3599999 AS close_time
@@ -239,8 +245,9 @@ l AS (SELECT run_id, (ss - vs) / abs(ss) AS a, (sr - vr) / abs(sr) AS b FROM p)
 SELECT run_id, round(a, 4) + 0.0 AS sharpe_loss, round(b, 4) + 0.0 AS return_loss, a > 0.5 OR b > 0.5 AS sensitive FROM l""")
 def screening_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = market.table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("run_id"), (F.col("l_discount") - 0.05).alias("x"), "l_linestatus")
-    half = lambda g: own.where(F.col("l_linestatus") == g).groupBy("run_id").agg((F.avg("x") / F.stddev_samp("x") * F.sqrt(F.count("x"))).alias("sharpe"), F.sum("x").alias("total_return"))
-    return rounded(screening.consistency(half("F"), half("O")).select("run_id", "sharpe_loss", "return_loss", "sensitive"), 4)
+    half = lambda g: screening.returns_by_run(own.where(F.col("l_linestatus") == g))
+    losses = [(rounded_in_floats(F.col(c), 4) + 0.0).alias(c) for c in ("sharpe_loss", "return_loss")]
+    return screening.consistency(half("F"), half("O")).select("run_id", *losses, "sensitive")
 
 
 @query("""WITH b AS (SELECT o_custkey, o_orderkey, o_totalprice, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC NULLS LAST, o_orderkey) AS n FROM orders)
