@@ -37,3 +37,8 @@ def sql_and_query(spark, name):
 def test_screening_equals_sql_to_the_last_digit(spark):
     sql, found = sql_and_query(spark, "screening_consistency")
     assert found == sql
+
+
+def test_holdout_loss_equals_sql_to_the_last_digit(spark):
+    sql, found = sql_and_query(spark, "holdout_loss")
+    assert found == sql

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidewright.functions import scores, sizers
 from tidewright.operators import overfitting, reconcile, runs, screening, timeseries, trades
-from tidewright.queries import BARS, RESULTS, TRADES, query, rounded
+from tidewright.queries import BARS, RESULTS, TRADES, query, rounded, rounded_in_floats
 from tidewright.sources import market
 
 YEAR = "year(l_shipdate)"
@@ -201,7 +201,7 @@ def shifted_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def holdout_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = yearly(spark, sf_dir)
     found = runs.holdout(rows.where("year = 1996"), rows.where("year = 1997"))
-    return rounded(found.withColumn("degradation", F.round("degradation", 4)))
+    return rounded(found.withColumn("degradation", rounded_in_floats(F.col("degradation"), 4)))
 
 
 @query(YEARLY + """, s AS (SELECT *, year - 1995 AS shift, CAST((run_id + year) % 3 - 1 AS INTEGER) AS regime FROM y), o AS (SELECT run_id, coalesce(max(regime) FILTER (shift = 0), 0) AS own FROM s GROUP BY 1)
